@@ -6,9 +6,10 @@ order that depends on the register alone. Four registers make a band; documents
 estimate of the Jaccard similarity from equal registers, corrected for chance collisions, discards what is far below the
 threshold, and full shingle sets decide the rest.
 
-Groups of any size stay linear: equal sets are one class, a bucket compares its members with at most PIVOTS of them a
-round, and only members that are not yet connected are compared in the next round. Rounds go on until every bucket is
-either one component or has had all its pairs across components decided, so no link is lost to a cap.
+Equal sets are one class. Each class is first held against the smallest class that it shares a bucket with, which connects
+most of what is near. The buckets that still hold several components are decided in full: their members are dealt into blocks
+of bounded size, a task has two blocks in memory, counts all their intersections as products of incidence matrices and
+returns a forest of links between components. No row is made for a pair, and no link is lost to a cap.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blobs, column, drop, longs, mix, powers, runs, save, ship, windows
+from .common import Words, blobs, column, longs, mix, powers, runs, save, ship, windows
 from .components import components
 
 SHINGLE = 5
@@ -28,8 +29,10 @@ REGISTERS, MANTISSA, BAND = 128, 10, 4
 BANDS = REGISTERS // BAND
 #: A pair passes the estimate if it lies within so many standard errors of the threshold.
 SLACK = 5.0
-#: Members of a bucket that the others are compared with in one round.
-PIVOTS = 8
+#: Sets of a block, and hashes of its sets, about.
+BLOCK, BLOCK_HASHES = 512, 1 << 19
+#: Columns of an incidence matrix that are multiplied at once.
+_COLUMNS = 4096
 _BITS = REGISTERS.bit_length() - 1
 _EMPTY = np.uint16(65535)
 _PROBES = np.stack([np.random.Generator(np.random.PCG64(j)).permutation(REGISTERS) for j in range(REGISTERS)])
@@ -140,6 +143,93 @@ def _verify(num: int, den: int):
     return keep
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    row, col = row[shared], col[shared]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    col = np.cumsum(np.append(True, col[1:] != col[:-1])) - 1 if len(col) else col
+    out = np.zeros((m, m), np.float32)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(col, [a, a + _COLUMNS])
+        x = np.zeros((m, _COLUMNS), np.float32)
+        x[row[lo:hi], col[lo:hi] - a] = 1
+        out += x @ x.T
+    return out
+
+
+def _decide(num: int, den: int):
+    """From (key, i, j, cls, comp, hashes), sorted by the first three: links that connect different components of a group."""
+
+    def forest(rows: list[tuple]) -> list[tuple[int, int]]:
+        names, label = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
+        if len(names) < 2:
+            return []
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets], np.float64)
+        common = intersections(sets).astype(np.float64)
+        linked = den * common >= num * (size[:, None] + size[None, :] - common)
+        a, b = np.nonzero(linked & (label[:, None] < label[None, :]))
+        _, first = np.unique(label[a] * len(names) + label[b], return_index=True)
+        up, out = list(range(len(names))), []
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for k in first.tolist():
+            x, y = find(int(label[a[k]])), find(int(label[b[k]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((rows[a[k]][0], rows[b[k]][0]))
+        return out
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        found = forest(rows)
+        return pa.RecordBatch.from_arrays([longs([x[0] for x in found]), longs([x[1] for x in found])], ["u", "v"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    if rows:
+                        yield links(rows)
+                    now, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield links(rows)
+
+    return apply
+
+
+def _parts(count: Column, hashes: Column) -> Column:
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(hashes / BLOCK_HASHES), F.lit(1)).cast("int")
+
+
+def _blocks(undecided: DataFrame) -> DataFrame:
+    """(key, i, j, cls, comp): what has to meet, from (bucket, cls, lo, comp, n). Buckets that overlap go together under the
+    smallest of all their classes where that deals out fewer rows than the buckets do alone."""
+    roots = components(undecided.select(F.col("cls").alias("u"), F.col("lo").alias("v")))
+    rows = undecided.join(roots, undecided["cls"] == roots["node"], "left").select("bucket", "cls", "comp", "n", F.coalesce("component", "cls").alias("root"))
+    once = rows.select("root", "cls", "comp", "n").distinct()
+    whole = once.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("h")).withColumn("parts", _parts(F.col("g"), F.col("h")))
+    whole = whole.join(rows.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("root", "parts", (F.col("g") * F.col("parts") <= F.col("m")).alias("together"))
+    alone = rows.join(whole.where("not together").select("root"), "root", "left_semi")
+    size = alone.groupBy("bucket").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    dealt = once.join(whole.where("together"), "root").select(F.col("root").alias("key"), "cls", "comp", "parts")
+    dealt = dealt.unionByName(alone.join(size, "bucket").select(F.col("bucket").alias("key"), "cls", "comp", "parts"))
+    slot = F.pmod(F.xxhash64("cls", F.lit("slot")), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "cls", "comp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (3, 4)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; other columns of docs are ignored, whatever their names.
 
@@ -172,25 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = save(members.where("cls > lo").groupBy(F.col("cls").alias("u")).agg(F.min("lo").alias("v")), "tried")
     links = save(confirm(tried), "links")
     labels = components(links)
-    left = members.select("bucket", "cls")
-    while True:
-        now = left.join(labels, left["cls"] == labels["node"], "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("h"), "cls")).alias(f"p{j}") for j in range(PIVOTS))).where("lo < hi")
-        open_ = open_.select("bucket", F.array_distinct(F.array(*(f"p{j}.cls" for j in range(PIVOTS)))).alias("pivots"))
-        rest = save(now.join(open_, "bucket").select("bucket", "cls", "comp", "pivots"), "open")
-        if rest.isEmpty():
-            break
-        pairs = rest.select("cls", "comp", F.explode("pivots").alias("pivot")).where("cls <> pivot")
-        pairs = pairs.select(F.greatest("cls", "pivot").alias("u"), F.least("cls", "pivot").alias("v")).distinct()
-        at = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-        pairs = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-        new = save(pairs.join(tried, ["u", "v"], "left_anti"), "tried")
-        more = save(confirm(new), "links")
-        links, tried = links.union(more), tried.union(new)
-        if not more.isEmpty():
-            labels = components(links)
-        left = save(rest.where(~F.array_contains("pivots", F.col("cls"))).select("bucket", "cls"), "left")
-        drop(rest)
+    # What a bucket's members are not connected by yet is decided on full sets, block by block.
+    now = members.join(labels, members["cls"] == labels["node"], "left").select("bucket", "cls", "lo", F.coalesce("component", "cls").alias("comp"))
+    parted = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
+    undecided = save(now.join(parted, "bucket"), "undecided")
+    if not undecided.isEmpty():
+        more = _blocks(undecided.join(classes.select("cls", "n"), "cls")).join(sets.select(F.col("id").alias("cls"), "hashes"), "cls")
+        more = more.select("key", "i", "j", "cls", "comp", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = save(more.mapInArrow(_decide(num, den), "u long, v long"), "links")
+        labels = components(links.union(more))
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "cls")
     found = signed.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")) & F.col("id").isNotNull(), "left")
     found = found.select("id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left")
