@@ -179,7 +179,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 for v in [verdict] if verdict is not None and verdict.num_rows == b - a else []:
                     yield part.filter(pa.compute.is_null(v.column(v.num_columns - 1)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # Columns go by place, as their names may hold dots or clash.
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return placed.mapInArrow(keep, placed.schema).toDF(*docs.columns)
 
 
 ship(__name__)

@@ -7,21 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose places are summed together.
+BLOCK = 128
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
+def let(value: Column, how: Callable[[Column], Column]) -> Column:
+    """how(value) with value computed once."""
+    return F.transform(F.array(value), how)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, m>>: the leftmost non-overlapping matches, places in code points, end exclusive."""
-    cut = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    empty = F.array().cast("array<struct<start:long,end:long,m:string>>")
+    shape = "array<struct<start:long,end:long,m:string>>"
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         return F.struct(end.cast("long").alias("pos"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["m"].alias("m")))).alias("out"))
 
-    found = F.filter(cut, lambda x: x["m"].isNotNull())
-    return F.aggregate(found, F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out")), add, lambda acc: acc["out"])
+    # Appending copies an array, so places are summed within blocks, then over the blocks' lengths: linear in all but name.
+    def local(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(shape).alias("out")), add)
+
+    def blocks(cut: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / BLOCK).cast("int")), lambda b: local(F.slice(cut, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def bases(parts: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(parts, start, lambda acc, p: F.struct((acc["pos"] + p["pos"]).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+
+    def moved(p: Column, base: Column) -> Column:
+        return F.transform(p["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["m"].alias("m")))
+
+    cut = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    found = lambda c: F.when(F.size(c) == 0, F.array().cast(shape)).otherwise(let(blocks(c), lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved)).cast(shape)))
+    return let(F.filter(cut, lambda x: x["m"].isNotNull()), found)
 
 
 def spans(text: Column, kind: str, pattern: str, valid: Callable[[Column], Column] | None = None, only_if: Column | None = None) -> Column:
