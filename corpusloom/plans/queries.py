@@ -1,10 +1,307 @@
-"""The registered queries over the test tables, and SQL that must give the same rows."""
+"""The registered queries over the test tables; oracles.py has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import clean, convert, split
+from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
+from ..operators import chunking, conversion, logs, retrieval
+from ..sources.files import pending, upsert_vectors, vector_records
+from .oracles import ORACLES
+from .tables import MIXED, chunks, derived, markdown, questions, table, vectors, wiki
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def tok_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), n_words(F.col("text")).alias("n_words"), estimate_tokens(F.col("text")).alias("est_tokens"))
+
+
+@query
+def tok_lexical(spark, d):
+    return table(spark, d, "documents").select(F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def clean_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", clean.clean_text(F.col("html")).alias("cleaned"))
+
+
+def mixed(spark, d) -> DataFrame:
+    rows = staged(derived(spark, d, "documents", "doc_id", f"{MIXED} AS raw"), cleaned=clean.clean_text(F.col("raw")))
+    return staged(rows, plain=clean.plain_text(F.col("cleaned")))
+
+
+@query
+def text_content(spark, d):
+    return mixed(spark, d).select("doc_id", "plain", F.length("plain").cast("long").alias("n_chars"))
+
+
+@query
+def filter_docs(spark, d):
+    return mixed(spark, d).select("doc_id", clean.filter_reason(F.col("raw"), F.col("plain")).alias("reason"))
+
+
+@query
+def filter_reasons(spark, d):
+    return chunking.filter_reasons(filter_docs(spark, d))
+
+
+@query
+def content_type(spark, d):
+    return chunking.content_types(mixed(spark, d).select(clean.content_type(F.col("cleaned"), F.col("plain")).alias("content_type")))
+
+
+@query
+def split_headings(spark, d):
+    rows = markdown(spark, d).select("doc_id", F.posexplode(split.split_by_headings(F.col("text"))).alias("pos", "s"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "s.heading", "s.content")
+
+
+def sized(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(estimate_tokens(F.col("text")).alias("estimated_tokens"))
+
+
+@query
+def size_stats(spark, d):
+    return chunking.size_stats(sized(spark, d))
+
+
+@query
+def size_histogram(spark, d):
+    return chunking.size_histogram(sized(spark, d))
+
+
+@query
+def largest_doc(spark, d):
+    return chunking.largest_document(table(spark, d, "documents").select(F.col("source").alias("source_file")))
+
+
+@query
+def signature(spark, d):
+    rows = markdown(spark, d).select("doc_id", clean.signature(F.col("text")).alias("s"), clean.without_signatures(F.col("text")).alias("rest"))
+    return rows.select("doc_id", "s.author", "s.date", "rest")
+
+
+def phase(how: Callable[[Column], Column]) -> Query:
+    return lambda spark, d: wiki(spark, d).select("doc_id", how(F.col("text")).alias("text"))
+
+
+QUERIES |= {f"convert_{name}": phase(how) for name, how in (convert.PHASES | {"rules": convert.rules, "cleanup": convert.cleanup, "extract_verbatim": convert.extract_verbatim}).items()}
+
+
+@query
+def convert_full(spark, d):
+    return convert.convert(wiki(spark, d)).select("doc_id", "markdown")
+
+
+@query
+def validate_status(spark, d):
+    return wiki(spark, d).select("doc_id", convert.status(convert.validate(F.col("text"))).alias("status"))
+
+
+@query
+def status_counts(spark, d):
+    return conversion.status_counts(validate_status(spark, d))
+
+
+@query
+def applied_rules(spark, d):
+    return conversion.rule_counts(conversion.convert_all(wiki(spark, d)))
+
+
+@query
+def conversion_summary(spark, d):
+    return conversion.summary(conversion.convert_all(wiki(spark, d)))
+
+
+def prepared(spark, d) -> DataFrame:
+    return chunking.prepare(markdown(spark, d))
+
+
+@query
+def chunk_documents(spark, d):
+    return chunking.chunk(prepared(spark, d))
+
+
+@query
+def chunk_ids(spark, d):
+    return chunking.with_ids(chunking.chunk(prepared(spark, d))).select("id", "seq", "source_file", "chunk_index")
+
+
+@query
+def chunk_issues(spark, d):
+    p = prepared(spark, d)
+    return chunking.issues(p, chunking.chunk(p))
+
+
+@query
+def file_summary(spark, d):
+    p = prepared(spark, d)
+    return chunking.file_summary(p, chunking.chunk(p))
+
+
+@query
+def corpus_counts(spark, d):
+    p = prepared(spark, d)
+    return chunking.corpus_counts(p, chunking.chunk(p))
+
+
+@query
+def split_qa(spark, d):
+    rows = derived(spark, d, "documents", "doc_id", f"{MIXED} AS text").select("doc_id", F.posexplode(split.split_qa(F.col("text"))).alias("pos", "s"))
+    return rows.select("doc_id", "pos", "s.heading", "s.content")
+
+
+@query
+def split_paragraphs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(split.split_paragraphs(F.col("text"))).alias("pos", "content"))
+
+
+@query
+def bm25_stats(spark, d):
+    c = chunks(spark, d)
+    w = retrieval.idf(retrieval.term_stats(retrieval.postings(c)), retrieval.corpus_stats(c))
+    return w.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def ranking(rows: DataFrame, digits: int = 5) -> DataFrame:
+    return rows.select("query_id", "id", "rank", F.round("score", digits).alias("score"))
+
+
+@query
+def bm25_topk(spark, d):
+    return ranking(retrieval.bm25(chunks(spark, d), questions(spark, d)))
+
+
+@query
+def dense_topk(spark, d):
+    return ranking(retrieval.dense(vectors(spark, d), questions(spark, d)))
+
+
+@query
+def dense_filtered(spark, d):
+    return ranking(retrieval.dense(vectors(spark, d), questions(spark, d), where=F.col("label") == 3))
+
+
+def fused(spark, d) -> DataFrame:
+    q = questions(spark, d)
+    return retrieval.rrf(retrieval.dense(vectors(spark, d), q), retrieval.bm25(chunks(spark, d), q), top=retrieval.K_RERANK)
+
+
+@query
+def rrf(spark, d):
+    return ranking(fused(spark, d), 8)
+
+
+def reranked(spark, d) -> DataFrame:
+    return retrieval.rerank(fused(spark, d), chunks(spark, d), questions(spark, d))
+
+
+@query
+def rerank_topk(spark, d):
+    return ranking(reranked(spark, d), 8)
+
+
+@query
+def neighbours(spark, d):
+    return retrieval.neighbours(chunks(spark, d), reranked(spark, d)).select("query_id", "rank", F.col("side").cast("long").alias("side"), "id")
+
+
+def hits(spark, d) -> DataFrame:
+    return retrieval.search(chunks(spark, d), vectors(spark, d), questions(spark, d))
+
+
+@query
+def hybrid_search(spark, d):
+    return hits(spark, d).withColumn("score", F.round("score", 8))
+
+
+@query
+def context(spark, d):
+    return retrieval.build_context(hits(spark, d)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query
+def prompt(spark, d):
+    q = questions(spark, d)
+    p = retrieval.prompts(retrieval.build_context(hits(spark, d)), q)
+    return p.select("query_id", F.col("messages")[1]["content"].alias("prompt"))
+
+
+@query
+def hash_embedding(spark, d):
+    return table(spark, d, "benchmark").select("item_id", retrieval.hash_embed(F.concat(F.lit(retrieval.QUERY_PREFIX), F.col("text"))).alias("embedding"))
+
+
+@query
+def contextual_query(spark, d):
+    c = logs.conversations(table(spark, d, "conversations"))
+    return c.select("conv_id", logs.contextual_query(F.lit("what now"), F.col("messages")).alias("query"))
+
+
+@query
+def conv_title(spark, d):
+    return logs.conversations(table(spark, d, "conversations")).select("conv_id", "title", "message_count")
+
+
+def log(spark, d) -> DataFrame:
+    return derived(spark, d, "events", "event_id AS seq", "user_id AS conversation_id", "event_type AS title", "value")
+
+
+@query
+def conv_latest(spark, d):
+    return logs.latest(log(spark, d), "conversation_id")
+
+
+@query
+def conv_first(spark, d):
+    return logs.earliest(log(spark, d), "conversation_id")
+
+
+@query
+def conv_upsert(spark, d):
+    rows = log(spark, d)
+    return logs.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), "conversation_id")
+
+
+@query
+def conv_delete(spark, d):
+    rows = log(spark, d)
+    return logs.delete(rows, rows.where("title = 'error' and conversation_id % 3 = 0"), "conversation_id")
+
+
+def rated(spark, d) -> DataFrame:
+    return derived(spark, d, "events", "event_id AS seq", "CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' ELSE '' END AS rating")
+
+
+@query
+def feedback_stats(spark, d):
+    return logs.feedback_stats(rated(spark, d))
+
+
+@query
+def feedback_recent(spark, d):
+    return logs.recent(rated(spark, d))
+
+
+@query
+def embed_resume(spark, d):
+    c = chunks(spark, d).withColumns({"embedding": F.array(F.lit(0.5)), "total_chunks": F.lit(4), "content_type": F.lit("technical"), "char_count": F.length("content"), "estimated_tokens": estimate_tokens(F.col("content"))})
+    first = vector_records(c.where("seq % 3 = 0"))
+    done = upsert_vectors(first, vector_records(pending(c, first)))
+    return done.select("id", F.length("document").cast("long").alias("n_chars"), F.col("metadata.chunk_index").alias("chunk_index"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
