@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, embedding, html_text, mixing, near_dedup, pii, quality, secrets, substring, warc
 from .common import sha_spans
+from .oracles import ORACLES
 from .spans import count
 
 
@@ -68,4 +69,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_bpe, op4_html_text, op5_mixing, op6_substring_dedup, op7_embedding_near_dedup, op8_pii, op9_quality_rules, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
