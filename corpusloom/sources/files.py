@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK_SCHEMA = T.StructType.fromDDL("content string, source_file string, page_title string, section_heading string, chunk_index long, total_chunks long, author string, date string, content_type string, char_count long, estimated_tokens long")
-VECTOR_SCHEMA = T.StructType.fromDDL("id string, embedding array<float>, document string, metadata struct<source_file:string,page_title:string,section_heading:string,chunk_index:long,total_chunks:long,author:string,date:string,content_type:string,char_count:long,estimated_tokens:long>")
+_METADATA = (("source_file", "string"), ("page_title", "string"), ("section_heading", "string"), ("chunk_index", "long"), ("total_chunks", "long"), ("author", "string"), ("date", "string"), ("content_type", "string"), ("char_count", "long"), ("estimated_tokens", "long"))
+CHUNK_SCHEMA = "content string, " + ", ".join(f"{name} {kind}" for name, kind in _METADATA)
+VECTOR_SCHEMA = f"id string, embedding array<float>, document string, metadata struct<{', '.join(f'{name}:{kind}' for name, kind in _METADATA)}>"
 
 
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "twiki"), recursive: bool = False) -> DataFrame:
@@ -34,12 +34,12 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path, ("md",))
 
 
-def write_texts(docs: DataFrame, path: str, key: str = "stem", text_col: str = "markdown") -> None:
-    """The texts as a table with their keys. Keys keep their folder, so equal names from two folders do not overwrite."""
+def write_texts(docs: DataFrame, path: str, key: str = "path", text_col: str = "markdown") -> None:
+    """The texts as a table with their keys. A path keeps its folder, so equal names from two folders do not overwrite."""
     docs.select(key, text_col).write.mode("overwrite").parquet(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str = CHUNK_SCHEMA) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
     """One object a line with a fixed schema, so nothing is read twice to infer it; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 
@@ -61,7 +61,7 @@ def rewrite_jsonl(df: DataFrame, path: str) -> None:
 
 def vector_records(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:
     """VECTOR_SCHEMA records of chunks with id and an embedding; missing text is empty, missing numbers 0."""
-    fields = [F.coalesce(F.col(f.name), F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType)).alias(f.name) for f in VECTOR_SCHEMA["metadata"].dataType.fields]
+    fields = [F.coalesce(F.col(name), F.lit("" if kind == "string" else 0)).cast(kind).alias(name) for name, kind in _METADATA]
     return chunks.select("id", F.col(embedding).cast("array<float>").alias("embedding"), F.col("content").alias("document"), F.struct(*fields).alias("metadata"))
 
 
