@@ -92,4 +92,5 @@ def max_words(tokens: int) -> int:
 def lexical_tokens(text: Column) -> Column:
     """Lower-case ASCII words; a word with underscores is followed by its parts."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
-    return F.flatten(F.transform(found, lambda t: F.when(t.contains("_"), F.concat(F.array(t), F.filter(F.split(t, "_", -1), lambda p: p != ""))).otherwise(F.array(t))))
+    parted = lambda t: F.when(t.contains("_"), F.concat(F.array(t), F.filter(F.split(t, "_", -1), lambda p: p != ""))).otherwise(F.array(t))
+    return F.when(text.contains("_"), F.flatten(F.transform(found, parted))).otherwise(found)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_tokens
+from ..functions.text import lexical_tokens, staged
 
 K_DENSE, K_LEXICAL, K_RERANK, K_FINAL = 30, 30, 40, 6
 RRF_K = 60
@@ -105,18 +105,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = K_DENSE, where: Column | None = None, is_few: bool = False) -> DataFrame:
     """query_id, id, seq, score, rank: the k vectors (id, seq, embedding) nearest to each query (query_id, embedding) by cosine.
 
     Every vector is scored. Queries are a stated, small set and are broadcast if few() says so; each task keeps k of a query before anything is shuffled. where filters vectors.
     """
-    rows = vectors if where is None else vectors.where(where)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = rows.join(small(q, is_few), F.size("embedding") == F.size("q"), "cross").select("query_id", "id", "seq", F.round(cosine(F.col("embedding"), F.col("q")), DIGITS).alias("score"))
+    # Squared lengths are taken once a vector, not once a pair.
+    squared = lambda df: staged(df, v=F.col("embedding").cast("array<double>"), vv=dot(F.col("embedding"), F.col("embedding")))
+    rows = squared((vectors if where is None else vectors.where(where)).select("id", "seq", "embedding")).drop("embedding")
+    q = squared(queries.select("query_id", "embedding")).select("query_id", F.col("v").alias("q"), F.col("vv").alias("qq"))
+    cosine = dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))
+    scored = rows.join(small(q, is_few), F.size("v") == F.size("q"), "cross").select("query_id", "id", "seq", F.round(cosine, DIGITS).alias("score"))
     return top_k(scored.where("score is not null"), "score", k, "seq")
 
 
