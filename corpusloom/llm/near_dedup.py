@@ -31,6 +31,8 @@ BANDS = REGISTERS // BAND
 SLACK = 5.0
 #: Sets of a block, and hashes of its sets, about.
 BLOCK, BLOCK_HASHES = 512, 1 << 19
+#: Parts that the rows of one group of overlapping buckets are dealt into for a join.
+SALTS = 16
 #: Columns of an incidence matrix that are multiplied at once.
 _COLUMNS = 4096
 _BITS = REGISTERS.bit_length() - 1
@@ -221,9 +223,12 @@ def _blocks(undecided: DataFrame) -> DataFrame:
     once = rows.select("root", "cls", "comp", "n").distinct()
     whole = once.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("h")).withColumn("parts", _parts(F.col("g"), F.col("h")))
     whole = whole.join(rows.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("root", "parts", (F.col("g") * F.col("parts") <= F.col("m")).alias("together"))
-    alone = rows.join(whole.where("not together").select("root"), "root", "left_semi")
+    # A root may have most of the rows, so both sides of its joins are salted.
+    rows, once = (x.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int")) for x in (rows, once))
+    whole = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = rows.join(whole.where("not together").select("root", "salt"), ["root", "salt"], "left_semi")
     size = alone.groupBy("bucket").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
-    dealt = once.join(whole.where("together"), "root").select(F.col("root").alias("key"), "cls", "comp", "parts")
+    dealt = once.join(whole.where("together"), ["root", "salt"]).select(F.col("root").alias("key"), "cls", "comp", "parts")
     dealt = dealt.unionByName(alone.join(size, "bucket").select(F.col("bucket").alias("key"), "cls", "comp", "parts"))
     slot = F.pmod(F.xxhash64("cls", F.lit("slot")), F.col("parts")).cast("int")
     dealt = dealt.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
