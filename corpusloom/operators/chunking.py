@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, split
 from ..functions.text import estimate_tokens, staged, strip
+from ..sources.scratch import discard, written
 
 #: Histogram buckets of chunk sizes: names and half-open bounds.
 BUCKETS = ((0, 50), (50, 100), (100, 200), (200, 300), (300, 400), (400, 512), (512, None))
@@ -52,18 +53,22 @@ def chunks_of(docs: DataFrame, **how) -> DataFrame:
 def with_ids(chunks: DataFrame) -> DataFrame:
     """chunks with seq, their place by source_file and chunk_index, and id, chunk_<seq>.
 
-    The places come from a range sort and the sizes of its partitions, so no task sees more than its own range.
+    The places come from a range sort and the sizes of its ranges, so no task sees more than its own range. The sort is
+    written before its ranges are counted: two runs of one range sort may draw their bounds from different samples. It reads
+    a written table too, so the chunks are made once and only their keys are read for the sample. Broadcast are the starts,
+    a row for each range.
     """
-    ordered = chunks.repartitionByRange(F.col("source_file"), F.col("chunk_index")).sortWithinPartitions("source_file", "chunk_index")
-    local = ordered.withColumn("__mono", F.monotonically_increasing_id())
-    part, place = F.shiftright("__mono", 33), F.col("__mono").bitwiseAND((1 << 33) - 1)
-    # Rows are sorted and dealt the same way in both uses: the plan below is one exchange, reused.
-    sizes = local.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    spark = chunks.sparkSession
+    made, made_path = written(chunks, "chunks")
+    ordered = made.repartitionByRange(F.col("source_file"), F.col("chunk_index")).sortWithinPartitions("source_file", "chunk_index")
+    ordered = ordered.withColumn("__mono", F.monotonically_increasing_id())
+    placed, _ = written(ordered.select(*made.columns, F.shiftright("__mono", 33).alias("__part"), F.col("__mono").bitwiseAND((1 << 33) - 1).alias("__place")), "ordered")
+    discard(spark, made_path)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    numbered = local.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    numbered = numbered.withColumn("seq", (F.col("__start") + place).cast("long"))
-    return numbered.drop("__mono", "__part", "__start").withColumn("id", F.concat(F.lit("chunk_"), F.col("seq").cast("string")))
+    numbered = placed.join(F.broadcast(starts), "__part").withColumn("seq", F.col("__start") + F.col("__place"))
+    return numbered.drop("__part", "__place", "__start").withColumn("id", F.concat(F.lit("chunk_"), F.col("seq").cast("string")))
 
 
 # Reports ------------------------------------------------------------------------------------------------------------
@@ -83,16 +88,24 @@ def file_summary(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
     return prepared.where("reason is null").select("source_file", "size", "author", "date", "content_type").join(n, "source_file")
 
 
+def _issue(hit: Column, kind: str, details: Column) -> Column:
+    return F.when(hit, F.struct(F.lit(kind).alias("issue_type"), details.alias("details")))
+
+
 def issues(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
-    """source_file, issue_type, details: documents without headings, tags left, tiny and large chunks."""
-    kept = prepared.where("reason is null")
-    row = lambda kind, details: ("source_file", F.lit(kind).alias("issue_type"), details.alias("details"))
+    """source_file, issue_type, details: documents without headings, tags left, tiny and large chunks. Each input is read once."""
     tags = clean.residual_html(F.col("checked"))
     numbered = lambda said: F.format_string(said, F.col("chunk_index") + 1, F.col("total_chunks"), F.col("estimated_tokens"))
-    out = kept.where(~clean.has_heading(F.col("checked"))).select(*row("no_headings", F.lit("File has no markdown headings; chunked by paragraph/fallback")))
-    out = out.unionByName(kept.where(tags > 0).select(*row("residual_html", F.format_string("%d HTML tags remain after cleaning", tags))))
-    out = out.unionByName(chunks.where(F.col("estimated_tokens") < TINY).select(*row("tiny_chunk", numbered("Chunk %d/%d has only ~%d tokens"))))
-    return out.unionByName(chunks.where(F.col("estimated_tokens") > LARGE).select(*row("large_chunk", numbered("Chunk %d/%d has ~%d tokens (close to 512 limit)"))))
+    of_documents = (
+        _issue(~clean.has_heading(F.col("checked")), "no_headings", F.lit("File has no markdown headings; chunked by paragraph/fallback")),
+        _issue(tags > 0, "residual_html", F.format_string("%d HTML tags remain after cleaning", tags)),
+    )
+    of_chunks = (
+        _issue(F.col("estimated_tokens") < TINY, "tiny_chunk", numbered("Chunk %d/%d has only ~%d tokens")),
+        _issue(F.col("estimated_tokens") > LARGE, "large_chunk", numbered("Chunk %d/%d has ~%d tokens (close to 512 limit)")),
+    )
+    listed = lambda df, found: df.select("source_file", F.inline(F.array_compact(F.array(*found))))
+    return listed(prepared.where("reason is null"), of_documents).unionByName(listed(chunks, of_chunks))
 
 
 def size_stats(chunks: DataFrame) -> DataFrame:
