@@ -74,6 +74,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return save(rows.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("cands")), "pii")
 
 
+def surest(kind: str, score: Column) -> Column:
+    """The kind of the highest score, the last of them in order where several have it."""
+    return F.max_by(kind, F.struct(score, F.col(kind)))
+
+
 def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     """id, h, more (SPANS): what the patterns learned from found add. Written down, a row for each document with such spans."""
     each = found.where(F.size("cands") > 0).select("id", "h", "base", F.explode("cands").alias("c"))
@@ -94,20 +99,23 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
     if contexts.isEmpty():
         return none
     text = F.lower(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
-    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word")).join(contexts, "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    totals = save(every, "totals")
+    # Words are counted before they meet the contexts: whatever the contexts' size, no frequent word is shuffled row by row.
+    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    totals = save(every.join(contexts, "word"), "totals")
     graph = save(graph.join(totals, "word"), "graph")
     seeds = graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score"))
     scored = seeds
     for _ in range(ROUNDS):
-        weighed = graph.join(scored, "value").groupBy("side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("sure"), F.count(F.lit(1)).alias("values"), F.max_by("vkind", F.col("n") * F.col("score")).alias("pkind"))
+        # Ties go to the later kind, and scores are rounded, so that reruns agree whatever the order of rows.
+        weight = F.round(F.col("n") * F.col("score"), 9)
+        weighed = graph.join(scored, "value").groupBy("side", "word").agg(F.round(F.sum(weight) / F.max("total"), 9).alias("sure"), F.count(F.lit(1)).alias("values"), surest("vkind", weight).alias("pkind"))
         rules = save(weighed.where((F.col("sure") >= MIN_SURE) & (F.col("values") >= MIN_SEEDS)), "patterns")
         if rules.isEmpty():
             return none
-        new = graph.join(rules, ["side", "word"]).groupBy("value").agg(F.max_by("pkind", "sure").alias("vkind"), F.max(F.least("sure", F.lit(1.0))).alias("score"))
-        scored = save(seeds.unionByName(new).groupBy("value").agg(F.max_by("vkind", "score").alias("vkind"), F.max("score").alias("score")), "scores")
+        new = graph.join(rules, ["side", "word"]).groupBy("value").agg(surest("pkind", F.col("sure")).alias("vkind"), F.max(F.least("sure", F.lit(1.0))).alias("score"))
+        scored = save(seeds.unionByName(new).groupBy("value").agg(surest("vkind", F.col("score")).alias("vkind"), F.max("score").alias("score")), "scores")
     by = lambda side: each.where("kind is null").join(rules.where(F.col("side") == side).select(F.col("word").alias(side), "pkind", "sure"), side)
-    fresh = by("l").unionByName(by("r")).groupBy("id", "h", "start", "end").agg(F.max_by("pkind", "sure").alias("kind"))
+    fresh = by("l").unionByName(by("r")).groupBy("id", "h", "start", "end").agg(surest("pkind", F.col("sure")).alias("kind"))
     fresh = fresh.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).cast(SPANS).alias("more"))
     return save(fresh, "learned")
 

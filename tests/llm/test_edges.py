@@ -156,6 +156,13 @@ def test_learned_identifiers(spark):
     assert "4477881" not in clean[100]
 
 
+def test_tied_kinds_agree(spark):
+    seeds = [(i, f"reach him via a{i}@b.org now" if i % 2 else f"reach him via 10.0.0.{i} now", "en", "s", 1) for i in range(24)]
+    rows = [*seeds, (100, "reach him via 99-1234-77 now", "en", "s", 1)]
+    got = [{r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(frame(spark, part, False)).collect()} for part in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0][100]) == 1
+
+
 def test_linked_parts(spark):
     key, secret = "AKIA" + "Q" * 16, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY9a"
     rows = [(1, f"use {key} with {secret} at https://api.example.com/v1", "en", "s", 1), (2, f"only {secret} here", "en", "s", 1), (3, f"{key} " + "x " * 400 + secret, "en", "s", 1)]
@@ -172,6 +179,15 @@ def test_cascade_order_changes_no_verdict(spark):
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in want if k}
 
 
+def test_texts_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 10)
+    rows = [(i, words(200 + i, i, 5000), "en", "s", 1) for i in range(6)] + [(9, "a b " * 40, "en", "s", 1), (10, None, "en", "s", 1)]
+    want = {r[0]: r[-1] for r in brute.op9([(r[0], r[1]) for r in rows])}
+    df = frame(spark, rows, False)
+    assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == want
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in want.items() if k} != set()
+
+
 def test_encode_then_decode(spark):
     df = frame(spark, [(1, "Hello  wörld 😀\n\n tabs\t'll <|endoftext|> 123", "en", "s", 1), (2, None, "en", "s", 1)], False)
     path = queries.tokenizer_path()
