@@ -16,6 +16,8 @@ from .common import column, save
 from .spans import SPANS, digits, matches, ordered, spans
 
 ROUNDS, MIN_SURE, MIN_SEEDS = 3, 0.5, 5
+#: Contexts up to this size, about in bytes, are broadcast.
+SMALL = 8 << 20
 #: Fixed: the kinds, in the order in which spans are listed, and their patterns (repeats at the end are possessive, which
 #: changes no match but keeps long ones from exhausting the stack).
 KINDS = ["email", "ip", "card", "phone"]
@@ -96,12 +98,15 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
     seeded = graph.where("kind is not null").groupBy("side", "word").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
     contexts = save(seeded.select("word").distinct(), "contexts")
     none = found.sparkSession.createDataFrame([], f"id {dict(found.dtypes)['id']}, h long, more {SPANS}")
-    if contexts.isEmpty():
+    size = contexts.agg(F.sum(F.octet_length("word") + 64)).first()[0]
+    if size is None:
         return none
     text = F.lower(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
-    # Words are counted before they meet the contexts: whatever the contexts' size, no frequent word is shuffled row by row.
-    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    totals = save(every.join(contexts, "word"), "totals")
+    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word"))
+    # Few contexts filter the words where they are read; else words are counted first, so that none is shuffled row by row.
+    small = size <= SMALL
+    counted = (every.join(F.broadcast(contexts), "word") if small else every).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    totals = save(counted if small else counted.join(contexts, "word"), "totals")
     graph = save(graph.join(totals, "word"), "graph")
     seeds = graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score"))
     scored = seeds

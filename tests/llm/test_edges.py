@@ -147,7 +147,9 @@ def test_components(spark):
     assert got == {x: u.find(x) for x in u.up if u.find(x) != x}
 
 
-def test_learned_identifiers(spark):
+@pytest.mark.parametrize("small", [0, 8 << 20])
+def test_learned_identifiers(spark, monkeypatch, small):
+    monkeypatch.setattr(pii, "SMALL", small)
     rows = [(i, f"member reachphone +1 555 010 {1000 + i} says hi", "en", "s", 1) for i in range(20)] + [(100, "member reachphone 0155-4477881 says hi", "en", "s", 1), (101, "the year 2024 was fine", "en", "s", 1)]
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(frame(spark, rows, False)).collect()}
     assert got[3] == ["phone"] and got[100] == ["phone"] and got[101] == []
