@@ -2,9 +2,11 @@
 
 The standard library's parser feeds events to a small state machine that cuts the page into lines: a line is the text between
 two block-level tags, with the number of tags met since the last one. Each line's text-to-tag ratio is smoothed with a
-Gaussian and compared with the ratios' standard deviation; lines above it form clusters. Regions of the page (its article or
-main elements, or, without them, the runs of lines between boilerplate elements) that hold a cluster are content, and a
-content region is kept whole, so short paragraphs and headings inside it stay.
+Gaussian and compared with the ratios' standard deviation; lines above it form clusters. Regions of the page (its article and
+main elements, and outside them the runs of lines between boilerplate elements) that hold a cluster are content, and a
+content region is kept whole, so short paragraphs and headings inside it stay. Article and main elements bound the regions and
+the smoothing, no more: each needs a cluster of its own. An article inside main is a region apart, and what main holds around
+its articles goes with any of them. If no article or main element has a cluster, the one that comes nearest is kept besides.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Feeds on a page and gathers lines: [text, tags, boilerplate or not, main element or 0, run]."""
+    """Feeds on a page and gathers lines: (text, tags, main element or 0, run)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -41,6 +43,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, main element
         self.parts: list[str] = []
         self.tags = self.mains = self.run = 0
+        self.around: dict[int, int] = {}  # of an article: the main element around it, or 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -69,8 +72,10 @@ class Lines(HTMLParser):
         drop, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
         if not drop and (tag in BOILERPLATE or (attrs and tag not in ("html", "body") and self.marked(attrs))):
             drop = True
-        if tag in MAIN and not drop and not main:
+        if not drop and (tag == "article" and main not in self.around or tag == "main" and not main):
             self.mains += 1
+            if tag == "article":
+                self.around[self.mains] = main
             main = self.mains
         if tag in BLOCKS or tag in BOILERPLATE or drop != (bool(self.stack) and self.stack[-1][1]):
             if tag not in BLOCKS and tag not in BOILERPLATE:
@@ -110,12 +115,13 @@ class Lines(HTMLParser):
         self.parts.append(data)
 
 
-def smoothed(ratios: list[float]) -> list[float]:
+def smoothed(ratios: list[float], areas: list[int]) -> list[float]:
+    """Each ratio with those around it in the same area."""
     out = []
     for i in range(len(ratios)):
         total = weight = 0.0
         for d in range(-RADIUS, RADIUS + 1):
-            if 0 <= i + d < len(ratios):
+            if 0 <= i + d < len(ratios) and areas[i + d] == areas[i]:
                 total += ratios[i + d] * _KERNEL[d + RADIUS]
                 weight += _KERNEL[d + RADIUS]
         out.append(total / weight)
@@ -130,14 +136,16 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], [main for _, _, main, _ in lines])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     regions = [("main", main) if main else ("run", run) for _, _, main, run in lines]
     chosen = {g for g, r in zip(regions, ratios, strict=True) if r >= threshold}
-    if parser.mains and any(g[0] == "main" for g in regions):
-        chosen = {g for g in regions if g[0] == "main"}
-    elif not chosen:
+    inside = [(r, g) for g, r in zip(regions, ratios, strict=True) if g[0] == "main"]
+    if inside and not any(g[0] == "main" for g in chosen):
+        chosen.add(max(inside)[1])
+    chosen |= {("main", parser.around.get(k, 0)) for kind, k in chosen if kind == "main"}
+    if not chosen:
         chosen = set(regions)
     return "\n".join(text for (text, _, _, _), g in zip(lines, regions, strict=True) if g in chosen)
 

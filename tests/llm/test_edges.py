@@ -72,6 +72,20 @@ def test_odd_pages(spark):
     assert payloads[4] == b"x" * 300_000
 
 
+def test_clusters_choose_regions():
+    long = "A long sentence of the page's own text that goes on for a while. " * 4
+    body = f"<h2>Title</h2><p>{long}</p><p>short</p><p>{long}</p>"
+    want = "\n".join(["Title", long.strip(), "short", long.strip()])
+    cards = "".join(f"<article><a href='/{i}'><b>Card</b> <i>{i}</i></a></article>" for i in range(3))
+    # Without article or main, with cards beside the article, with cards and a heading inside main.
+    assert html_text.main_text(f"<div><a>One</a> <a>two</a></div><nav>menu</nav><div>{body}</div><nav>menu</nav>") == want
+    assert html_text.main_text(f"{cards}<article>{body}</article>{cards}") == want
+    assert html_text.main_text(f"<main><h1>Head</h1><article>{body}</article>{cards}</main>") == f"Head\n{want}"
+    # An article next to long text outside keeps that text; one of short lines is not lost for it.
+    assert html_text.main_text(f"<article>{body}</article><nav>menu</nav><div><p>{long}</p></div>") == f"{want}\n{long.strip()}"
+    assert html_text.main_text(f"<article><ul><li>egg</li><li>salt</li></ul></article><nav>menu</nav><div><p>{long}</p><p>{long}</p></div>").startswith("egg\nsalt\n")
+
+
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (3, [2.0, 4.0, 6.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [1.0, 2.0]), (10, []), (11, [-1.0, -2.0, -3.0]), (12, [1e200, 2e200, 3e200])]
