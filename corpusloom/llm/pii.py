@@ -3,8 +3,9 @@
 The base patterns' entities are the seeds. A lexical pattern is the word before or after an entity. Patterns and the values
 they surround form a graph that is scored in ROUNDS rounds: a pattern is as sure as the share of all occurrences of its word,
 anywhere in the corpus, that stand beside an accepted value; a value is as sure as its surest pattern. Patterns of at least
-MIN_SURE, with MIN_SEEDS different values, give the values beside them their kind: these are the identifiers that no base
-pattern knows. A word that also stands elsewhere in ordinary text never gets sure, so clean texts stay clean.
+MIN_SURE, with MIN_SEEDS different values accepted so far, give the values beside them their kind: these are the identifiers
+that no base pattern knows, and the next round learns from them as from the seeds. A word that also stands elsewhere in
+ordinary text never gets sure, so clean texts stay clean.
 """
 
 from __future__ import annotations
@@ -94,27 +95,36 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
     sides = each.select("value", "kind", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word")))).alias("p"))
     graph = sides.where(F.length("p.word") > 1).groupBy("p.side", "p.word", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     graph = save(graph, "graph")
-    # Contexts that may ever get sure enough: seen beside MIN_SEEDS different seeds.
-    seeded = graph.where("kind is not null").groupBy("side", "word").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    contexts = save(seeded.select("word").distinct(), "contexts")
     none = found.sparkSession.createDataFrame([], f"id {dict(found.dtypes)['id']}, h long, more {SPANS}")
-    size = contexts.agg(F.sum(F.octet_length("word") + 64)).first()[0]
-    if size is None:
-        return none
     text = F.lower(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
     every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word"))
-    # Few contexts filter the words where they are read; else words are counted first, so that none is shuffled row by row.
-    small = size <= SMALL
-    counted = (every.join(F.broadcast(contexts), "word") if small else every).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    totals = save(counted if small else counted.join(contexts, "word"), "totals")
-    graph = save(graph.join(totals, "word"), "graph")
+
+    def totals_of(contexts: DataFrame) -> DataFrame | None:
+        """word, total: how often each context stands anywhere."""
+        size = contexts.agg(F.sum(F.octet_length("word") + 64)).first()[0]
+        if size is None:
+            return None
+        # Few contexts filter the words where they are read; else words are counted first, so that none is shuffled row by row.
+        small = size <= SMALL
+        counted = (every.join(F.broadcast(contexts), "word") if small else every).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+        return save(counted if small else counted.join(contexts, "word"), "totals")
+
     seeds = graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score"))
-    scored = seeds
+    scored, totals = seeds, None
     for _ in range(ROUNDS):
         # Ties go to the later kind, and scores are rounded, so that reruns agree whatever the order of rows.
         weight = F.round(F.col("n") * F.col("score"), 9)
-        weighed = graph.join(scored, "value").groupBy("side", "word").agg(F.round(F.sum(weight) / F.max("total"), 9).alias("sure"), F.count(F.lit(1)).alias("values"), surest("vkind", weight).alias("pkind"))
-        rules = save(weighed.where((F.col("sure") >= MIN_SURE) & (F.col("values") >= MIN_SEEDS)), "patterns")
+        met = graph.join(scored, "value").groupBy("side", "word").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("values"), surest("vkind", weight).alias("pkind"))
+        met = save(met.where(F.col("values") >= MIN_SEEDS), "met")
+        # Contexts that may get sure enough in this round; those new to it are counted.
+        words = met.select("word").distinct()
+        more = totals_of(save(words if totals is None else words.join(totals, "word", "left_anti"), "contexts"))
+        if more is not None:
+            totals = more if totals is None else totals.unionByName(more)
+        if totals is None:
+            return none
+        rules = met.join(totals, "word").withColumn("sure", F.round(F.col("weight") / F.col("total"), 9))
+        rules = save(rules.where(F.col("sure") >= MIN_SURE).select("side", "word", "sure", "values", "pkind"), "patterns")
         if rules.isEmpty():
             return none
         new = graph.join(rules, ["side", "word"]).groupBy("value").agg(surest("pkind", F.col("sure")).alias("vkind"), F.max(F.least("sure", F.lit(1.0))).alias("score"))

@@ -172,6 +172,19 @@ def test_learned_identifiers(spark, monkeypatch, small):
     assert "4477881" not in clean[100]
 
 
+@pytest.mark.parametrize("small", [0, 8 << 20])
+def test_identifiers_two_steps_from_a_seed(spark, monkeypatch, small):
+    monkeypatch.setattr(pii, "SMALL", small)
+    number = lambda i: f"0155-44778{10 + i}"
+    texts = [f"callme a{i}@b.org w{i}" for i in range(30)] + [f"callme {number(i)} x{i}" for i in range(10)]
+    texts += [f"reachphone {number(i)} y{i}" for i in range(10)] + ["reachphone 0199-7654321 z", "the year 2024 was fine"]
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)], False)
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(df).collect()}
+    assert got == {i: ["email"] for i in range(51)} | {51: []}
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[50] == "reachphone <EMAIL> z" and clean[51] == texts[51]
+
+
 def test_tied_kinds_agree(spark):
     seeds = [(i, f"reach him via a{i}@b.org now" if i % 2 else f"reach him via 10.0.0.{i} now", "en", "s", 1) for i in range(24)]
     rows = [*seeds, (100, "reach him via 99-1234-77 now", "en", "s", 1)]
