@@ -3,8 +3,9 @@
 A credential often comes in parts: an access identifier, a secret and an endpoint. Each part alone is weak (a long mixed token
 may be anything), so weak parts are linked by an interval join within a scope of SCOPE characters of one document: a weak
 secret is reported if an identifier lies in its scope, a weak identifier if a secret does, an endpoint if such a linked secret
-does. Parts are brought together by buckets of SCOPE characters, and a bucket keeps the outermost places of its parts only,
-so a document with thousands of parts costs as many rows, not their pairs.
+does. Parts that overlap are no company for each other, and a token inside a weak identifier is no secret. Parts are brought
+together by buckets of SCOPE characters, and a bucket keeps the outermost places of its parts only, so a document with
+thousands of parts costs as many rows, not their pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 WEAK_KINDS = ["weak_id", "weak_secret", "endpoint"]
 WEAK_ID = r"""(?:(?i:client|account|access_?key|user)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_-]{6,64}+|(?<![A-Z0-9])A[GS]IA[A-Z0-9]{16}(?![A-Z0-9]))"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}+(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]++"""
 
 
@@ -47,13 +48,18 @@ def weak_spans(text: Column) -> Column:
 
 
 def near(parts: DataFrame, others: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The parts (id, h, kind, start, end) with another part of the same document at most scope characters away."""
-    bin_ = lambda c: F.floor(F.col(c) / scope).cast("long")
-    o = others.select(F.col("id").alias("oid"), F.col("h").alias("oh"), "start", "end", F.explode(F.array_distinct(F.array(bin_("start"), bin_("end")))).alias("obin"))
-    o = o.groupBy("oid", "oh", "obin").agg(F.min("start").alias("low"), F.max("end").alias("high"))
-    p = parts.withColumn("bin", F.explode(F.sequence(bin_("start") - 1, bin_("end") + 1)))
-    met = p.join(o, F.col("id").eqNullSafe(F.col("oid")) & (F.col("h") == F.col("oh")) & (F.col("bin") == F.col("obin")))
-    return met.where((F.col("high") >= F.col("start") - scope) & (F.col("low") <= F.col("end") + scope)).select("id", "h", "kind", "start", "end").distinct()
+    """The parts (id, h, kind, start, end) with another part of the same document beside them, at most scope characters away."""
+    bin_ = lambda c: F.floor(c / scope).cast("long")
+    place = lambda side, c: F.struct(F.lit(side).alias("oside"), bin_(c).alias("obin"), c.alias("at"))
+    o = others.select(F.col("id").alias("oid"), F.col("h").alias("oh"), F.explode(F.array(place("end", F.col("end")), place("start", F.col("start")))).alias("o")).select("oid", "oh", "o.*")
+    o = o.groupBy("oid", "oh", "oside", "obin").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    # Another part ends in the scope before this one, or starts in the scope after it. A scope lies in two buckets: all places of
+    # the first are low enough and all of the second high enough, so one outermost place decides in each.
+    span = lambda side, a, b: F.transform(F.array(bin_(a), bin_(b)), lambda x: F.struct(F.lit(side).alias("side"), x.alias("bin"), a.alias("a"), b.alias("b")))
+    p = parts.select("id", "h", "kind", "start", "end", F.explode(F.concat(span("end", F.col("start") - scope, F.col("start")), span("start", F.col("end"), F.col("end") + scope))).alias("p"))
+    p = p.select("id", "h", "kind", "start", "end", "p.*")
+    met = p.join(o, F.col("id").eqNullSafe(F.col("oid")) & (F.col("h") == F.col("oh")) & (F.col("side") == F.col("oside")) & (F.col("bin") == F.col("obin")))
+    return met.where((F.col("high") >= F.col("a")) & (F.col("low") <= F.col("b"))).select("id", "h", "kind", "start", "end").distinct()
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,6 +73,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(column(docs, id_col).alias("id"), text.alias("text"))
     found = save(rows.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak")), "secrets")
     apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    named = F.filter("weak", lambda w: w["kind"] == "weak_id")
+    apart = F.filter(apart, lambda w: (w["kind"] != "weak_secret") | ~F.exists(named, lambda n: (n["start"] <= w["start"]) & (n["end"] >= w["end"])))
     parts = found.where(F.size("weak") > 0).select("id", "h", F.explode(F.concat("base", apart)).alias("s")).select("id", "h", "s.*").distinct()
     parts = save(parts, "parts")
     ids, keys = parts.where("kind in ('access', 'weak_id')"), parts.where("kind in ('assign', 'hex', 'weak_secret')")

@@ -199,6 +199,24 @@ def test_linked_parts(spark):
     assert got == {1: ["access", "weak_secret", "endpoint"], 2: [], 3: ["access"]}
 
 
+def test_long_secrets_and_lone_identifiers(spark):
+    key, long, secret = "AKIA" + "Q" * 16, "aB3" * 60, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY9a"
+    one, two, url = "client_id=Abc123XyzAbc123Xyz", "account_id=Def456XyzDef456Xyz", "https://api.example.com/v1"
+    texts = [f"{key} session {long}", f"{one} at {url}", f"{one} and {two} at {url}", f"{one} with {secret} at {url}", f"{secret} " + "x " * 127 + one, f"{secret} " + "x " * 128 + one]
+    got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secrets.secrets(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)], False)).collect()}
+    both = [("weak_id", 28), ("weak_secret", 40)]
+    assert got == {0: [("access", 20), ("weak_secret", 180)], 1: [], 2: [], 3: [*both, ("endpoint", 26)], 4: both[::-1], 5: []}
+
+
+def test_near_against_pairs(spark):
+    r = random.Random(8)
+    some = lambda n: sorted({(d, a, a + r.randrange(1, 60)) for d, a in ((r.randrange(3), r.randrange(900)) for _ in range(n))})
+    parts, others = some(60), some(6)
+    rows = lambda x: spark.createDataFrame([(d, 7, "k", a, b) for d, a, b in x], "id long, h long, kind string, start long, end long")
+    got = {(x.id, x.start, x.end) for x in secrets.near(rows(parts), rows(others), 16).collect()}
+    assert got == {p for p in parts if any(o[0] == p[0] and (0 <= p[1] - o[2] <= 16 or 0 <= o[1] - p[2] <= 16) for o in others)} != set()
+
+
 def test_cascade_order_changes_no_verdict(spark):
     rows = [(i, words(5 + i, i, 30) + (" $$$" * (i % 9)), "en", "s", 1) for i in range(80)]
     df = frame(spark, rows, False)
