@@ -32,7 +32,7 @@ MIXED = (
     " WHEN doc_id % 5 = 2 THEN repeat('| a | b |' || chr(10), 20) WHEN doc_id % 5 = 3 THEN 'Is it? \U0001f534 Yes \U0001f7e2' || chr(10) || coalesce(text, '') || chr(10) || 'More? \U0001f534 No \U0001f7e2' ELSE coalesce(text, '') END"
 )
 CHUNK = ("'chunk_' || CAST(doc_id AS STRING) AS id", "doc_id AS seq", "CAST((doc_id - doc_id % 4) AS STRING) AS source_file", "doc_id % 4 AS chunk_index", "coalesce(source, '') AS page_title", "CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS section_heading", "CASE WHEN doc_id % 3 = 0 THEN '2015-02-08' ELSE '' END AS date", "'' AS author", "coalesce(text, '') AS content")
-QUERY = ("item_id AS query_id", "substring(text, 1, 60) AS query")
+QUERY = ("item_id AS query_id", "text AS query")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from corpusloom.plans.queries import ORACLES, QUERIES
+from corpusloom.plans.tables import QUERY
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +40,11 @@ def test_against_sql(spark, duck, name):
     assert all(near(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_queries_are_whole_texts(duck):
+    cut = f"SELECT count(*), count_if(query <> text) FROM (SELECT text, {QUERY[1]} FROM benchmark)"
+    assert duck.execute(cut).fetchone() == (40, 0)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
