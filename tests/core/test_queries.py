@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from corpusloom.plans.queries import ORACLES, QUERIES
-from corpusloom.plans.tables import QUERY
+from corpusloom.plans.tables import MIXED, QUERY
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
@@ -45,6 +45,11 @@ def test_queries_are_whole_texts(duck):
     assert duck.execute(cut).fetchone() == (40, 0)
 
 
+def test_mixed_documents_are_whole(duck):
+    cut = f"SELECT count(*), count_if(NOT contains(raw, coalesce(text, ''))) FROM (SELECT text, {MIXED} AS raw FROM documents)"
+    assert duck.execute(cut).fetchone() == (200, 0)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
