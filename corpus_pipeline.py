@@ -43,7 +43,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup_stage), ("pii", personal_data), ("mixing", mixing_stage), ("bpe", encoding)]
-#: SQL can express neither the learned patterns nor the encoding; tests/llm holds run() against a brute-force version.
+#: SQL can express neither the learned patterns nor the encoding; tests/llm holds the first two stages against brute-force
+#: versions and the others to properties; of run() it compares the row count and column names only.
 ORACLE_SQL = None
 
 
