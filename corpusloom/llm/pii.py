@@ -14,20 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, save
-from .spans import SPANS, digits, matches, ordered, spans
+from .spans import SPANS, digits, let, matches, ordered, overlapping, replaced, spans
 
 ROUNDS, MIN_SURE, MIN_SEEDS = 3, 0.5, 5
 #: Contexts up to this size, about in bytes, are broadcast.
 SMALL = 8 << 20
-#: Fixed: the kinds, in the order in which spans are listed, and their patterns (repeats at the end are possessive, which
-#: changes no match but keeps long ones from exhausting the stack).
+#: Words and values longer than this are known by a digest of theirs.
+LONG = 64
+#: Fixed: the kinds, in the order in which spans are listed, and their patterns. Each is tried from the start of a run of its
+#: first characters (or where the match before it ended) and its repeats are possessive: no match changes by that, and a long
+#: run that fails is read once instead of once from each character.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"  # shorter runs of digits fail whole, so they need no match
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SPACE = r"[\x20\x09-\x0D]"
-_TOKEN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+_WORD = r"[^\x20\x09-\x0D]"
+_TOKEN = rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+"
+#: Punctuation around a value is none of it.
+_AROUND = r"^[^0-9A-Za-z@+(]++|(?:\G|(?<![^0-9A-Za-z)]))[^0-9A-Za-z)]++\z"
+
+
+def short(word: Column) -> Column:
+    """word, or where it is long (a text without spaces is one word) a digest, so that what is counted stays narrow."""
+    return F.when(F.length(word) > LONG, F.md5(word)).otherwise(word)
 
 
 def _luhn(m: Column) -> Column:
@@ -59,22 +70,32 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct<start, end, m, left, right>>: the tokens with a digit or @, and the words beside them."""
-    found = matches(text, _TOKEN)
-    gaps = F.split(text, _TOKEN, -1)
-    left = F.transform(gaps, lambda g: F.lower(F.regexp_extract(g, rf"([^\x20\x09-\x0D]+){_SPACE}*$", 1)))
-    right = F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), lambda g: F.lower(F.regexp_extract(g, rf"^{_SPACE}*([^\x20\x09-\x0D]+)", 1)))
-    zipped = F.arrays_zip(found.alias("f"), left.alias("left"), right.alias("right"))
-    zipped = F.transform(F.filter(zipped, lambda z: z["f"].isNotNull()), lambda z: F.struct(z["f"]["start"].alias("start"), z["f"]["end"].alias("end"), z["f"]["m"].alias("m"), z["left"].alias("left"), z["right"].alias("right")))
-    return F.when(text.rlike("[0-9@]"), zipped)
+def _candidates(text: Column, base: Column) -> Column:
+    """array<struct<start, end, left, right, value, kind>>: the tokens with a digit or @ that may be identifiers, the words beside
+    them, and the kind of the base span on them, if any."""
+
+    def words_beside(found: Column) -> Column:
+        gaps = F.split(text, _TOKEN, -1)
+        left = F.transform(gaps, lambda g: short(F.lower(F.regexp_extract(g, rf"(?s)^.*(?<!{_WORD})({_WORD}++){_SPACE}*+\z", 1))))
+        right = F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), lambda g: short(F.lower(F.regexp_extract(g, rf"^{_SPACE}*+({_WORD}++)", 1))))
+        zipped = F.filter(F.arrays_zip(found.alias("f"), left.alias("left"), right.alias("right")), lambda z: z["f"].isNotNull())
+        return F.transform(zipped, lambda z: F.struct(z["f"]["start"].alias("start"), z["f"]["end"].alias("end"), z["left"].alias("left"), z["right"].alias("right"), F.regexp_replace(z["f"]["m"], _AROUND, "").alias("value")))
+
+    def with_kind(c: Column, hit: Column) -> Column:
+        kind = F.when(F.size(hit) > 0, hit[0]["kind"])
+        named = F.when(kind.isNotNull() | (F.length(digits(c["value"])) >= 4) | c["value"].contains("@"), short(c["value"]))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["left"].alias("l"), c["right"].alias("r"), named.alias("value"), kind.alias("kind"))
+
+    found = F.filter(overlapping(words_beside(matches(text, _TOKEN)), base, with_kind), lambda c: c["value"].isNotNull())
+    return F.when(text.rlike("[0-9@]"), found)
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, h (of the text), base, cands: what one pass over the texts gives, written down."""
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
     rows = docs.select(column(docs, id_col).alias("id"), text.alias("text"))
-    return save(rows.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("cands")), "pii")
+    both = let(base_spans(F.col("text")), lambda base: F.struct(base.alias("base"), _candidates(F.col("text"), base).alias("cands")))
+    return save(rows.select("id", F.xxhash64("text").alias("h"), both.alias("f")).select("id", "h", "f.base", "f.cands"), "pii")
 
 
 def surest(kind: str, score: Column) -> Column:
@@ -84,20 +105,13 @@ def surest(kind: str, score: Column) -> Column:
 
 def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     """id, h, more (SPANS): what the patterns learned from found add. Written down, a row for each document with such spans."""
-    each = found.where(F.size("cands") > 0).select("id", "h", "base", F.explode("cands").alias("c"))
-    hit = F.filter("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
-    kind = F.when(F.size(hit) > 0, F.element_at(hit, 1)["kind"])
-    # Punctuation around a value is none of it.
-    value = F.regexp_replace("c.m", r"^[^0-9A-Za-z@+(]+|[^0-9A-Za-z)]+$", "")
-    each = each.select("id", "h", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.left").alias("l"), F.col("c.right").alias("r"), value.alias("value"), kind.alias("kind"))
-    each = each.where(F.col("kind").isNotNull() | (F.length(digits(F.col("value"))) >= 4) | F.col("value").contains("@"))
-    each = save(each, "instances")
+    each = found.where(F.size("cands") > 0).select("id", "h", F.explode("cands").alias("c")).select("id", "h", "c.*")
     sides = each.select("value", "kind", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word")))).alias("p"))
     graph = sides.where(F.length("p.word") > 1).groupBy("p.side", "p.word", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     graph = save(graph, "graph")
     none = found.sparkSession.createDataFrame([], f"id {dict(found.dtypes)['id']}, h long, more {SPANS}")
     text = F.lower(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
-    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("word"))
+    every = docs.select(F.explode(F.split(text, _SPACE + "+")).alias("w")).select(short(F.col("w")).alias("word"))
 
     def totals_of(contexts: DataFrame) -> DataFrame | None:
         """word, total: how often each context stands anywhere."""
@@ -161,15 +175,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.struct(*(column(docs, c) for c in names)).alias("row"), column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
     rows = _with_more(rows, more)
-    by_start = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["kind"].alias("k"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        skip = s["a"] < acc["pos"]
-        piece = F.concat(F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), (s["a"] - acc["pos"]).cast("int")), F.lit("<"), F.upper(s["k"]), F.lit(">"))
-        return F.struct(F.greatest(acc["pos"], -s["b"]).cast("long").alias("pos"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), F.length("text"))))
-    rows = rows.withColumn("clean", F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
+    rows = rows.withColumn("clean", replaced(F.col("text"), F.col("all"), lambda kind: F.concat(F.lit("<"), F.upper(kind), F.lit(">"))))
     kept = [F.when(F.col("row")[c].isNotNull(), F.col("clean")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
     return rows.select(*kept)

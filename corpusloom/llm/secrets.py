@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, save
-from .spans import SPANS, matches, ordered, spans
+from .spans import SPANS, let, matches, ordered, overlapping, spans
 
 SCOPE = 256
 #: Fixed: base kinds in listed order and their patterns; then the weak parts' kinds and patterns.
@@ -47,6 +47,17 @@ def weak_spans(text: Column) -> Column:
     return F.concat(spans(text, "weak_id", WEAK_ID, None, text.rlike("(?i:id[\"']?\\x20*[:=])|A[GS]IA")), spans(text, "weak_secret", WEAK_SECRET, _mixed), spans(text, "endpoint", ENDPOINT, None, text.contains("://")))
 
 
+def apart(base: Column, weak: Column) -> Column:
+    """The weak spans that overlap no base span; a token inside a weak identifier is no secret."""
+
+    def alone(w: Column, hits: Column) -> Column:
+        inside = lambda h: (w["kind"] == "weak_secret") & (h["kind"] == "weak_id") & (h["start"] <= w["start"]) & (h["end"] >= w["end"])
+        return F.when(~F.exists(hits, lambda h: ~h["kind"].isin(WEAK_KINDS) | inside(h)), w)
+
+    by_start = ordered(weak, WEAK_KINDS, False)
+    return let(by_start, lambda ws: F.array_compact(overlapping(ws, F.concat(base, F.filter(ws, lambda w: w["kind"] == "weak_id")), alone)))
+
+
 def near(parts: DataFrame, others: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The parts (id, h, kind, start, end) with another part of the same document beside them, at most scope characters away."""
     bin_ = lambda c: F.floor(c / scope).cast("long")
@@ -71,11 +82,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
     rows = docs.select(column(docs, id_col).alias("id"), text.alias("text"))
-    found = save(rows.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak")), "secrets")
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    named = F.filter("weak", lambda w: w["kind"] == "weak_id")
-    apart = F.filter(apart, lambda w: (w["kind"] != "weak_secret") | ~F.exists(named, lambda n: (n["start"] <= w["start"]) & (n["end"] >= w["end"])))
-    parts = found.where(F.size("weak") > 0).select("id", "h", F.explode(F.concat("base", apart)).alias("s")).select("id", "h", "s.*").distinct()
+    both = let(base_spans(F.col("text")), lambda base: F.struct(base.alias("base"), apart(base, weak_spans(F.col("text"))).alias("weak")))
+    found = save(rows.select("id", F.xxhash64("text").alias("h"), both.alias("f")).select("id", "h", "f.base", "f.weak"), "secrets")
+    parts = found.where(F.size("weak") > 0).select("id", "h", F.explode(F.concat("base", "weak")).alias("s")).select("id", "h", "s.*").distinct()
     parts = save(parts, "parts")
     ids, keys = parts.where("kind in ('access', 'weak_id')"), parts.where("kind in ('assign', 'hex', 'weak_secret')")
     linked = save(near(parts.where("kind = 'weak_secret'"), ids).unionByName(near(parts.where("kind = 'weak_id'"), keys)), "linked")

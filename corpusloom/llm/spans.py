@@ -55,6 +55,65 @@ def spans(text: Column, kind: str, pattern: str, valid: Callable[[Column], Colum
     return out if only_if is None else F.when(only_if, out).otherwise(none)
 
 
+def overlapping(a: Column, b: Column, how: Callable[[Column, Column], Column]) -> Column:
+    """how(x, the spans of b that overlap x) for each span x of a, which goes by start. Blocks of a are held against b first, and
+    their parts against what is left of it, so many spans in one text cost little more than their number."""
+    return let(a, lambda a_: let(b, lambda b_: _overlapping(a_, b_, how, (BLOCK * 32, BLOCK))))
+
+
+def _overlapping(a: Column, b: Column, how: Callable[[Column, Column], Column], sizes: tuple[int, ...]) -> Column:
+    meets = lambda y, low, high: (y["start"] < high) & (y["end"] > low)
+    if not sizes:
+        return F.transform(a, lambda x: how(x, F.filter(b, lambda y: meets(y, x["start"], x["end"]))))
+    n = sizes[0]
+
+    def part(k: Column) -> Column:
+        reach = lambda p: F.struct(p[0]["start"].alias("low"), F.array_max(F.transform(p, lambda x: x["end"])).alias("high"))
+        near = lambda p: let(reach(p), lambda r: F.filter(b, lambda y: meets(y, r["low"], r["high"])))
+        return let(F.slice(a, k * n + 1, F.lit(n)), lambda p: let(near(p), lambda rest: _overlapping(p, rest, how, sizes[1:])))
+
+    return F.flatten(F.transform(_blocks(a, n), part))
+
+
+def _blocks(a: Column, n: int = BLOCK) -> Column:
+    """0, 1, ... for each n items of a."""
+    return F.filter(F.sequence(F.lit(0), F.floor(F.size(a) / n).cast("int")), lambda k: k * n < F.size(a))
+
+
+def highest_before(values: Column) -> Column:
+    """For each of an array's longs the highest of those before it, or 0."""
+    top = lambda x: F.coalesce(F.array_max(x), F.lit(0).cast("long"))
+
+    def scan(parts: Column) -> Column:
+        tops = F.transform(parts, F.array_max)
+        within = lambda p, base: F.transform(p, lambda _, i: F.greatest(base, top(F.slice(p, F.lit(1), i))))
+        return F.flatten(let(tops, lambda t: F.transform(parts, lambda p, k: let(top(F.slice(t, F.lit(1), k)), lambda base: within(p, base)))))
+
+    return let(F.transform(_blocks(values), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK))), scan)
+
+
+def replaced(text: Column, all_spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with each group of overlapping spans replaced by mark(kind), the kind of its first span."""
+    sorted_ = F.array_sort(F.transform(all_spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["kind"].alias("k"))))
+
+    def cut(spans_: Column, ends: Column) -> Column:
+        both = F.arrays_zip(spans_.alias("s"), highest_before(ends).alias("from"))
+        heads = F.transform(F.filter(both, lambda x: x["s"]["a"] >= x["from"]), lambda x: F.struct(x["from"].alias("from"), x["s"]["a"].alias("to"), x["s"]["k"].alias("k")))
+        tail = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.length(text))
+
+        # A block's stretch of the text is cut out once, then its pieces from that.
+        def pieces(p: Column) -> Column:
+            base = p[0]["from"]
+            stretch = F.substring(text, (base + 1).cast("int"), (F.element_at(p, -1)["to"] - base).cast("int"))
+            piece = lambda t, h: F.concat(F.substring(t, (h["from"] - base + 1).cast("int"), (h["to"] - h["from"]).cast("int")), mark(h["k"]))
+            return let(stretch, lambda t: F.array_join(F.transform(p, lambda h: piece(t, h)), ""))
+
+        return let(heads, lambda hs: F.concat(F.array_join(F.transform(_blocks(hs), lambda k: let(F.slice(hs, k * BLOCK + 1, F.lit(BLOCK)), pieces)), ""), tail))
+
+    done = let(sorted_, lambda s: let(F.transform(s, lambda x: -x["b"]), lambda ends: cut(s, ends)))
+    return F.when(F.size(all_spans) > 0, done).otherwise(text)
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 

@@ -240,3 +240,21 @@ def test_encode_then_decode(spark):
     path = queries.tokenizer_path()
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df, path), path).collect()}
     assert back == {1: "Hello  wörld 😀\n\n tabs\t'll <|endoftext|> 123", 2: ""}
+
+
+def test_long_runs_and_many_spans(spark):
+    runs = ["a" * 1_000_000 + " 1", "1" * 1_000_000, "漢字" * 500_000 + " 5 x", "a@" * 500_000, "a." * 500_000, "password" + " " * 500_000 + "=x"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(runs)]
+    assert [r.base for r in sorted(pii.personal_data(frame(spark, rows, False)).collect())] == [[]] * len(runs)
+    hexes = [[("hex", 0, 1_000_000)], [("hex", 0, 1_000_000)], [], [], [], []]
+    assert [[tuple(s) for s in r.base] for r in sorted(secrets.secrets(frame(spark, rows, False)).collect())] == hexes
+    many = " ".join(f"a{i}@b.org, {i % 300}.1.1.1 +1 555 010 {1000 + i} 漢" for i in range(2_000))
+    df = frame(spark, [(1, many, "en", "s", 1)], False)
+    (got,) = pii.personal_data(df).collect()
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got.base) == brute.base([(1, many)], brute.PII, True)[0][-1]
+    pos, out = 0, []
+    for a, b, kind in sorted((s.start, -s.end, s.kind) for s in got.spans):
+        if a >= pos:
+            out += [many[pos:a], f"<{kind.upper()}>"]
+        pos = max(pos, -b)
+    assert pii.redact(df).first().text == "".join(out) + many[pos:]
