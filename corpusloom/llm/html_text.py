@@ -6,7 +6,10 @@ Gaussian and compared with the ratios' standard deviation; lines above it form c
 main elements, and outside them the runs of lines between boilerplate elements) that hold a cluster are content, and a
 content region is kept whole, so short paragraphs and headings inside it stay. Article and main elements bound the regions and
 the smoothing, no more: each needs a cluster of its own. An article inside main is a region apart, and what main holds around
-its articles goes with any of them. If no article or main element has a cluster, the one that comes nearest is kept besides.
+its articles goes with any of them. A page's only article or main element is kept besides if it has no cluster.
+
+Elements of boilerplate tags are never content. Names (class, id, role) that hint at boilerplate are evidence, no verdict: lines
+in such elements wait until no other region of the page has text, and a main element inside lifts the hint.
 """
 
 from __future__ import annotations
@@ -26,39 +29,52 @@ from .common import column, runs, ship
 BOILERPLATE = frozenset("head nav header footer aside form script style noscript template iframe svg object select button textarea dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Fixed: words of class, id and role values that mark menus, adverts, notices, sidebars and comments.
-MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
+#: Fixed: words of class, id and role values that hint at menus, adverts, notices, sidebars, teasers and comments.
+MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar widget complementary contentinfo search".split())
 MAIN = ("article", "main")
 RADIUS, SIGMA = 2, 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
 _WORD = re.compile(r"[a-z]+")
 
 
+#: Fixed: elements whose start ends an open one of the same name, and those that keep it from looking further out.
+ENDED = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: How sure it is that an element is no content.
+CONTENT, HINT, NEVER = range(3)
+
+
 class Lines(HTMLParser):
-    """Feeds on a page and gathers lines: (text, tags, main element or 0, run)."""
+    """Feeds on a page and gathers lines: (text, tags, main element or 0, run, whether names hint at boilerplate).
+
+    Open elements are a stack, and for each tag the places where it is open, so that an end tag finds its start without a walk."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, main element
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, how sure it is no content from here on, main element
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # where elements are open that end a line, paragraphs left out
         self.parts: list[str] = []
         self.tags = self.mains = self.run = 0
         self.around: dict[int, int] = {}  # of an article: the main element around it, or 0
 
+    def state(self) -> tuple[int, int]:
+        return self.stack[-1][1:] if self.stack else (CONTENT, 0)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            drop, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-            if drop:
+            sure, main = self.state()
+            if sure == NEVER:
                 self.run += 1
             else:
-                self.lines.append((text, self.tags, main, self.run))
-        if text:
+                self.lines.append((text, self.tags, main, self.run, sure == HINT))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS or tag in BOILERPLATE:
+        parts = tag in BLOCKS or tag in BOILERPLATE
+        if parts:
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
@@ -66,56 +82,72 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag == "p":  # a paragraph ends the one before it
-            self.close_to("p", BLOCKS - {"p"})
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self.close_to(tag, frozenset(("ul", "ol", "dl", "table", "select", "tbody", "thead", "tfoot") if tag not in ("td", "th") else ("tr", "table")))
-        drop, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-        if not drop and (tag in BOILERPLATE or (attrs and tag not in ("html", "body") and self.marked(attrs))):
-            drop = True
-        if not drop and (tag == "article" and main not in self.around or tag == "main" and not main):
+            self.close_to("p", self.blocks[-1] if self.blocks else -1)
+        elif tag in ENDED:
+            self.close_to(tag, max(self.last(t) for t in ENDED[tag]))
+        before, main = self.state()
+        sure = before
+        if tag in BOILERPLATE or (attrs and self.hidden(attrs)):
+            sure = NEVER
+        elif before == CONTENT and attrs and tag not in ("html", "body", "main") and self.hinted(attrs):
+            sure = HINT
+        elif before == HINT and tag == "main":
+            sure = CONTENT
+        if sure != NEVER and (tag == "article" and main not in self.around or tag == "main" and not main):
             self.mains += 1
             if tag == "article":
                 self.around[self.mains] = main
             main = self.mains
-        if tag in BLOCKS or tag in BOILERPLATE or drop != (bool(self.stack) and self.stack[-1][1]):
-            if tag not in BLOCKS and tag not in BOILERPLATE:
+        if parts or sure != before:
+            if not parts:
                 self.flush()
-            self.stack.append((tag, drop, main))
+            if sure != before:
+                self.run += 1
+            self.open.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCKS and tag != "p":
+                self.blocks.append(len(self.stack))
+            self.stack.append((tag, sure, main))
+
+    @staticmethod
+    def hinted(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs)
 
     @staticmethod
-    def marked(attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value.lower())):
-                return True
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
-
-    def close_to(self, tag: str, barriers: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in barriers:
-                return
+    def hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+    def last(self, tag: str) -> int:
+        """Where tag was opened last and is still open, or -1."""
+        at = self.open.get(tag)
+        return at[-1] if at else -1
+
+    def close_to(self, tag: str, barrier: int) -> bool:
+        """Closes the innermost open tag and what is open inside it, unless barrier is further in."""
+        at = self.last(tag)
+        if at < 0 or at < barrier:
+            return False
+        self.flush()
+        changed = self.stack[at][1] != (self.stack[at - 1][1] if at else CONTENT)
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+        self.run += changed
+        return True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in BOILERPLATE:
             self.flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in MAIN and tag not in MAIN and tag not in ("body", "html"):
-                return
+        # What is open outside an article or main element is not closed from inside it.
+        self.close_to(tag, -1 if tag in MAIN or tag in ("body", "html") else max(self.last(t) for t in MAIN))
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
 
-def smoothed(ratios: list[float], areas: list[int]) -> list[float]:
+def smoothed(ratios: list[float], areas: list) -> list[float]:
     """Each ratio with those around it in the same area."""
     out = []
     for i in range(len(ratios)):
@@ -128,26 +160,29 @@ def smoothed(ratios: list[float], areas: list[int]) -> list[float]:
     return out
 
 
+def chosen_lines(lines: list[tuple[str, int, int, int, bool]], around: dict[int, int]) -> list[bool]:
+    """Which lines are content: those of the regions with a cluster."""
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines], [(main, run if not main else 0) for _, _, main, run, _ in lines])
+    mean = sum(ratios) / len(ratios)
+    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    regions = [("main", main) if main else ("run", run) for _, _, main, run, _ in lines]
+    chosen = {g for g, r in zip(regions, ratios, strict=True) if r >= threshold}
+    mains = {g for g in regions if g[0] == "main"}
+    if len(mains) == 1:
+        chosen |= mains
+    chosen |= {("main", around.get(k, 0)) for kind, k in chosen if kind == "main"}
+    return [g in chosen for g in regions]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = [x for x in parser.lines if not x[4]] or parser.lines
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], [main for _, _, main, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    regions = [("main", main) if main else ("run", run) for _, _, main, run in lines]
-    chosen = {g for g, r in zip(regions, ratios, strict=True) if r >= threshold}
-    inside = [(r, g) for g, r in zip(regions, ratios, strict=True) if g[0] == "main"]
-    if inside and not any(g[0] == "main" for g in chosen):
-        chosen.add(max(inside)[1])
-    chosen |= {("main", parser.around.get(k, 0)) for kind, k in chosen if kind == "main"}
-    if not chosen:
-        chosen = set(regions)
-    return "\n".join(text for (text, _, _, _), g in zip(lines, regions, strict=True) if g in chosen)
+    return "\n".join(x[0] for x, keep in zip(lines, chosen_lines(lines, parser.around), strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

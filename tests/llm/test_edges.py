@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; hot groups; learned and linked spans."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -86,6 +87,54 @@ def test_clusters_choose_regions():
     assert html_text.main_text(f"<article><ul><li>egg</li><li>salt</li></ul></article><nav>menu</nav><div><p>{long}</p><p>{long}</p></div>").startswith("egg\nsalt\n")
 
 
+def made_page(r):
+    """A page of blocks with and without article and main elements, and the text that is its content."""
+    sentence = lambda n: " ".join(f"{r.choice('the of wind river stone light old runs over and'.split())}{r.randrange(30)}" for _ in range(n))
+    paragraph = lambda: sentence(r.randrange(30, 80))
+    links = lambda: "".join(f"<li><a href='/{i}'><i>{sentence(1)}</i></a></li>" for i in range(r.randrange(2, 9)))
+    blocks = [("h1", sentence(4))] + [("p", paragraph() if r.random() < 0.8 else sentence(3)) for _ in range(r.randrange(3, 9))] + [("p", paragraph())]
+    body = "".join(f"<{tag}>{'<b>' + t + '</b>' if r.random() < 0.2 else t}</{tag}>" for tag, t in blocks)
+    junk = [f"<nav><ul>{links()}</ul></nav>", f"<aside>{paragraph()}</aside>", f"<div class='ad'>{paragraph()}</div>", f"<form><p>{paragraph()}</p><input><button>go</button></form>", f"<div id='cookie-notice'><p>{paragraph()}</p></div>", f"<section class=comments><article><p>{paragraph()}</p></article></section>", f"<script>var a = '<p>{paragraph()}</p>';</script>", f"<footer>{paragraph()}</footer>"]
+    cards = "".join(f"<article><a href='/{i}'><b>{sentence(1)}</b> <i>more</i> <u>{i}</u></a></article>" for i in range(r.randrange(3, 7)))
+    inner = {"none": body, "div": f"<div class='post'>{body}</div>", "article": f"<article>{body}</article>", "main": f"<main><div>{body}</div></main>", "many": f"{cards}<article>{body}</article>{cards}", "both": f"<main><article>{body}</article></main>"}[r.choice("none div article main many both".split())]
+    r.shuffle(junk)
+    k = r.randrange(len(junk))
+    return f"<html><head><title>{sentence(3)}</title></head><body>{''.join(junk[:k])}{inner}{''.join(junk[k:])}</body></html>", "\n".join(t for _, t in blocks)
+
+
+def test_pages_with_none_one_and_many_articles():
+    r = random.Random(11)
+    pages = [made_page(r) for _ in range(300)]
+    assert sum(html_text.main_text(html) == text for html, text in pages) == len(pages)
+    # Without the clusters, whether by taking all articles or all that is no boilerplate, cards come along.
+    every = lambda html: "\n".join(x[0] for x in parsed(html).lines if not x[4])
+    assert sum(every(html) == text for html, text in pages) < len(pages) * 0.95
+
+
+def parsed(html):
+    p = html_text.Lines()
+    p.feed(html)
+    p.close()
+    p.flush()
+    return p
+
+
+def test_hints_are_evidence():
+    long = ("A long sentence of the page's own text that goes on for a while. " * 4).strip()
+    assert html_text.main_text(f"<div class='search-results'><p>{long}</p></div>") == long
+    assert html_text.main_text(f"<div class='page has-sidebar'><main><p>{long}</p></main><div class='sidebar'><p>{long} Aside.</p></div></div>") == long
+    assert html_text.main_text(f"<article class='teaser'><p>teaser</p></article><div><p>{long}</p></div>") == long
+    assert html_text.main_text(f"<article><p>{long}</p></article><div id='comments'><article><p>{long} I agree.</p></article></div>") == long
+
+
+@pytest.mark.parametrize("tags", ["<div> <a> </a> x", "<div> x </div>", "<p> <article> <div> </p> x", "<button> </button> <p> x", "<li> x", "<article> x", "<div/class=ad> x </div>", "<span/class=ad> </span> x"])
+def test_deep_pages_take_linear_time(tags):
+    page = "".join(tag if tag == "x" else tag.replace("/class", " class") * 20_000 for tag in tags.split())
+    began = time.perf_counter()
+    assert html_text.main_text(page) == "x"
+    assert time.perf_counter() - began < 10
+
+
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (3, [2.0, 4.0, 6.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [1.0, 2.0]), (10, []), (11, [-1.0, -2.0, -3.0]), (12, [1e200, 2e200, 3e200])]
