@@ -130,6 +130,24 @@ class Words:
                 self._hashes = mix(np.add.reduceat(terms, starts - starts[0]) + (self.ends - starts).astype(np.uint64))
         return self._hashes
 
+    def take(self, picks: np.ndarray) -> Words:
+        """The words of some of the texts, in their order, without parting them anew."""
+        if len(picks) == len(self.counts):
+            return self
+        out = Words.__new__(Words)
+
+        def gather(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sizes = bounds[picks + 1] - bounds[picks]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            return np.arange(ends[-1]) + np.repeat(bounds[picks] - ends[:-1], sizes), ends, sizes
+
+        at, out.offsets, _ = gather(self.offsets)
+        words, out.first, out.counts = gather(self.first)
+        move = np.repeat(out.offsets[:-1] - self.offsets[picks], out.counts)
+        out.data, out.starts, out.ends = self.data[at], self.starts[words] + move, self.ends[words] + move
+        out._table, out._hashes = self._table, None if self._hashes is None else self._hashes[words]
+        return out
+
     @property
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -6,6 +6,8 @@ from .common import WORD
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: White space that parts words.
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _COSINE = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
 #: The smallest node that is reachable by links(a, b), for each node of nodes(id).
 _REACH = "both AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(id, comp) AS (SELECT id, id FROM nodes UNION SELECT both_.b, reach.comp FROM reach JOIN both_ ON both_.a = reach.id), found AS (SELECT id, min(comp) AS component_id FROM reach GROUP BY id)".replace("both AS", "both_ AS")
@@ -35,6 +37,8 @@ SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id
 l AS (SELECT doc_id, sum(c - 1) AS dup, sum(c) AS lines FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id, line) GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT i + j) AS rep FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1), range(5) q(j) GROUP BY doc_id),
-m AS (SELECT doc_id, len(ws) AS n, length(array_to_string(ws, '')) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS sym, CAST(coalesce(dup, 0) AS BIGINT) AS dup, coalesce(lines, 0) AS lines, coalesce(rep, 0) AS rep FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
-SELECT doc_id, n AS n_words, chars AS word_chars, sym AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, n < 10 OR 100 * rep > 20 * n AS base_failed, NOT (n < 10 OR 100 * rep > 20 * n OR 4 * sym > n OR 2 * dup > lines OR 2 * chars < 3 * n OR chars > 40 * n) AS kept FROM m""",
+t AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS x FROM w) GROUP BY doc_id, x) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS worded, count_if(ltrim(line, {_BLANK})[1] IN ('-', '*')) AS bullets, count_if(rtrim(line, {_BLANK}) LIKE '%...') AS dots FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws) AS n, length(array_to_string(ws, '')) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS sym, CAST(coalesce(dup, 0) AS BIGINT) AS dup, coalesce(lines, 0) AS lines, coalesce(rep, 0) AS rep, len(regexp_extract_all(text, '[0-9]')) AS digits, coalesce(top, 0) AS top, coalesce(worded, 0) AS worded, coalesce(bullets, 0) AS bullets, coalesce(dots, 0) AS dots FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, n AS n_words, chars AS word_chars, sym AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, n < 10 OR 100 * rep > 20 * n AS base_failed, NOT (n < 10 OR 100 * rep > 20 * n OR 4 * sym > n OR 2 * dup > lines OR 2 * chars < 3 * n OR chars > 40 * n OR 10 * digits > 3 * chars OR worded >= 5 AND (10 * bullets > 9 * worded OR 10 * dots > 3 * worded) OR n >= 20 AND 10 * top > 4 * n) AS kept FROM m""",
 }

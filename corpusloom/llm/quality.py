@@ -1,13 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a measure and a verdict. On a bounded sample the driver takes each measure's time and each rule's share of
-rejections; rules are then applied in the order of rejections per second, and a later rule's measure is taken for the
-documents only that all earlier rules let pass. The order decides what a run costs, never which documents it keeps.
+Every rule has a measure and a verdict. On a bounded sample the driver takes what each measure has to touch (bytes, words, and
+words sorted: a count, so reruns agree) and each rule's share of rejections; rules are then applied in the order of rejections
+per cost, and a later rule's measure is taken for the documents only that all earlier rules let pass. The order decides what a
+run costs, never which documents it keeps.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import _SPACE, Words, column, mix, powers, runs, ship, windows
 
-#: Documents that costs and selectivities are estimated on, and the longest of them: together they bound what the driver holds.
+#: Documents, about, that costs and selectivities are estimated on, and the longest of them: they bound what the driver holds.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1 << 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -86,39 +86,103 @@ def n_repeat_words(w: Words, k: int = 5) -> dict[str, np.ndarray]:
     return {"n_words": w.counts.astype(np.int64), "n_repeat_words": _per_text(covered, w.first)}
 
 
+def n_digits(w: Words) -> dict[str, np.ndarray]:
+    return word_chars(w) | {"n_digits": _per_text((w.data >= 48) & (w.data <= 57), w.offsets)}
+
+
+def n_top_word(w: Words) -> dict[str, np.ndarray]:
+    """How often a text has its most frequent word."""
+    out = np.zeros(len(w.counts), np.int64)
+    if len(w.starts):
+        of = w.text_of
+        order = np.lexsort((w.hashes, of))
+        key, of = w.hashes[order], of[order]
+        begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
+        np.maximum.at(out, of[begins], np.diff(np.append(begins, len(of))))
+    return {"n_words": w.counts.astype(np.int64), "n_top_word": out}
+
+
+def n_marked_lines(w: Words) -> dict[str, np.ndarray]:
+    """Lines that hold a word, those whose first word starts with - or *, and those whose last word ends in three dots."""
+    texts, of = len(w.counts), w.text_of
+    if not len(w.starts):
+        return dict.fromkeys(("n_worded_lines", "n_bullets", "n_ellipses"), np.zeros(texts, np.int64))
+    line = np.concatenate([[0], np.cumsum(w.data == 10)])[w.starts]
+    change = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
+    first, last = np.append(True, change), np.append(change, True)
+    head = w.data[w.starts[first]]
+    dots = np.ones(int(last.sum()), bool)
+    for k in (1, 2, 3):
+        dots &= w.data[np.maximum(w.ends[last] - k, w.starts[last])] == 46
+    dots &= w.ends[last] - w.starts[last] >= 3
+    count = lambda rows: np.bincount(rows, minlength=texts).astype(np.int64)
+    return {"n_worded_lines": count(of[first]), "n_bullets": count(of[first][(head == 45) | (head == 42)]), "n_ellipses": count(of[last][dots])}
+
+
+def _bytes(w: Words) -> float:
+    return len(w.data)
+
+
+def _texts(w: Words) -> float:
+    return len(w.counts)
+
+
+def _words(w: Words) -> float:
+    return 4 * len(w.starts)
+
+
+def _sorted_words(w: Words) -> float:
+    return len(w.data) + len(w.starts) * (8 + np.log2(len(w.starts) + 2))
+
+
 @dataclass(frozen=True)
 class Rule:
+    """A measure, what it touches in some texts, and which texts are rejected by it."""
+
     name: str
     measure: Callable[[Words], dict[str, np.ndarray]]
+    cost: Callable[[Words], float]
     rejects: Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
-#: The production rules. The first two are the contract's base rules.
+#: The contract's base rules, then those that only what passes has to be measured for.
 RULES = (
-    Rule("too_few_words", n_words, lambda m: m["n_words"] < 10),
-    Rule("repeated_words", n_repeat_words, lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
-    Rule("symbols", n_symbols, lambda m: 4 * m["n_symbols"] > m["n_words"]),
-    Rule("duplicate_lines", n_dup_lines, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
-    Rule("word_length", word_chars, lambda m: (2 * m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 40 * m["n_words"])),
+    Rule("too_few_words", n_words, _texts, lambda m: m["n_words"] < 10),
+    Rule("repeated_words", n_repeat_words, _sorted_words, lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbols", n_symbols, _bytes, lambda m: 4 * m["n_symbols"] > m["n_words"]),
+    Rule("duplicate_lines", n_dup_lines, _bytes, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    Rule("word_length", word_chars, _bytes, lambda m: (2 * m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 40 * m["n_words"])),
+    Rule("digits", n_digits, _bytes, lambda m: 10 * m["n_digits"] > 3 * m["word_chars"]),
+    Rule("marked_lines", n_marked_lines, _words, lambda m: (m["n_worded_lines"] >= 5) & ((10 * m["n_bullets"] > 9 * m["n_worded_lines"]) | (10 * m["n_ellipses"] > 3 * m["n_worded_lines"]))),
+    Rule("one_word", n_top_word, _sorted_words, lambda m: (m["n_words"] >= 20) & (10 * m["n_top_word"] > 4 * m["n_words"])),
 )
+#: The measures that may be asked for all documents, and what takes them.
+TAKERS = (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
-def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """The rules by rejections per second on SAMPLE_DOCS documents of at most SAMPLE_CHARS (chosen by a hash of the text), most
-    first; ties by place in rules. The sample sets the order alone: all documents are judged."""
-    text = column(docs, text_col).cast("string")
-    sample = docs.select(text.alias("t")).where((F.length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("t"), F.lit(16)) == 0)).limit(SAMPLE_DOCS).toArrow()
-    texts = sample.column(0).combine_chunks() if sample.num_rows else pa.array([], pa.string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    spent, hits = dict.fromkeys((r.name for r in rules), 1e-9), dict.fromkeys((r.name for r in rules), 0)
+def sample(docs: DataFrame, text_col: str) -> pa.Array:
+    """About SAMPLE_DOCS texts of at most SAMPLE_CHARS. A hash of the whole row below a bound picks them, so a task gives no more
+    than its share, however many tasks there are; copies under different ids fall apart; and a limit holds for copied rows."""
+    names = [f for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map", "variant"))]
+    n = docs.count()
+    bound = -(2**63) + min(2**64 - 1, 2**64 * SAMPLE_DOCS // max(n, 1))
+    row = F.xxhash64(*(column(docs, f.name) for f in names))
+    texts = docs.select(column(docs, text_col).cast("string").alias("t"), row.alias("h")).where((F.col("h") <= bound) & (F.length("t") <= SAMPLE_CHARS))
+    got = texts.select("t").limit(2 * SAMPLE_DOCS).toArrow().column(0)
+    return pa.concat_arrays(got.chunks) if got.num_chunks else pa.array([], pa.string())
+
+
+def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, paid: tuple = ()) -> list[Rule]:
+    """The rules by rejections per cost on sample(), most first; ties by place in rules. Measures in paid are taken anyhow and
+    cost no more than a look. The sample sets the order alone: all documents are judged."""
+    texts = sample(docs, text_col)
+    spent, hits = dict.fromkeys((r.name for r in rules), 1.0), dict.fromkeys((r.name for r in rules), 0)
     for a, b in runs(texts):
+        w = Words(texts.slice(a, b - a))
         for r in rules:
-            w = Words(texts.slice(a, b - a))
-            began = time.perf_counter()
             hits[r.name] += int(r.rejects(r.measure(w)).sum())
-            spent[r.name] += time.perf_counter() - began
+            spent[r.name] += _texts(w) if r.measure in paid else r.cost(w)
     return sorted(rules, key=lambda r: -hits[r.name] / spent[r.name])
 
 
@@ -126,43 +190,46 @@ def _cascade(rules: list[Rule], complete: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in runs(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a)
-                size = b - a
+                size, w = b - a, Words(batch.column(1).slice(a, b - a))
                 got = {m: np.full(size, -1, np.int64) for m in MEASURES}
-                failed = np.full(size, -1)
-                alive, w = np.arange(size), Words(texts)
+                failed, tried, alive = np.full(size, -1), np.zeros(size, np.int64), np.arange(size)
+                held = alive  # the texts that w has
+                for take in TAKERS if complete else ():
+                    got |= take(w)
                 for i, rule in enumerate(rules):
                     if not len(alive):
                         break
-                    if not complete and len(alive) < len(w.counts):
-                        w = Words(texts.take(pa.array(alive)))
-                    m = rule.measure(w)
-                    for k, v in m.items():
-                        got[k][np.arange(size) if complete else alive] = v
-                    bad = rule.rejects(m)
-                    if complete:
-                        failed[bad & (failed < 0)] = i
+                    if complete and rule.measure in TAKERS:
+                        m = {k: v[alive] for k, v in got.items()}
                     else:
-                        failed[alive[bad]] = i
-                        alive = alive[~bad]
+                        w, held = w.take(np.searchsorted(held, alive)), alive
+                        m = rule.measure(w)
+                        for k in m.keys() & got.keys():
+                            got[k][alive] = m[k]
+                    bad = rule.rejects(m)
+                    tried[alive] += 1
+                    failed[alive[bad]] = i
+                    alive = alive[~bad]
                 names = pa.array([None if i < 0 else rules[i].name for i in failed], pa.string())
                 cols = [pa.array(got[m], pa.int64(), mask=got[m] < 0) for m in MEASURES]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, size), *cols, names], ["id", *MEASURES, "failed_rule"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, size), *cols, names, pa.array(tried)], ["id", *MEASURES, "failed_rule", "n_rules"])
 
     return apply
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: tuple[Rule, ...] = RULES, complete: bool = False) -> DataFrame:
-    """id_col, the measures, failed_rule (null if none), kept: one row for each row of docs; its other columns are ignored.
+    """id_col, the measures, failed_rule (null if none), n_rules (how many were tried), kept: one row for each row of docs; its
+    other columns are ignored.
 
-    A measure that the cascade had no need to take is null, unless complete asks for all. failed_rule is the first rule, in
-    the estimated order, that rejects the document. Null or empty texts have no words and so fail too_few_words. Repeated
-    rows are judged each; ids, null or not, pass through. An empty table gives an empty result.
+    A measure that the cascade had no need to take is null, unless complete asks for MEASURES of all rows; the rules beyond
+    them are tried on what is left even so. failed_rule is the first rule, in the estimated order, that rejects the document.
+    Null or empty texts have no words and so fail too_few_words. Repeated rows are judged each; ids, null or not, pass
+    through. An empty table gives an empty result.
     """
-    order = order_rules(docs, text_col, rules)
+    order = order_rules(docs, text_col, rules, TAKERS if complete else ())
     ids = dict(docs.dtypes).get(id_col, "bigint")
-    judged = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(_cascade(order, complete), f"id {ids}, " + ", ".join(f"{m} long" for m in MEASURES) + ", failed_rule string")
-    return judged.select(F.col("id").alias(id_col), *MEASURES, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
+    judged = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(_cascade(order, complete), f"id {ids}, " + ", ".join(f"{m} long" for m in MEASURES) + ", failed_rule string, n_rules long")
+    return judged.select(F.col("id").alias(id_col), *MEASURES, "failed_rule", "n_rules", F.col("failed_rule").isNull().alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -164,5 +164,9 @@ def op9(docs):
         chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text))
         failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
         bad = failed or 4 * symbols > len(w) or 2 * dup > lines or 2 * chars < 3 * len(w) or chars > 40 * len(w)
+        worded = [x for x in map(words, text.split("\n")) if x]
+        bullets, dots = sum(x[0][0] in "-*" for x in worded), sum(x[-1].endswith("...") for x in worded)
+        bad = bad or 10 * len(re.findall("[0-9]", text)) > 3 * chars or (len(worded) >= 5 and (10 * bullets > 9 * len(worded) or 10 * dots > 3 * len(worded)))
+        bad = bad or (len(w) >= 20 and 10 * max(Counter(w).values()) > 4 * len(w))
         out.append((i, len(w), chars, symbols, dup, len(hit), failed, not bad))
     return sorted(out)

@@ -275,6 +275,40 @@ def test_cascade_order_changes_no_verdict(spark):
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in want if k}
 
 
+def odd_quality(n=120):
+    r = random.Random(9)
+    some = lambda k: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(k))
+    kinds = [lambda: some(r.randrange(1, 90)), lambda: " ".join(str(r.random()) for _ in range(30)), lambda: "\n".join("- " * (r.random() < 0.95) + some(4) for _ in range(9)), lambda: "\n".join(some(4) + "..." * (r.random() < 0.3) for _ in range(9)), lambda: " ".join(r.choice(["very", some(1)]) for _ in range(25)), lambda: " \n\t" + some(12) + " $#"]
+    return [(i, r.choice(kinds)(), "en", "s", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("complete", [False, True])
+def test_cascade_stops_early(spark, complete):
+    rows = odd_quality()
+    want = {r[0]: r for r in brute.op9([(r[0], r[1]) for r in rows])}
+    got = quality.quality(frame(spark, rows, False), complete=complete).collect()
+    assert {r.doc_id: r.kept for r in got} == {i: w[-1] for i, w in want.items()}
+    assert {r.failed_rule for r in got} >= {"digits", "marked_lines", "one_word", None}
+    assert all(r.n_rules == len(quality.RULES) for r in got if r.kept)
+    assert sum(r.n_rules for r in got) < 0.8 * len(quality.RULES) * len(rows)
+    assert any(r.n_repeat_words is None for r in got) != complete
+    if complete:
+        assert [tuple(r)[1:5] + (r.n_repeat_words,) for r in sorted(got)] == [want[r.doc_id][1:6] for r in sorted(got)]
+
+
+def test_same_rule_is_named_again(spark):
+    df = frame(spark, odd_quality(), False)
+    first = {(r.doc_id, r.failed_rule) for r in quality.quality(df).collect()}
+    assert first == {(r.doc_id, r.failed_rule) for r in quality.quality(df.repartition(5)).collect()}
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 20)
+    same = frame(spark, [(1, "a b c", "en", "s", 1)] * 500, False)
+    apart = frame(spark, [(i, "a b c", "en", "s", 1) for i in range(500)], False)
+    assert len(quality.sample(same, "text")) <= 40 and 5 <= len(quality.sample(apart, "text")) <= 40
+
+
 def test_texts_beyond_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_CHARS", 10)
     rows = [(i, words(200 + i, i, 5000), "en", "s", 1) for i in range(6)] + [(9, "a b " * 40, "en", "s", 1), (10, None, "en", "s", 1)]
