@@ -2,8 +2,9 @@
 
 A task writes the records of its partition, each a gzip member of its own, to an archive in the shared folder and yields an
 index row (archive, offset, length, url, digest ...) for each. The index is a table written with Spark's commit, so rows of
-lost or repeated attempts, and their archives, are in no index. A reader takes the index rows that it wants, sorts them by
-archive and offset, coalesces neighbouring byte ranges and fetches each range at once.
+lost or repeated attempts, and their archives, are in no index. A reader takes the index rows that it wants, deals them out by
+archive and offset into tasks of about TASK bytes of archive, coalesces neighbouring byte ranges and fetches each at once.
+Archives lie in the shared folder: a mounted one, or one that pyarrow's file systems know by its address (hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import column, new_path, save, ship
 
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-#: Ranges less than GAP bytes apart are fetched at once, up to RANGE bytes a fetch. An archive ends at the first record past ARCHIVE bytes.
-GAP, RANGE, ARCHIVE = 64 << 10, 4 << 20, 256 << 20
+#: Ranges less than GAP bytes apart are fetched at once, up to RANGE bytes a fetch. An archive ends at the first record past ARCHIVE
+#: bytes. A task reads about TASK bytes.
+GAP, RANGE, ARCHIVE, TASK = 64 << 10, 4 << 20, 256 << 20, 64 << 20
 #: Fixed: the date in every record, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -39,7 +41,7 @@ def open_file(uri: str, mode: str):
         return open(path, mode)
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     if mode == "wb":
         store.create_dir(path.rpartition("/")[0], recursive=True)
         return store.open_output_stream(path)
@@ -159,17 +161,25 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).cast("string").alias("url"), html.alias("html"))
     key = F.when(F.octet_length("html") >= least, F.sha2("html", 256))
     many = rows.select("page_id", key.alias("key")).where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    # Few payloads occur again: their keys are written first, so that a small table of them need not shuffle the pages.
+    # Few payloads occur again: the revisits are found on ids and keys alone and written, so that where they are few the pages
+    # are not shuffled, and where they are many no payload draws all its pages into one task.
     many = save(many.select("key", "first"), "payloads")
-    keyed = rows.withColumn("key", key).join(many, "key", "left")
-    keyed = keyed.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("first"))
+    again = rows.select("page_id", key.alias("key")).join(many, "key").where(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)))
+    again = save(again.select(F.col("page_id").alias("rid"), F.col("key").alias("rkey"), "first").distinct(), "revisits")
+    keyed = rows.withColumn("key", key).join(again, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")), "left")
+    keyed = keyed.select("page_id", "url", "html", "first")
     return save(keyed.mapInArrow(_write(new_path(spark, "warc")), INDEX), "index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """READ: the records of the index rows (any selection of them), fetched by coalesced ranges; a revisit has a null payload."""
+    """READ: the records of the index rows (any selection of them), fetched by coalesced ranges; a revisit has a null payload.
+
+    Tasks are as many as the bytes asked for need, at least one for each core: rows of an index are small, what they name is not.
+    """
     wanted = index.select("archive", "offset", "length")
-    wanted = wanted.repartition("archive", F.floor(F.col("offset") / RANGE)).sortWithinPartitions("archive", "offset")
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    wanted = wanted.repartitionByRange(int(tasks), "archive", "offset").sortWithinPartitions("archive", "offset")
     return wanted.mapInArrow(_read, READ)
 
 

@@ -87,6 +87,39 @@ def test_clusters_choose_regions():
     assert html_text.main_text(f"<article><ul><li>egg</li><li>salt</li></ul></article><nav>menu</nav><div><p>{long}</p><p>{long}</p></div>").startswith("egg\nsalt\n")
 
 
+def test_many_archives_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 4_000)
+    monkeypatch.setattr(warc, "GAP", 200)
+    monkeypatch.setattr(warc, "RANGE", 1_500)
+    monkeypatch.setattr(warc, "TASK", 3_000)
+    r = random.Random(2)
+    html = [None if i % 17 == 0 else f"same {i % 5}" * 40 if i % 3 == 0 else words(r.randrange(1, 400), i, 10**6) for i in range(200)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    index = warc.write_archives(pages)
+    assert index.select("archive").distinct().count() > 6
+    back = warc.read_records(index)
+    assert back.rdd.getNumPartitions() >= index.agg(F.sum("length")).first()[0] // 3_000
+    assert sorted((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in back.collect()) == brute.op2(list(enumerate(html)))
+    some = {x.page_id: x.payload for x in warc.read_records(index.where("page_id % 7 = 1")).collect()}
+    assert some.keys() == set(range(1, 200, 7)) and all(p is None or bytes(p).decode() == (html[i] or "") for i, p in some.items())
+
+
+def test_fetch_coalesces_neighbours(tmp_path, monkeypatch):
+    members = [__import__("gzip").compress(warc.record(i, "u", b"x" * 50, None)) for i in range(30)]
+    path = str(tmp_path / "a.warc.gz")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    ends = np.cumsum([len(m) for m in members]).tolist()
+    rows = [(path, e - len(m), len(m)) for e, m in zip(ends, members, strict=True)]
+    opened = []
+    real = warc.open_file
+    monkeypatch.setattr(warc, "open_file", lambda uri, mode: opened.append(uri) or real(uri, mode))
+    monkeypatch.setattr(warc, "GAP", 10)
+    for picked, fetches in ((rows, 1), (rows[::2], 15), (rows[:10] + rows[20:], 2)):
+        opened.clear()
+        assert [warc.parse(raw)[0]["warc-record-id"] for _, raw in warc._fetch(picked)] == [f"<urn:page:{rows.index(x)}>" for x in picked]
+        assert len(opened) == fetches
+
+
 def made_page(r):
     """A page of blocks with and without article and main elements, and the text that is its content."""
     sentence = lambda n: " ".join(f"{r.choice('the of wind river stone light old runs over and'.split())}{r.randrange(30)}" for _ in range(n))
@@ -311,7 +344,8 @@ def test_sample_is_bounded(spark, monkeypatch):
 
 def test_texts_beyond_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_CHARS", 10)
-    rows = [(i, words(200 + i, i, 5000), "en", "s", 1) for i in range(6)] + [(9, "a b " * 40, "en", "s", 1), (10, None, "en", "s", 1)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, words(200 + i, i, 5000).translate(letters), "en", "s", 1) for i in range(6)] + [(9, "a b " * 40, "en", "s", 1), (10, None, "en", "s", 1)]
     want = {r[0]: r[-1] for r in brute.op9([(r[0], r[1]) for r in rows])}
     df = frame(spark, rows, False)
     assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == want
