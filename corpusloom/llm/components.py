@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from .common import drop, save
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: A node with so many edges, or a FEWth of all of them, is joined by broadcast: at most 2 * FEW nodes are.
+MANY, FEW = 512, 50_000
+
+
+def _with_least(edges: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the smallest v of u in groups. No node's edges meet in one task."""
+    low = groups.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    many = max(MANY, total // FEW)
+    hot = low.where(F.col("n") >= many).select(F.col("u").alias("hu"), F.col("m").alias("hm"))
+    met = edges.join(F.broadcast(hot), F.col("u") == F.col("hu"), "left")
+    rest = met.where("hu is null").select("u", "v").join(low.where(F.col("n") < many).select("u", "m"), "u")
+    return met.where("hu is not null").select("u", "v", F.col("hm").alias("m")).union(rest.select("u", "v", "m"))
+
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), both, 2 * total).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    met = _with_least(down, down, total)
+    return met.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,14 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
     executor costs a stage and not the history. A node with many links never meets in one task: groups keep only a minimum,
     and the joins back can be split.
     """
-    now = save(_small(edges.where("u is not null and v is not null and u <> v")).distinct(), "cc")
+    given = edges.where("u is not null and v is not null and u <> v")
+    now = save(_small(given, given.count()).distinct(), "cc")
     state = None
     while True:
         stars = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
         if tuple(stars) == state or not stars["n"]:
             break
         state = tuple(stars)
-        after = save(_small(_large(now)).distinct(), "cc")
+        after = save(_small(_large(now, stars["n"]), stars["n"]).distinct(), "cc")
         drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

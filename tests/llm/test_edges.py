@@ -180,8 +180,9 @@ def test_odd_vectors(spark):
 
 
 def test_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "BLOCK", 16)
-    monkeypatch.setattr(embedding, "PER_PIVOT", 20)
+    monkeypatch.setattr(embedding, "HOME_BYTES", 8 * 8 * 24)
+    monkeypatch.setattr(embedding, "ROWS", 16)
+    monkeypatch.setattr(embedding, "COLUMNS", 5)
     r = np.random.default_rng(4)
     centre = r.normal(size=(12, 8))
     rows = [(i, (centre[i % 12] + r.normal(scale=0.25, size=8)).tolist()) for i in range(240)]
