@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .tables import CHUNK, MARKDOWN, MIXED, QUERY, WIKI
+from .tables import CHUNK, MARKDOWN, MIXED, PIECES, QUERY, wiki_sql
 
 EMOJI = "\U0001f534\U0001f7e2"
 
@@ -99,41 +99,24 @@ hits AS (SELECT r.query_id, r.rank, r.id, r.score, CASE len(x.parts) WHEN 2 THEN
 CONTEXTS = "b AS (SELECT *, '[' || (rank + 1) || '] ' || page_title || CASE WHEN section_heading <> '' THEN ' - ' || section_heading ELSE '' END || CASE WHEN date <> '' THEN ' (last modified ' || date || ')' ELSE '' END || chr(10) || text AS block FROM hits), y AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b), contexts AS (SELECT query_id, coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) FILTER (used <= 14000), '') AS context, count(*) FILTER (used <= 14000) AS n_sources FROM y GROUP BY query_id)"
 BASE = f"WITH {CHUNKS}, {QUESTIONS}, {POSTINGS}, {WEIGHTS}, {LEXICAL}, {dense('dense')}, {FUSED}"
 FULL = f"{BASE}, {RERANKED}, {EXPANDED}, {CONTEXTS}"
-WIKI_DOCS = f"WITH w AS (SELECT doc_id, {WIKI} AS text FROM documents)"
+#: What phases make of a document's own text and of the faults behind it; elsewhere both stay as they are.
+_PLAIN, _BOLD = ("replace(coalesce(text, ''), ' the ', ' " + mark + "the" + mark + " ')" for mark in ("*", "**"))
+_LEFT = "CASE WHEN doc_id % 7 = 0 THEN '<nop' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN ' {}' ELSE '' END || chr(10)"
+_BODIES = {"inline": {"body": _BOLD}, "wikiwords": {"faults": _LEFT.format("%AB% ")}, "cleanup": {"body": re(_PLAIN, "(?m)[ \\t]+$"), "faults": _LEFT.format("%!AB%")}, "full": {"body": re(_BOLD, "(?m)[ \\t]+$"), "faults": _LEFT.format("%AB%")}}
 
 
-def phase(expr: str) -> str:
-    return f"{WIKI_DOCS} SELECT doc_id, {expr} AS text FROM w"
+def phase(name: str, out: str = "text") -> str:
+    text = wiki_sql(name, **_BODIES.get(name, {}))
+    if name in ("cleanup", "full"):
+        text = re(f"({text})", "\\n+$") + " || chr(10)"
+    return f"SELECT doc_id, {text} AS {out} FROM documents"
 
 
-def variables(t: str) -> str:
-    t = re(re(re(t, "%BR%", "<br>"), "%VBAR%", "\\\\|"), "%CARET%", "^")
-    for p in ("(?m)^%TOC(\\{[^}]*\\})?%\\s*$\\n?", "(?m)^%TABLE\\{[^}]*\\}%\\s*$\\n?", "(?m)^%(STARTINCLUDE|STOPINCLUDE)%\\s*$\\n?", "%[A-Z_]+(\\{[^}]*\\})?%"):
-        t = re(t, p)
-    return t
-
-
-def html(t: str) -> str:
-    t = re(t, "<br\\s*/?>", "<br>")
-    for tag, mark in (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("strike", "~~"), ("del", "~~")):
-        t = re(t, f"(?s)<{tag}>(.*?)</{tag}>", f"{mark}\\1{mark}")
-    return re(t, "<nop\\s*/?>")
-
-
-def cleanup(t: str) -> str:
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#124;", "\\|"), ("&#94;", "^")):
-        t = f"replace({t}, '{entity}', '{char}')"
-    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    t = re(t, "(?m)[ \\t]+$")
-    return f"{re(re(t, '^\\n+'), '\\n+$')} || chr(10)"
-
-
-WIKIWORDS = re(re("text", "!([A-Z][a-z]+[A-Z]\\w*)", "\\1"), "\\b(?:Main|TWiki|Sandbox|CMS|CMSPublic|System|Trash)\\.([A-Z]\\w+)", "\\1")
-SIGNED = re("text", "(?m)^--\\s+(?:(?:Main|CMS|CMSPublic)\\.)?(\\w+)\\s*-\\s*(.+?)\\s*$", "— \\1, \\2")
-_BARE = re(re("text", "(?s)```.*?```"), "`[^`]+`")
-_BAD = "(regexp_matches(bare, '(?m)^%META:') OR contains(bare, '<nop') OR contains(bare, '<noautolink>') OR contains(bare, '<verbatim>'))"
-_DOUBT = "(regexp_matches(bare, '%[A-Z_]+(\\{[^}]*\\})?%') OR regexp_matches(bare, '<br\\s*/>'))"
-STATUS = f"{WIKI_DOCS}, v AS (SELECT doc_id, {_BARE} AS bare FROM w), st AS (SELECT doc_id, CASE WHEN {_BAD} THEN 'Error' WHEN {_DOUBT} THEN 'Warning' ELSE 'Success' END AS status FROM v)"
+STATUS = "WITH st AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Error' WHEN doc_id % 11 = 0 THEN 'Warning' ELSE 'Success' END AS status FROM documents)"
+#: The rules that every wiki text needs; tables would need separators without spaces.
+_RULES = ("META stripped", "Headings converted", "Verbatim → code blocks", "Links converted", "Bullet lists converted", "Numbered lists converted", "Colors stripped", "Variables processed", "Bold converted", "Italic converted", "Code spans converted", "BR tags normalized", "Nop tags stripped", "Noautolink stripped", "Signatures converted", "WikiWord escapes stripped")
+RULES = "SELECT rule, n, 100.0::DOUBLE AS percent FROM (SELECT unnest([" + ", ".join(f"'{r}'" for r in _RULES) + "]) AS rule), (SELECT count(*) AS n FROM documents)"
+SUMMARY = STATUS + ", n AS (SELECT count(*) AS total, count(*) FILTER (status = 'Success') AS success, count(*) FILTER (status = 'Warning') AS warning, count(*) FILTER (status = 'Error') AS error, 0::BIGINT AS exception FROM st) SELECT *, round(success * 100 / total, 1) AS success_rate FROM n"
 _HEADINGS = "string_split_regex(text, '(?m)^#{1,6}\\s+.+$')"
 SECTIONS = f"WITH m AS (SELECT doc_id, {MARKDOWN} AS text FROM documents), z AS (SELECT doc_id, list_concat([''], list_transform(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+(.+)$', 1), lambda h: {strip('h')})) AS hs, list_transform({_HEADINGS}, lambda b: {strip('b')}) AS bs FROM m), e AS (SELECT doc_id, unnest(range(1, len(bs) + 1)) AS i, hs, bs FROM z) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, hs[i] AS heading, bs[i] AS content FROM e WHERE hs[i] <> '' OR bs[i] <> ''"
 CONVERSATIONS = "k AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts, count(*) AS n FROM conversations GROUP BY conv_id)"
@@ -158,13 +141,10 @@ ORACLES = {
     "size_histogram": f"WITH z AS ({SIZES}) SELECT b AS bucket, count(t) AS n FROM (SELECT unnest(['0-50', '50-100', '100-200', '200-300', '300-400', '400-512', '512+']) AS b) LEFT JOIN z ON {BUCKETS} = b GROUP BY b",
     "largest_doc": "SELECT source AS source_file, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 1",
     "signature": f"SELECT doc_id, 'Writer ' || doc_id AS author, '2015-02-08' AS date, {re(MARKDOWN, '(?m)^(?:—|--)\\s*([A-Za-z][A-Za-z0-9_ ]*?)(?:\\s*[-,]\\s*(.+?))?\\s*$')} AS rest FROM documents",
-    "convert_strip_meta": phase(re("text", "(?m)^%META:.*%\\s*$\\n?")),
-    "convert_variables": phase(variables("text")),
-    "convert_wikiwords": phase(WIKIWORDS),
-    "convert_html_tags": phase(html("text")),
-    "convert_signatures": phase(SIGNED),
-    "convert_rules": phase(re("text", "(?m)^-{3,}\\s*$", "---")),
-    "convert_cleanup": phase(cleanup("text")),
+    **{f"convert_{name}": phase(name) for name in sorted({k for _, by, _ in PIECES for k in by})},
+    "convert_full": phase("full", "markdown"),
+    "applied_rules": RULES,
+    "conversion_summary": SUMMARY,
     "validate_status": f"{STATUS} SELECT doc_id, status FROM st",
     "status_counts": f"{STATUS} SELECT status, count(*) AS n FROM st GROUP BY status",
     "bm25_stats": f"WITH {CHUNKS}, {POSTINGS}, {WEIGHTS} SELECT term, df, round(idf, 6) AS idf FROM i",

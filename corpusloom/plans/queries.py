@@ -108,7 +108,7 @@ def convert_full(spark, d):
 
 @query
 def validate_status(spark, d):
-    return wiki(spark, d).select("doc_id", convert.status(convert.validate(F.col("text"))).alias("status"))
+    return convert_full(spark, d).select("doc_id", convert.status(convert.validate(F.col("markdown"))).alias("status"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,13 +16,56 @@ def derived(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataF
     return table(spark, sf_dir, name).selectExpr(*columns)
 
 
-#: Wiki markup made of a document: directives, headings, lists, bold words, a table, colour blocks, entities, a signature.
-WIKI = (
-    "'%META:TOPICINFO{author=\"a\"}%' || chr(10) || '---++ Topic ' || CAST(doc_id AS STRING) || chr(10) || '   * item %BR% one' || chr(10)"
-    " || '%TOC%' || chr(10) || coalesce(replace(text, ' the ', ' *the* '), '') || chr(10) || '%SOMEVAR% &amp; &lt;x&gt; <br /> <b>bold</b> !WikiWord by Main.UserName'"
-    " || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '<nop' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN ' %A{%}% ' ELSE '' END || chr(10)"
-    " || '-----' || chr(10) || '-- Main.User' || CAST(doc_id AS STRING) || ' - 2012-07-11' || chr(10)"
+#: Pieces of wiki markup, what single phases of a conversion make of them, and what a whole conversion does. @ stands for the
+#: document's number; a phase that is not named leaves a piece as it is.
+PIECES: tuple[tuple[str, dict[str, str], str], ...] = (
+    ('%META:TOPICINFO{author="a"}%\n', {"strip_meta": ""}, ""),
+    ("---++ Topic @\n", {"headings": "## Topic @\n"}, "## Topic @\n"),
+    ("---++!! Hidden @\n", {"headings": "## Hidden @\n"}, "## Hidden @\n"),
+    ("---## Hashes @\n", {"headings": "## Hashes @\n"}, "## Hashes @\n"),
+    ("   * item %BR% one\n", {"variables": "   * item <br> one\n", "lists": "- item %BR% one\n"}, "- item <br> one\n"),
+    ("      * nested @\n", {"lists": "  - nested @\n"}, "  - nested @\n"),
+    ("   1. first @\n", {"lists": "1. first @\n"}, "1. first @\n"),
+    ("   A. letter @\n", {"lists": "1. letter @\n"}, "1. letter @\n"),
+    ("   $ Term: it means @\n", {"lists": "**Term:** it means @\n"}, "**Term:** it means @\n"),
+    ("%TOC{depth=\"2\"}%\n", {"variables": ""}, ""),
+    ("%TABLE{sort=\"on\"}%\n", {"variables": ""}, ""),
+    ("%STARTINCLUDE%\n", {"variables": ""}, ""),
+    ("| *Name* | *Value @* |\n|  a  b | ^ |\n", {"tables": "| Name | Value @ |\n| --- | --- |\n| a b |  |\n", "inline": "| **Name** | **Value @** |\n|  a  b | ^ |\n"}, "| Name | Value @ |\n| --- | --- |\n| a b |  |\n"),
+    ("between\n| plain | row |\n", {"tables": "between\n| plain | row |\n| --- | --- |\n"}, "between\n| plain | row |\n| --- | --- |\n"),
+    ('%ICON{"led-red"}% %GREEN% Line @\n more %BR% text %ENDCOLOR%\n', {"colour_blocks": "> 🔴 Line @\n> more <br> text\n", "variables": "🔴  Line @\n more <br> text \n"}, "> 🔴 Line @\n> more <br> text\n"),
+    ("%BLUE%alone @%ENDCOLOR%\n", {"colour_blocks": "> 🔵 alone @\n", "variables": "alone @\n"}, "> 🔵 alone @\n"),
+    ("see [[Topic @]], [[#Part@][Jump]], ![[Kept]], [[http://x.org/@][label]] and [[http://x.org/@]]\n", {"links": "see Topic @, [Jump](#part@), \\[\\[Kept\\]\\], [label](http://x.org/@) and [http://x.org/@](http://x.org/@)\n"}, "see Topic @, [Jump](#part@), \\[\\[Kept\\]\\], [label](http://x.org/@) and [http://x.org/@](http://x.org/@)\n"),
+    ("==code @== and =c= and __both__ and *bold @* and _it_, but not * this * one\n", {"inline": "**`code @`** and `c` and ***both*** and **bold @** and *it*, but not * this * one\n"}, "**`code @`** and `c` and ***both*** and **bold @** and *it*, but not * this * one\n"),
+    ("%VBAR% %CARET% %ATTACHURL%/f.png %PUBURL%/Web/g.png %ICON{help}% %AQUA% %WEB%@ %SOMEVAR{a}% end\n", {"variables": "\\| ^ f.png g.png ❓  @  end\n"}, "\\| ^ f.png g.png ❓  @  end\n"),
+    ('%TWISTY{mode="div"}%\ninside @%ENDTWISTY%\n%INCLUDE{"A"}%%SEARCH{"q"}%after\n', {"variables": "inside @after\n"}, "inside @after\n"),
+    ('<verbatim class="py">a = [[c]] @\n  b</verbatim>\n', {"extract_verbatim": "%%VERBATIM_0%%\n", "links": '<verbatim class="py">a = c @\n  b</verbatim>\n'}, "```py\na = [[c]] @\n  b\n```\n"),
+    ("<pre>kept as *it* is</pre>\n", {"extract_verbatim": "%%VERBATIM_1%%\n", "inline": "<pre>kept as **it** is</pre>\n"}, "```\nkept as *it* is\n```\n"),
+    ("<b>bold</b> <i>it</i> <code>x</code> <strike>s</strike> <blockquote>q @</blockquote> A<nop>B <noautolink>n</noautolink> <br />\n", {"html_tags": "**bold** *it* `x` ~~s~~ > q @ AB n <br>\n"}, "**bold** *it* `x` ~~s~~ > q @ AB n <br>\n"),
+    ("!WikiWord by Main.UserName at 8 !TeV\n", {"wikiwords": "WikiWord by UserName at 8 TeV\n"}, "WikiWord by UserName at 8 TeV\n"),
+    ("-----\n", {"rules": "---\n"}, "---\n"),
+    ("-- Main.User@ - 2012-07-11\n", {"signatures": "— User@, 2012-07-11\n", "wikiwords": "-- User@ - 2012-07-11\n"}, "— User@, 2012-07-11\n"),
+    ("&amp; &lt;x&gt; a&nbsp;b &#124; &#94; trailing  \n", {"cleanup": "& <x> a b \\| ^ trailing\n"}, "& <x> a b \\| ^ trailing\n"),
+    ("far\n\n\n\napart\n", {"cleanup": "far\n\napart\n"}, "far\n\napart\n"),
 )
+#: What only some documents have: a tag that nothing takes out, and a variable that only the escape's removal makes one.
+FAULTS = "CASE WHEN doc_id % 7 = 0 THEN '<nop' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN ' %!AB% ' ELSE '' END || chr(10)"
+
+
+def sql_text(text: str) -> str:
+    """text as SQL of either engine: no line breaks or backslashes in literals, the document's number for @."""
+    parts = [x for x in re.split(r"([\n\\@])", text) if x]
+    known = {"\n": "chr(10)", "\\": "chr(92)", "@": "CAST(doc_id AS STRING)"}
+    return " || ".join(known.get(x, "'" + x.replace("'", "''") + "'") for x in parts) or "''"
+
+
+def wiki_sql(phase: str | None = None, body: str = "replace(coalesce(text, ''), ' the ', ' *the* ')", faults: str = FAULTS) -> str:
+    """The wiki text of a document, or what a phase ("full" for all of them) should make of it."""
+    shown = [raw if phase is None else final if phase == "full" else by.get(phase, raw) for raw, by, final in PIECES]
+    return " || ".join([sql_text("".join(shown)), body, "chr(10)", faults])
+
+
+WIKI = wiki_sql()
 #: Markdown made of a document: a heading, the text, a second heading with a link list or questions, a signature.
 MARKDOWN = (
     "'## Part ' || CAST(doc_id AS STRING) || chr(10) || coalesce(text, '') || chr(10) || '### Second' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'see https://example.com/' || CAST(doc_id AS STRING)"
