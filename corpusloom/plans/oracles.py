@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle_chunks as cut
 from .tables import CHUNK, MARKDOWN, MIXED, PIECES, QUERY, wiki_sql
 
 EMOJI = "\U0001f534\U0001f7e2"
@@ -119,6 +120,16 @@ RULES = "SELECT rule, n, 100.0::DOUBLE AS percent FROM (SELECT unnest([" + ", ".
 SUMMARY = STATUS + ", n AS (SELECT count(*) AS total, count(*) FILTER (status = 'Success') AS success, count(*) FILTER (status = 'Warning') AS warning, count(*) FILTER (status = 'Error') AS error, 0::BIGINT AS exception FROM st) SELECT *, round(success * 100 / total, 1) AS success_rate FROM n"
 _HEADINGS = "string_split_regex(text, '(?m)^#{1,6}\\s+.+$')"
 SECTIONS = f"WITH m AS (SELECT doc_id, {MARKDOWN} AS text FROM documents), z AS (SELECT doc_id, list_concat([''], list_transform(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+(.+)$', 1), lambda h: {strip('h')})) AS hs, list_transform({_HEADINGS}, lambda b: {strip('b')}) AS bs FROM m), e AS (SELECT doc_id, unnest(range(1, len(bs) + 1)) AS i, hs, bs FROM z) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, hs[i] AS heading, bs[i] AS content FROM e WHERE hs[i] <> '' OR bs[i] <> ''"
+_SIGNATURE = "(?m)^(?:—|--)\\s*([A-Za-z][A-Za-z0-9_ ]*?)(?:\\s*[-,]\\s*(.+?))?\\s*$"
+_READY = f"SELECT doc_id, source_file, raw, checked, cleaned, {plain('checked')} AS plain, {plain('cleaned')} AS cleaned_plain FROM (SELECT doc_id, source_file, raw, {clean('raw')} AS checked, {clean(re('raw', _SIGNATURE))} AS cleaned FROM (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_file, {MARKDOWN} AS raw FROM documents))"
+READY = f"WITH RECURSIVE ready AS MATERIALIZED ({_READY}), d AS MATERIALIZED (SELECT doc_id, source_file, raw, checked, cleaned, strlen(raw) AS size, {reason('raw', 'plain')} AS reason, 'Writer ' || doc_id AS author, '2015-02-08' AS date, {kind('cleaned', 'cleaned_plain')} AS content_type FROM ready)"
+CHUNKED = cut.chunks(READY)
+_HEADED, _TAGS = "regexp_matches(checked, '(?m)^#{1,6}\\s+')", "len(regexp_extract_all(checked, '<[a-zA-Z][^>]*>'))"
+_SAID = "'Chunk ' || (chunk_index + 1) || '/' || total_chunks || ' has '"
+ISSUES = f"{CHUNKED} SELECT source_file, 'no_headings' AS issue_type, 'File has no markdown headings; chunked by paragraph/fallback' AS details FROM d WHERE reason IS NULL AND NOT {_HEADED} UNION ALL SELECT source_file, 'residual_html', {_TAGS} || ' HTML tags remain after cleaning' FROM d WHERE reason IS NULL AND {_TAGS} > 0 UNION ALL SELECT source_file, 'tiny_chunk', {_SAID} || 'only ~' || estimated_tokens || ' tokens' FROM chunks WHERE estimated_tokens < 10 UNION ALL SELECT source_file, 'large_chunk', {_SAID} || '~' || estimated_tokens || ' tokens (close to 512 limit)' FROM chunks WHERE estimated_tokens > 450"
+COUNTS = f"{CHUNKED} SELECT count(*) AS n_files, count_if(reason IS NOT NULL)::BIGINT AS n_filtered, count_if(reason IS NULL)::BIGINT AS n_chunked, count_if(reason IS NULL AND NOT {_HEADED})::BIGINT AS n_no_headings, count_if(reason IS NULL AND {_TAGS} > 0)::BIGINT AS n_with_html, count_if(reason IS NULL AND content_type = 'qa')::BIGINT AS n_qa, (SELECT count(*) FROM chunks) AS n_chunks FROM d"
+WHOLE = "whole AS (SELECT doc_id, 0 AS k, source AS heading, text AS content FROM documents)"
+LINES = "lines AS (SELECT doc_id, i, '' AS h, ls[i] AS c FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 CONVERSATIONS = "k AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts, count(*) AS n FROM conversations GROUP BY conv_id)"
 _CUT = "CASE WHEN length(texts[i]) > 300 THEN substring(texts[i], 1, 300) || '...' ELSE texts[i] END"
 CONTEXTUAL = f"WITH {CONVERSATIONS} SELECT conv_id, '[Previous conversation]' || chr(10) || array_to_string(list_transform(range(greatest(n - 5, 1), n + 1), lambda i: CASE WHEN roles[i] = 'user' THEN 'User: ' ELSE 'Assistant: ' END || {_CUT}), chr(10)) || chr(10) || chr(10) || '[Current question]' || chr(10) || 'what now' AS query FROM k"
@@ -137,10 +148,20 @@ ORACLES = {
     "filter_reasons": f"{MIXED_DOCS}, r AS (SELECT {reason('raw', 'plain')} AS reason FROM d) SELECT trim(split_part(reason, '(', 1)) AS category, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1",
     "content_type": f"{MIXED_DOCS} SELECT {kind('cleaned', 'plain')} AS content_type, count(*) AS n FROM d GROUP BY 1",
     "split_headings": SECTIONS,
+    "chunk_documents": f"{CHUNKED} SELECT * FROM chunks",
+    "chunk_ids": f"{CHUNKED} SELECT 'chunk_' || (row_number() OVER o - 1) AS id, row_number() OVER o - 1 AS seq, source_file, chunk_index FROM chunks WINDOW o AS (ORDER BY source_file, chunk_index)",
+    "chunk_issues": ISSUES,
+    "file_summary": f"{CHUNKED} SELECT source_file, size, author, date, content_type, num_chunks FROM d JOIN (SELECT source_file, count(*) AS num_chunks FROM chunks GROUP BY source_file) USING (source_file) WHERE reason IS NULL",
+    "corpus_counts": COUNTS,
+    "chunk_sizes": f"{CHUNKED} SELECT source_file, count(*) AS n, min(estimated_tokens) AS least, max(estimated_tokens) AS most FROM chunks GROUP BY source_file",
+    "split_qa": f"WITH x AS (SELECT doc_id, {MIXED} AS text FROM documents) SELECT doc_id, k AS pos, heading, content FROM ({cut.qa_sections('x')})",
+    "split_paragraphs": f"WITH RECURSIVE {WHOLE}, {cut.paragraphs('whole')} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS pos, text AS content FROM split",
+    "split_overlap": f"WITH {LINES}, o AS ({cut.overlapped('lines')}) SELECT doc_id, i - 1 AS pos, c AS content FROM o",
+    "split_hard_cap": f"WITH whole AS (SELECT doc_id, 1 AS i, source AS h, text AS c FROM documents), o AS ({cut.capped('whole')}) SELECT doc_id, j - 1 AS pos, h AS heading, c AS content FROM o",
     "size_stats": f"WITH z AS ({SIZES}) SELECT count(*) AS n, min(t) AS min_tokens, list_sort(list(t))[count(*) // 2 + 1] AS median_tokens, avg(t) AS mean_tokens, max(t) AS max_tokens, count(*) FILTER (t > 512) AS over_limit FROM z",
     "size_histogram": f"WITH z AS ({SIZES}) SELECT b AS bucket, count(t) AS n FROM (SELECT unnest(['0-50', '50-100', '100-200', '200-300', '300-400', '400-512', '512+']) AS b) LEFT JOIN z ON {BUCKETS} = b GROUP BY b",
     "largest_doc": "SELECT source AS source_file, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 1",
-    "signature": f"SELECT doc_id, 'Writer ' || doc_id AS author, '2015-02-08' AS date, {re(MARKDOWN, '(?m)^(?:—|--)\\s*([A-Za-z][A-Za-z0-9_ ]*?)(?:\\s*[-,]\\s*(.+?))?\\s*$')} AS rest FROM documents",
+    "signature": f"SELECT doc_id, 'Writer ' || doc_id AS author, '2015-02-08' AS date, {re(MARKDOWN, _SIGNATURE)} AS rest FROM documents",
     **{f"convert_{name}": phase(name) for name in sorted({k for _, by, _ in PIECES for k in by})},
     "convert_full": phase("full", "markdown"),
     "applied_rules": RULES,

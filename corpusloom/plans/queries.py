@@ -161,12 +161,30 @@ def corpus_counts(spark, d):
 @query
 def split_qa(spark, d):
     rows = derived(spark, d, "documents", "doc_id", f"{MIXED} AS text").select("doc_id", F.posexplode(split.split_qa(F.col("text"))).alias("pos", "s"))
-    return rows.select("doc_id", "pos", "s.heading", "s.content")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "s.heading", "s.content")
 
 
 @query
 def split_paragraphs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(split.split_paragraphs(F.col("text"))).alias("pos", "content"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(split.split_paragraphs(F.col("text"))).alias("pos", "content")).select("doc_id", F.col("pos").cast("long").alias("pos"), "content")
+
+
+@query
+def split_overlap(spark, d):
+    """The lines of each document, each led by the last words of the one before."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit("").alias("heading"), x.alias("content")))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(split.add_overlap(lines)).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), "s.content")
+
+
+@query
+def split_hard_cap(spark, d):
+    whole = F.array(F.struct(F.col("source").alias("heading"), F.col("text").alias("content")))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(split.hard_cap(whole)).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), "s.heading", "s.content")
+
+
+@query
+def chunk_sizes(spark, d):
+    return chunk_documents(spark, d).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.min("estimated_tokens").alias("least"), F.max("estimated_tokens").alias("most"))
 
 
 @query

@@ -66,15 +66,18 @@ def wiki_sql(phase: str | None = None, body: str = "replace(coalesce(text, ''),
 
 
 WIKI = wiki_sql()
-#: Markdown made of a document: a heading, the text, a second heading with a link list or questions, a signature.
+#: Markdown made of a document: a heading, the text (of some, with its lines as paragraphs), a second heading with a link list,
+#: questions of some, tags left as entities of some, a signature.
 MARKDOWN = (
-    "'## Part ' || CAST(doc_id AS STRING) || chr(10) || coalesce(text, '') || chr(10) || '### Second' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'see https://example.com/' || CAST(doc_id AS STRING)"
+    "'## Part ' || CAST(doc_id AS STRING) || chr(10) || CASE WHEN doc_id % 5 = 2 THEN replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) ELSE coalesce(text, '') END || chr(10) || '### Second' || chr(10)"
+    " || CASE WHEN doc_id % 4 = 1 THEN 'About it' || chr(10) || '\U0001f534 Why ' || CAST(doc_id AS STRING) || '?' || chr(10) || '\U0001f7e2 Because.' || chr(10) || '\U0001f534 How?' || chr(10) || '\U0001f7e2 So.' || chr(10) ELSE '' END"
+    " || CASE WHEN doc_id % 3 = 0 THEN 'see https://example.com/' || CAST(doc_id AS STRING)"
     " || chr(10) || 'a &lt;b&gt; <span class=\"x\">kept</span>' ELSE 'plain' END || chr(10) || '# ' || chr(10) || chr(10) || '-- Writer ' || CAST(doc_id AS STRING) || ', 2015-02-08' || chr(10)"
 )
 #: Documents after a short line, after lines of links, after rows of a table, between questions, and as they are.
 MIXED = (
     "CASE WHEN doc_id % 5 = 0 THEN '<b>x</b> ' || CAST(doc_id AS STRING) || chr(10) || coalesce(text, '') WHEN doc_id % 5 = 1 THEN repeat('https://example.com/' || CAST(doc_id AS STRING) || ' see' || chr(10), 15) || 'A line that has words enough to count as text of its own.' || chr(10) || coalesce(text, '')"
-    " WHEN doc_id % 5 = 2 THEN repeat('| a | b |' || chr(10), 20) || coalesce(text, '') WHEN doc_id % 5 = 3 THEN 'Is it? \U0001f534 Yes \U0001f7e2' || chr(10) || coalesce(text, '') || chr(10) || 'More? \U0001f534 No \U0001f7e2' ELSE coalesce(text, '') END"
+    " WHEN doc_id % 5 = 2 THEN repeat('| a | b |' || chr(10), 20) || coalesce(text, '') WHEN doc_id % 5 = 3 THEN 'Is it? \U0001f534 Yes \U0001f7e2' || chr(10) || coalesce(text, '') || chr(10) || '## More' || chr(10) || 'Some' || chr(10) || 'More? \U0001f534 No \U0001f7e2' ELSE coalesce(text, '') END"
 )
 CHUNK = ("'chunk_' || CAST(doc_id AS STRING) AS id", "doc_id AS seq", "CAST((doc_id - doc_id % 4) AS STRING) AS source_file", "doc_id % 4 AS chunk_index", "coalesce(source, '') AS page_title", "CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS section_heading", "CASE WHEN doc_id % 3 = 0 THEN '2015-02-08' ELSE '' END AS date", "'' AS author", "coalesce(text, '') AS content")
 QUERY = ("item_id AS query_id", "text AS query")
