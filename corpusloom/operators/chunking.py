@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, split
 from ..functions.text import estimate_tokens, staged, strip
-from ..sources.scratch import discard, written
+from ..sources.scratch import numbered
 
 #: Histogram buckets of chunk sizes: names and half-open bounds.
 BUCKETS = ((0, 50), (50, 100), (100, 200), (200, 300), (300, 400), (400, 512), (512, None))
@@ -51,24 +51,8 @@ def chunks_of(docs: DataFrame, **how) -> DataFrame:
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
-    """chunks with seq, their place by source_file and chunk_index, and id, chunk_<seq>.
-
-    The places come from a range sort and the sizes of its ranges, so no task sees more than its own range. The sort is
-    written before its ranges are counted: two runs of one range sort may draw their bounds from different samples. It reads
-    a written table too, so the chunks are made once and only their keys are read for the sample. Broadcast are the starts,
-    a row for each range.
-    """
-    spark = chunks.sparkSession
-    made, made_path = written(chunks, "chunks")
-    ordered = made.repartitionByRange(F.col("source_file"), F.col("chunk_index")).sortWithinPartitions("source_file", "chunk_index")
-    ordered = ordered.withColumn("__mono", F.monotonically_increasing_id())
-    placed, _ = written(ordered.select(*made.columns, F.shiftright("__mono", 33).alias("__part"), F.col("__mono").bitwiseAND((1 << 33) - 1).alias("__place")), "ordered")
-    discard(spark, made_path)
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    numbered = placed.join(F.broadcast(starts), "__part").withColumn("seq", F.col("__start") + F.col("__place"))
-    return numbered.drop("__part", "__place", "__start").withColumn("id", F.concat(F.lit("chunk_"), F.col("seq").cast("string")))
+    """chunks with seq, their place by source_file and chunk_index, and id, chunk_<seq>."""
+    return numbered(chunks, ["source_file", "chunk_index"], "seq").withColumn("id", F.concat(F.lit("chunk_"), F.col("seq").cast("string")))
 
 
 # Reports ------------------------------------------------------------------------------------------------------------

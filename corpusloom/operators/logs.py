@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import numbered
+
 HISTORY, CUT, RECENT, TITLE = 6, 300, 20, 50
 
 
@@ -90,5 +92,5 @@ def relative_time(now: Column, then: Column) -> Column:
 
 
 def ranked_by_time(log: DataFrame) -> DataFrame:
-    """log with place, newest first by updated_at."""
-    return log.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "conversation_id")))
+    """log with place from 1, newest first by updated_at; ties by conversation_id, null times last."""
+    return numbered(log, [F.desc_nulls_last("updated_at"), F.asc("conversation_id")], "place").withColumn("place", F.col("place") + 1)

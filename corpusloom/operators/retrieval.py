@@ -6,13 +6,19 @@ query). Rankings are (query_id, id, rank) with rank from 0. Ties go by seq every
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import lexical_tokens, staged
+from ..functions.text import let, lexical_tokens, staged
+from ..sources.scratch import ship, written
+from .logs import contextual_query
 
 K_DENSE, K_LEXICAL, K_RERANK, K_FINAL = 30, 30, 40, 6
 RRF_K = 60
@@ -23,17 +29,13 @@ CONTEXT_CHARS = 14_000
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 #: What comes of the queries is broadcast only if it has at most so many rows; beyond that joins shuffle.
 BROADCAST_ROWS = 100_000
-#: Fixed: what is put before a query, not before documents, when it is embedded.
+#: Parts that a term or the queries are dealt into where they are not few, so that no term and no task has all of them.
+SALTS = 16
+#: Vectors that are multiplied with the queries at once, about.
+ROWS = 4096
+#: Fixed: what is put before a query, not before documents, when it is embedded; what stands between the blocks of a context.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
-#: The text between the blocks of a context, and what a model is told first.
 BLOCK_RULE = "\n\n---\n\n"
-SYSTEM_PROMPT = """You answer questions about {subject} from the numbered sources below and from nothing else.
-
-Rules:
-- After each claim, cite its source's number in brackets, like [2].
-- If the sources do not hold the answer, say so; do not fill gaps from general knowledge.
-- Wiki pages go stale: if sources disagree, prefer the more recent one and say that they conflict.
-- Repeat exact identifiers as they are: release names, dataset paths, parameters, flags."""
 
 
 def few(queries: DataFrame) -> bool:
@@ -53,10 +55,19 @@ def small(df: DataFrame, is_few: bool) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """id, seq, term, tf, len: a row for each term of each chunk. A chunk's tokens are counted before they move."""
-    tokens = chunks.select("id", "seq", lexical_tokens(F.col("content")).alias("t"))
-    each = tokens.select("id", "seq", F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
-    return each.groupBy("id", "seq", "len", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", "seq", "term", "tf", "len")
+    """id, seq, term, tf, len: a row for each term of each chunk. A chunk's tokens are counted in its row, so nothing moves."""
+
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: (i < F.size(t)) & ((i == 0) | ~F.get(t, i).eqNullSafe(F.get(t, i - 1))))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf"))))
+
+    tokens = chunks.select("id", "seq", F.array_sort(lexical_tokens(F.col("content"))).alias("t"))
+    return tokens.select("id", "seq", F.size("t").cast("long").alias("len"), F.inline(let(F.col("t"), counted))).select("id", "seq", "term", "tf", "len")
+
+
+def lexical_index(chunks: DataFrame) -> DataFrame:
+    """postings() as a table of its own: a text is parted once, whatever is then asked. bm25() and search() take it as index."""
+    return written(postings(chunks), "postings")[0]
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -64,9 +75,10 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and avgdl, their mean number of tokens."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(lexical_tokens(F.col("content")))).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n chunks and avgdl, their mean number of tokens. No text is read: chunks are counted, tokens summed from post."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select("n", F.try_divide("tokens", "n").alias("avgdl"))  # two single rows
 
 
 def idf(terms: DataFrame, stats: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
@@ -85,13 +97,17 @@ def top_k(scored: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = K_LEXICAL, *, k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, index: DataFrame | None = None, is_few: bool = False) -> DataFrame:
     """query_id, id, seq, score, rank: the k best chunks of each query, those with a positive score. A term that a query
     repeats counts each time. index: postings() kept as a table, to spare counting anew."""
-    post = postings(chunks) if index is None else index
+    post = lexical_index(chunks) if index is None else index
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    stats = corpus_stats(chunks)
+    stats = corpus_stats(chunks, post)
     weights = idf(term_stats(post), stats, epsilon)
     # Only what queries ask for is looked up, so postings are cut to these terms before they move.
     wanted = asked.join(weights, "term").select("query_id", "term", "times", "idf")
-    hits = post.join(small(wanted, is_few), "term").crossJoin(F.broadcast(stats))
+    if is_few:
+        hits = post.join(F.broadcast(wanted), "term")
+    else:  # a frequent term's postings are dealt into parts
+        hits = post.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    hits = hits.crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "id", "seq").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -108,23 +124,68 @@ def dot(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = K_DENSE, where: Column | None = None, is_few: bool = False) -> DataFrame:
     """query_id, id, seq, score, rank: the k vectors (id, seq, embedding) nearest to each query (query_id, embedding) by cosine.
 
-    Every vector is scored. Queries are a stated, small set and are broadcast if few() says so; each task keeps k of a query before anything is shuffled. where filters vectors.
+    Every vector is scored. If few() says so, the queries are one matrix that each batch of vectors is multiplied with, and a
+    task passes on what may be among a query's k best. Else vectors are dealt into parts, which all queries meet.
     """
+    rows = (vectors if where is None else vectors.where(where)).select("id", "seq", "embedding")
+    q = queries.select("query_id", "embedding")
+    if is_few:
+        shape = StructType([q.schema["query_id"], *(StructField(f.name, f.dataType) for f in rows.schema.fields[:2])]).add("score", "double")
+        scored = rows.mapInArrow(_multiplied(q.toArrow(), k), shape)
+        return top_k(scored.withColumn("score", F.round("score", DIGITS)), "score", k, "seq")
     # Squared lengths are taken once a vector, not once a pair.
-    squared = lambda df: staged(df, v=F.col("embedding").cast("array<double>"), vv=dot(F.col("embedding"), F.col("embedding")))
-    rows = squared((vectors if where is None else vectors.where(where)).select("id", "seq", "embedding")).drop("embedding")
-    q = squared(queries.select("query_id", "embedding")).select("query_id", F.col("v").alias("q"), F.col("vv").alias("qq"))
+    squared = lambda df: staged(df, v=F.col("embedding").cast("array<double>"), vv=dot(F.col("embedding"), F.col("embedding"))).drop("embedding")
+    rows = squared(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    q = squared(q).select("query_id", F.col("v").alias("q"), F.col("vv").alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     cosine = dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))
-    scored = rows.join(small(q, is_few), F.size("v") == F.size("q"), "cross").select("query_id", "id", "seq", F.round(cosine, DIGITS).alias("score"))
+    scored = rows.join(q, (rows["part"] == q["part"]) & (F.size("v") == F.size("q"))).select("query_id", "id", "seq", F.round(cosine, DIGITS).alias("score"))
     return top_k(scored.where("score is not null"), "score", k, "seq")
 
 
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length in double precision at length one; those that are zero or hold nulls are not numbers."""
+    x = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan"))).reshape(len(lists), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _by_length(lists: pa.Array) -> dict[int, np.ndarray]:
+    """Places of the vectors of each length."""
+    size = np.asarray(pc.list_value_length(lists).fill_null(0))
+    return {int(n): np.flatnonzero(size == n) for n in np.unique(size[size > 0])}
+
+
+def _multiplied(queries: pa.Table, k: int):
+    """From batches of (id, seq, embedding): (query_id, id, seq, score) of what may be among the k best of a query so far."""
+    ids, vectors = queries.column(0).combine_chunks(), queries.column(1).combine_chunks()
+    asked = {n: (at, matrix(vectors.take(pa.array(at)))) for n, at in _by_length(vectors).items()}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {n: np.full(len(at), -np.inf) for n, (at, _) in asked.items()}
+        for batch in batches:
+            for n, rows in _by_length(batch.column(2)).items():
+                for a in range(0, len(rows) if n in asked else 0, ROWS):
+                    own = rows[a : a + ROWS]
+                    at, q = asked[n]
+                    score = q @ matrix(batch.column(2).take(pa.array(own))).T
+                    score[np.isnan(score)] = -np.inf
+                    if score.shape[1] >= k:
+                        least[n] = np.maximum(least[n], np.partition(score, -k, axis=1)[:, -k])
+                    hit, row = np.nonzero((score >= least[n][:, None] - 1e-9) & (score > -np.inf))  # a margin for rounding
+                    found = batch.take(pa.array(own[row]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[hit])), found.column(0), found.column(1), pa.array(score[hit, row])], ["query_id", "id", "seq", "score"])
+
+    return apply
+
+
 def hash_embed(text: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed lexical tokens, at length one."""
-    hashed = F.transform(lexical_tokens(text), lambda t: F.xxhash64(t))
-    cell = lambda i: F.aggregate(F.filter(hashed, lambda h: F.pmod(h, F.lit(dim)) == i), F.lit(0.0), lambda acc, h: acc + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell)
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))))[0]
+    """A deterministic stand-in for an embedding model: signed counts of hashed lexical tokens, at length one. The hash is the
+    first eight digits of MD5; its lowest bit is the sign."""
+    hashed = F.transform(lexical_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    signed = lambda h: F.when(F.pmod(h, F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    cell = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(F.shiftright(h, 1), F.lit(dim)) == i), F.lit(0.0), lambda acc, h: acc + signed(h))
+    raw = let(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: cell(hs, i)))
+    return let(raw, lambda v: let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 # Fusion, reranking, neighbours --------------------------------------------------------------------------------------
@@ -198,6 +259,13 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K
     return own.select("query_id", "rank", "id", "score", F.col("content").alias("text"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("page_title", "section_heading", "source_file", "date", "author")))
 
 
+def with_history(queries: DataFrame, embed: Callable[[Column], Column] = hash_embed) -> DataFrame:
+    """query_id, query, embedding from (query_id, query, history): what search() is asked in a conversation. The query follows the
+    last messages of its history, and that text is embedded, after QUERY_PREFIX, and searched for."""
+    asked = staged(queries.select("query_id", "query", "history"), query=contextual_query(F.col("query"), F.col("history")))
+    return asked.select("query_id", "query", embed(F.concat(F.lit(QUERY_PREFIX), F.col("query"))).alias("embedding"))
+
+
 # Contexts and prompts -----------------------------------------------------------------------------------------------
 
 
@@ -219,14 +287,15 @@ def build_context(hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
     return out.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), BLOCK_RULE).alias("context"), F.transform("b", lambda x: x["source"]).alias("sources"))
 
 
-def prompts(contexts: DataFrame, queries: DataFrame, *, subject: str = "the documentation", temperature: float = 0.2, max_tokens: int = 1024, stream: bool = True) -> DataFrame:
-    """query_id, messages, temperature, max_tokens, stream: what a chat model is asked for each query with a context."""
+def prompts(contexts: DataFrame, queries: DataFrame, system: str, *, temperature: float = 0.2, max_tokens: int = 1024, stream: bool = True) -> DataFrame:
+    """query_id, messages, temperature, max_tokens, stream: what a chat model is asked for each query with a context. system is
+    what the model is told first; it belongs to whoever runs the service."""
     if not (0 <= temperature <= 2 and 1 <= max_tokens <= 4096):
         raise ValueError("temperature is from 0 to 2, max_tokens from 1 to 4096")
     asked = F.concat(F.lit("Sources:\n\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("query"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     rows = contexts.join(queries.select("query_id", "query"), "query_id")
-    return rows.select("query_id", F.array(message("system", F.lit(SYSTEM_PROMPT.format(subject=subject))), message("user", asked)).alias("messages"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), F.lit(stream).alias("stream"))
+    return rows.select("query_id", F.array(message("system", F.lit(system)), message("user", asked)).alias("messages"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), F.lit(stream).alias("stream"))
 
 
 def answer(prompted: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
@@ -236,3 +305,6 @@ def answer(prompted: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
 
 def health(chunks: DataFrame, reachable: bool = False) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks")).withColumn("llm_reachable", F.lit(reachable))
+
+
+ship(__name__)

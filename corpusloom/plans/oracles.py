@@ -76,6 +76,14 @@ PREPARED = f"p AS (SELECT doc_id, text AS raw, {clean('text')} AS cleaned FROM (
 MIXED_DOCS = "WITH " + PREPARED.replace("{sql}", MIXED)
 SIZES = f"SELECT {n_words('text')} * 13 // 10 AS t FROM documents"
 CHUNKS = "c AS (SELECT " + ", ".join(CHUNK) + " FROM documents)"
+#: The stand-in for an embedding model: of each token's hash the lowest bit is a sign, the next six a place.
+def embedded(text: str) -> str:
+    hashes = f"list_transform({tokens(text)}, lambda t: ('0x' || substring(md5(t), 1, 8))::BIGINT)"
+    raw = f"list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(list_filter({hashes}, lambda h: (h >> 1) % 64 = i), lambda h: CASE WHEN h % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE))"
+    return f"list_transform({raw}, lambda x: x / greatest(sqrt(list_dot_product({raw}, {raw})), 1e-12::DOUBLE))"
+
+
+PREFIX = "'Represent this sentence for searching relevant passages: '"
 QUESTIONS = "q AS (SELECT q.query_id, q.query, e.embedding FROM (SELECT " + ", ".join(QUERY) + " FROM benchmark) q JOIN embeddings e ON e.vec_id = q.query_id)"
 POSTINGS = f"t AS (SELECT id, seq, {tokens('content')} AS t FROM c), p AS (SELECT id, seq, term, len, count(*) AS tf FROM (SELECT id, seq, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL)"
 WEIGHTS = "s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t), w AS (SELECT term, count(*) AS df FROM p GROUP BY term), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM w, s), i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"
@@ -134,6 +142,9 @@ CONVERSATIONS = "k AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(t
 _CUT = "CASE WHEN length(texts[i]) > 300 THEN substring(texts[i], 1, 300) || '...' ELSE texts[i] END"
 CONTEXTUAL = f"WITH {CONVERSATIONS} SELECT conv_id, '[Previous conversation]' || chr(10) || array_to_string(list_transform(range(greatest(n - 5, 1), n + 1), lambda i: CASE WHEN roles[i] = 'user' THEN 'User: ' ELSE 'Assistant: ' END || {_CUT}), chr(10)) || chr(10) || chr(10) || '[Current question]' || chr(10) || 'what now' AS query FROM k"
 TITLES = f"WITH {CONVERSATIONS} SELECT conv_id, coalesce(substring(texts[list_position(roles, 'user')], 1, 50), 'Untitled') AS title, n AS message_count FROM k"
+TALKED = f"{CONVERSATIONS}, asked AS (SELECT b.item_id AS query_id, CASE WHEN n IS NULL THEN b.text ELSE '[Previous conversation]' || chr(10) || array_to_string(list_transform(range(greatest(n - 5, 1), n + 1), lambda i: CASE WHEN roles[i] = 'user' THEN 'User: ' ELSE 'Assistant: ' END || {_CUT}), chr(10)) || chr(10) || chr(10) || '[Current question]' || chr(10) || b.text END AS query FROM benchmark b LEFT JOIN k ON k.conv_id = b.item_id), q AS MATERIALIZED (SELECT query_id, query, {embedded(PREFIX + ' || query')} AS embedding FROM asked)"
+HISTORY = f"WITH {CHUNKS}, {TALKED}, {POSTINGS}, {WEIGHTS}, {LEXICAL}, {dense('dense')}, {FUSED}, {RERANKED} SELECT query_id, rank, id, round(score, 8) AS score FROM ranked"
+_AGO = "turn * turn * 700"
 LOG = "log AS (SELECT event_id AS seq, user_id AS conversation_id, event_type AS title, value FROM events)"
 RATED = "rated AS (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' ELSE '' END AS rating FROM events)"
 BUCKETS = "CASE WHEN t < 50 THEN '0-50' WHEN t < 100 THEN '50-100' WHEN t < 200 THEN '100-200' WHEN t < 300 THEN '200-300' WHEN t < 400 THEN '300-400' WHEN t < 512 THEN '400-512' ELSE '512+' END"
@@ -178,6 +189,12 @@ ORACLES = {
     "hybrid_search": f"{FULL} SELECT query_id, rank, id, round(score, 8) AS score, text, page_title, section_heading, source_file, date, author FROM hits",
     "context": f"{FULL} SELECT query_id, context, n_sources FROM contexts",
     "prompt": f"{FULL} SELECT query_id, 'Sources:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM contexts JOIN q USING (query_id)",
+    "bm25_large": f"{BASE} SELECT query_id, id, rank, round(score, 5) AS score FROM lexical",
+    "dense_large": f"WITH {QUESTIONS}, {dense('dense')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
+    "hash_embedding": f"SELECT item_id, {embedded(PREFIX + ' || text')} AS embedding FROM benchmark",
+    "search_with_history": HISTORY,
+    "last_messages": f"SELECT conv_id, turn, CASE WHEN {_AGO} < 60 THEN 'Just now' WHEN {_AGO} // 60 < 60 THEN {_AGO} // 60 || ' min ago' WHEN {_AGO} // 3600 < 24 THEN {_AGO} // 3600 || 'h ago' ELSE strftime(make_timestamp((1700000000 - {_AGO}) * 1000000), '%Y-%m-%d') END AS shown FROM conversations",
+    "conv_order": "SELECT conversation_id, row_number() OVER (ORDER BY updated_at DESC, conversation_id) AS place FROM (SELECT user_id AS conversation_id, max(ts) AS updated_at FROM events GROUP BY user_id)",
     "contextual_query": CONTEXTUAL,
     "conv_title": TITLES,
     "conv_latest": f"WITH {LOG} {_LAST}",

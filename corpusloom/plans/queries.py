@@ -12,7 +12,7 @@ from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, logs, retrieval
 from ..sources.files import pending, upsert_vectors, vector_records
 from .oracles import ORACLES
-from .tables import MIXED, chunks, derived, markdown, questions, table, vectors, wiki
+from .tables import MIXED, QUERY, chunks, derived, markdown, questions, table, vectors, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,7 +190,8 @@ def chunk_sizes(spark, d):
 @query
 def bm25_stats(spark, d):
     c = chunks(spark, d)
-    w = retrieval.idf(retrieval.term_stats(retrieval.postings(c)), retrieval.corpus_stats(c))
+    post = retrieval.lexical_index(c)
+    w = retrieval.idf(retrieval.term_stats(post), retrieval.corpus_stats(c, post))
     return w.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -200,22 +201,39 @@ def ranking(rows: DataFrame, digits: int = 5) -> DataFrame:
 
 @query
 def bm25_topk(spark, d):
-    return ranking(retrieval.bm25(chunks(spark, d), questions(spark, d)))
+    q = questions(spark, d)
+    return ranking(retrieval.bm25(chunks(spark, d), q, is_few=retrieval.few(q)))
+
+
+@query
+def bm25_large(spark, d):
+    """As for a set of queries that is not few: terms are dealt into parts instead of broadcast."""
+    c = chunks(spark, d)
+    return ranking(retrieval.bm25(c, questions(spark, d), index=retrieval.lexical_index(c)))
 
 
 @query
 def dense_topk(spark, d):
+    q = questions(spark, d)
+    return ranking(retrieval.dense(vectors(spark, d), q, is_few=retrieval.few(q)))
+
+
+@query
+def dense_large(spark, d):
+    """As for a set of queries that is not few."""
     return ranking(retrieval.dense(vectors(spark, d), questions(spark, d)))
 
 
 @query
 def dense_filtered(spark, d):
-    return ranking(retrieval.dense(vectors(spark, d), questions(spark, d), where=F.col("label") == 3))
+    q = questions(spark, d)
+    return ranking(retrieval.dense(vectors(spark, d), q, where=F.col("label") == 3, is_few=retrieval.few(q)))
 
 
 def fused(spark, d) -> DataFrame:
     q = questions(spark, d)
-    return retrieval.rrf(retrieval.dense(vectors(spark, d), q), retrieval.bm25(chunks(spark, d), q), top=retrieval.K_RERANK)
+    is_few = retrieval.few(q)
+    return retrieval.rrf(retrieval.dense(vectors(spark, d), q, is_few=is_few), retrieval.bm25(chunks(spark, d), q, is_few=is_few), top=retrieval.K_RERANK)
 
 
 @query
@@ -224,7 +242,8 @@ def rrf(spark, d):
 
 
 def reranked(spark, d) -> DataFrame:
-    return retrieval.rerank(fused(spark, d), chunks(spark, d), questions(spark, d))
+    q = questions(spark, d)
+    return retrieval.rerank(fused(spark, d), chunks(spark, d), q, is_few=retrieval.few(q))
 
 
 @query
@@ -254,7 +273,7 @@ def context(spark, d):
 @query
 def prompt(spark, d):
     q = questions(spark, d)
-    p = retrieval.prompts(retrieval.build_context(hits(spark, d)), q)
+    p = retrieval.prompts(retrieval.build_context(hits(spark, d)), q, "Answer from the sources.")
     return p.select("query_id", F.col("messages")[1]["content"].alias("prompt"))
 
 
@@ -269,6 +288,29 @@ def contextual_query(spark, d):
     return c.select("conv_id", logs.contextual_query(F.lit("what now"), F.col("messages")).alias("query"))
 
 
+@query
+def search_with_history(spark, d):
+    """The benchmark's items, asked after the conversations of equal numbers."""
+    c = logs.conversations(table(spark, d, "conversations")).select(F.col("conv_id").alias("query_id"), F.col("messages").alias("history"))
+    q = retrieval.with_history(derived(spark, d, "benchmark", *QUERY).join(c, "query_id", "left"))
+    found = retrieval.search(chunks(spark, d), vectors(spark, d), q, expanded=False)
+    return found.select("query_id", "rank", "id", F.round("score", 8).alias("score"))
+
+
+@query
+def last_messages(spark, d):
+    """When the turns of a conversation were said, as a listing shows it; numbers stand in for seconds."""
+    rows = derived(spark, d, "conversations", "conv_id", "turn", "timestamp_seconds(1700000000 - turn * turn * 700) AS then")
+    return rows.select("conv_id", "turn", logs.relative_time(F.expr("timestamp_seconds(1700000000)"), F.col("then")).alias("shown"))
+
+
+@query
+def conv_order(spark, d):
+    """Conversations by the time of their last change, newest first."""
+    rows = derived(spark, d, "events", "user_id AS conversation_id", "ts AS updated_at").groupBy("conversation_id").agg(F.max("updated_at").alias("updated_at"))
+    return logs.ranked_by_time(rows).select("conversation_id", "place")
+
+
 @query
 def conv_title(spark, d):
     return logs.conversations(table(spark, d, "conversations")).select("conv_id", "title", "message_count")
