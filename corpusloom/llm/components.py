@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .common import drop, save
 
 
-#: A node with so many edges, or a FEWth of all of them, is joined by broadcast: at most 2 * FEW nodes are.
-MANY, FEW = 512, 50_000
+#: Up to so many edges a task can take all that one node has. Beyond it, a node with a FEWth of all edges is joined by broadcast:
+#: at most 2 * FEW nodes are.
+EDGES, FEW = 1 << 20, 50_000
 
 
 def _with_least(edges: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m, the smallest v of u in groups. No node's edges meet in one task."""
+    """edges (u, v) with m, the smallest v of u in groups. No node has more than a FEWth of the edges in one task."""
+    if total <= EDGES:
+        return edges.join(groups.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
     low = groups.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    many = max(MANY, total // FEW)
+    many = -(-total // FEW)
     hot = low.where(F.col("n") >= many).select(F.col("u").alias("hu"), F.col("m").alias("hm"))
     met = edges.join(F.broadcast(hot), F.col("u") == F.col("hu"), "left")
     rest = met.where("hu is null").select("u", "v").join(low.where(F.col("n") < many).select("u", "m"), "u")

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; hot groups; learned and linked spans."""
 
 import random
+import sys
 import time
 
 import brute
@@ -233,9 +234,13 @@ def test_automaton_against_search():
             assert m.stream(t, size) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [None, 20])
+def test_components(spark, monkeypatch, few):
+    if few:  # most nodes by broadcast
+        monkeypatch.setattr(sys.modules[components.__module__], "EDGES", 0)
+        monkeypatch.setattr(sys.modules[components.__module__], "FEW", few)
     r = random.Random(1)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(5, 5), (None, 3)]
+    edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(5, 5), (None, 3)] + [(300, i) for i in range(301, 350)]
     u = brute.Sets()
     for a, b in edges:
         if a is not None and a != b:
