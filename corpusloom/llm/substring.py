@@ -4,7 +4,7 @@ The reference is the corpus itself, so what may repeat is found first: a window
 content alone picks (the smallest hash of its short word runs), and only anchors that two documents share can hold a
 repeated window. The windows of one anchor place form a piece; distinct pieces of shared anchors, each with the smallest id
 that has it, are the reference, dealt into shards by anchor. A task builds a suffix automaton for some thousand words of
-whole anchors at a time and streams the pieces through it: the matching statistics give, for every window, the smallest id
+whole anchors at a time and streams their pieces through it (an anchor with one piece needs none): the matching statistics give, for every window, the smallest id
 in whose text it starts. Pieces carry that back to all documents that hold them, and maximal removed spans follow.
 
 Shards and documents meet by a shuffle on anchors. To broadcast every shard to all documents would cost shards x documents.
@@ -13,6 +13,7 @@ Shards and documents meet by a shuffle on anchors. To broadcast every shard to a
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from .common import Words, blobs, column, longs, mix, powers, runs, save, ship,
 WINDOW = 13
 #: Words of the runs that anchors are picked from.
 RUN = 6
-#: Anchors of at least so many documents are filed by their windows instead, so that no anchor gathers many pieces.
+#: Anchors of at least so many pieces, in all documents together, are filed by their windows instead: no anchor gathers more pieces
+#: than this, and a piece has at most WINDOW - RUN + 1 windows.
 COMMON = 1000
 #: Words of a shard; a shard ends at the first anchor beyond it.
 SHARD_WORDS = 40_000
@@ -126,7 +128,7 @@ def pieces(w: Words, size: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, id), once for each text and anchor."""
+    """(anchor, id, pieces), once for each text and anchor."""
     for batch in batches:
         for a, b in runs(batch.column(1)):
             w = Words(batch.column(1).slice(a, b - a))
@@ -134,9 +136,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = w.text_of[first]
             order = np.lexsort((anchor, of))
             of, anchor = of[order], anchor[order]
-            keep = np.concatenate([[True], (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])]) if len(of) else np.empty(0, bool)
-            ids = batch.column(0).slice(a, b - a).take(pa.array(of[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), ids], ["anchor", "id"])
+            begins = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])])) if len(of) else np.empty(0, np.int64)
+            ids = batch.column(0).slice(a, b - a).take(pa.array(of[begins]))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[begins].view(np.int64)), ids, longs(np.diff(np.append(begins, len(of))))], ["anchor", "id", "pieces"])
 
 
 def _among(values: np.ndarray, of: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -185,12 +187,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, piece, low, words), sorted by key: (key, piece, lows), the smallest id of each of the piece's windows."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        m = Automaton()
-        texts = [np.frombuffer(r[3], np.uint32).tolist() for r in rows]
+        m, times = Automaton(), Counter(r[0] for r in rows)
+        # A key with one piece has nothing to be matched with: each window starts where the piece does first.
+        texts = [np.frombuffer(r[3], np.uint32).tolist() if times[r[0]] > 1 else None for r in rows]
         for r, words in zip(rows, texts, strict=True):
-            m.add(words, r[2])
+            if words is not None:
+                m.add(words, r[2])
         m.close()
-        lows = pa.array([m.stream(words, WINDOW) for words in texts], pa.list_(pa.int64()))
+        lows = pa.array([[r[2]] * (len(r[3]) // 4 - WINDOW + 1) if words is None else m.stream(words, WINDOW) for r, words in zip(rows, texts, strict=True)], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([longs([r[0] for r in rows]), longs([r[1] for r in rows]), lows], ["key", "piece", "lows"])
 
     rows: list[tuple] = []
@@ -249,8 +253,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    anchors = rows.where("id is not null").select("id", "text").mapInArrow(_anchors, "anchor long, id long")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    anchors = rows.where("id is not null").select("id", "text").mapInArrow(_anchors, "anchor long, id long, pieces long")
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("pieces").alias("n")).where("lo < hi")
     shared = save(shared.select("anchor", (F.col("n") >= COMMON).alias("common")), "shared")
     listed = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("common"), F.col("anchor"))).alias("common"))
     suspects = save(rows.where("id is not null").join(listed, "id").select("id", "h", "text", "anchors", "common"), "suspects")

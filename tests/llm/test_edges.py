@@ -218,6 +218,26 @@ def test_hot_passages(spark, monkeypatch):
     assert texts[0] == " ".join(docs[0][1].split())
 
 
+def test_one_anchor_with_many_pieces(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(substring, "COMMON", 40)
+    import pyarrow as pa
+
+    r = random.Random(6)
+    # Of many runs of six words the one with the smallest hash, which windows pick as their anchor.
+    lines = [f"start{k} of entry of one log" for k in range(3000)]
+    hashes = substring.windows(substring.Words(pa.array(lines)).hashes, substring.RUN)[:: substring.RUN]
+    start = lines[int(hashes.argmin())]
+    log = lambda seed: " ".join(f"{start} {random.Random(seed * 10**6 + k % 150).randrange(10**9)} {k % 50}" for k in range(400))
+    docs = [(1, log(1)), (2, log(1)), (3, log(2)), (4, words(100, 3) + " " + log(2)[:3000] + " tail"), (5, log(1)[r.randrange(90) :])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in substring.without_repeats(df, digest=True).collect()) == brute.op6(docs)
+    texts = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], ["id", "text"])
+    for batch in substring._anchors(iter([texts])):
+        sizes += batch.column(2).to_pylist()
+    assert max(sizes) > substring.COMMON  # one document alone makes its anchor common
+
+
 def test_automaton_against_search():
     r = random.Random(3)
     texts = [[r.randrange(3) for _ in range(r.randrange(1, 40))] for _ in range(30)]
