@@ -45,11 +45,10 @@ def ragged(flat: np.ndarray, off: np.ndarray, picks: np.ndarray) -> tuple[np.nda
 class Bpe:
     """A tokenizer file as arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(file)
         of = {c: b for b, c in enumerate(byte_chars())}
         vocab, added = spec["model"]["vocab"], spec["added_tokens"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -175,9 +174,15 @@ def _ints(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def _encode(path: str, bpe: Bpe | None = None):
+def _file(path: str) -> bytes:
+    """The tokenizer file, read where the job starts: it goes along with the tasks, so executors need no such path."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _encode(file: bytes, bpe: Bpe | None = None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe_ = bpe or Bpe(path)
+        bpe_ = bpe or Bpe(file)
         for batch in batches:
             for a, b in runs(batch.column(1)):
                 ids, sizes = bpe_.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
@@ -186,9 +191,9 @@ def _encode(path: str, bpe: Bpe | None = None):
     return apply
 
 
-def _decode(path: str, bpe: Bpe | None = None):
+def _decode(file: bytes, bpe: Bpe | None = None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe_ = bpe or Bpe(path)
+        bpe_ = bpe or Bpe(file)
         for batch in batches:
             lists = batch.column(1)
             sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), np.int64)
@@ -206,7 +211,7 @@ def _digest(bpe: Bpe):
             off = np.asarray(batch.column(1).offsets, np.int64)
             raw = np.asarray(batch.column(1).values, np.int64).astype("<u4").tobytes()
             ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            texts = next(_decode("", bpe)(iter([batch]))).column(1).to_pylist()
+            texts = next(_decode(b"", bpe)(iter([batch]))).column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(ids), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return apply
@@ -220,22 +225,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """id_col and ids (array<int>) for each row of docs. A null or empty text has no ids; special tokens' strings in a text
     become their ids, as the file says. Repeated rows are encoded each, ids pass through, other columns are ignored."""
     df, kind = _two(docs, id_col, text_col, "string")
-    return df.mapInArrow(_encode(path), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return df.mapInArrow(_encode(_file(path)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col and text for each row of encoded. Null or empty ids give an empty text; unknown or null ids stand for nothing."""
     df, kind = _two(encoded, id_col, ids_col, "array<int>")
-    return df.mapInArrow(_decode(path), f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return df.mapInArrow(_decode(_file(path)), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256: encode(), then decode(), in one pass that hands no ids to the JVM."""
     df, kind = _two(docs, id_col, text_col, "string")
+    file = _file(path)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
-        return _digest(bpe)(_encode(path, bpe)(batches))
+        bpe = Bpe(file)
+        return _digest(bpe)(_encode(file, bpe)(batches))
 
     return df.mapInArrow(both, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
 

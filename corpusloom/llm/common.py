@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Fixed: the pattern of a word in every contract here (ASCII white space parts words).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are cut into runs of about so many bytes, so that a task's arrays stay small whatever a batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, HASH_BYTES = 2 << 20, 256 << 10
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,15 +25,28 @@ def ship(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where that is unset, one below the warehouse."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where that is unset, in local mode alone, one below
+    the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corpusloom"
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables and archives."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -51,11 +64,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table written by save() that nothing needs any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables written by save() that nothing needs any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder, once its results are read."""
+    _delete(spark, own_dir(spark))
 
 
 def column(df: DataFrame, name: str) -> Column:
@@ -121,13 +138,16 @@ class Words:
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
             n, starts = len(self.data), self.starts
-            if not len(starts):
-                self._hashes = np.empty(0, np.uint64)
-            else:
-                size = int((self.ends - starts).max())
-                pos = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
-                terms = self._table[self.data[starts[0] :]] * powers(_P, size + 1)[np.minimum(pos, size)]
-                self._hashes = mix(np.add.reduceat(terms, starts - starts[0]) + (self.ends - starts).astype(np.uint64))
+            self._hashes = np.empty(len(starts), np.uint64)
+            # Words of about HASH_BYTES at a time: what a long text needs besides its hashes stays small.
+            cuts = np.unique(np.searchsorted(starts, np.arange(0, n, HASH_BYTES)).tolist() + [len(starts)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sizes, low = self.ends[a:b] - starts[a:b], starts[a]
+                high = starts[b] if b < len(starts) else n
+                pos = np.arange(low, high) - np.repeat(starts[a:b], np.diff(np.append(starts[a:b], high)))
+                size = int(sizes.max())
+                terms = self._table[self.data[low:high]] * powers(_P, size + 1)[np.minimum(pos, size)]
+                self._hashes[a:b] = mix(np.add.reduceat(terms, starts[a:b] - low) + sizes.astype(np.uint64))
         return self._hashes
 
     def take(self, picks: np.ndarray) -> Words:

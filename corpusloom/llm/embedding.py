@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, longs, save, ship
+from .common import column, drop, longs, save, ship
 from .components import components
 
 #: Bytes of the pivots of one length, which every task has, and of the home vectors of a group.
@@ -256,6 +256,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = homes.mapInArrow(_visit(layouts), f"block long, visitor long, cls long, copies long, v {kind}, cell long, far double")
     dealt = dealt.repartitionById(max(1, blocks), F.col("block").cast("int"))
     edges = save(dealt.sortWithinPartitions("block", "visitor").mapInArrow(_join(cosine, layouts), "u long, links long, v long"), "edges")
+    drop(homes)
     labels = components(edges.select("u", "v"))
     counted = edges.groupBy("u").agg(F.sum("links").alias("links"))
     named = classes.join(counted, F.col("cls") == F.col("u"), "left").join(labels, F.col("cls") == F.col("node"), "left")

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, save
+from .common import WORD, column, drop, save
 
 #: Fixed: weights of the sources in order of their code points, repeating.
 WEIGHTS = (5, 2, 1)
-#: Bits of the 63-bit key that the first and second histogram tell apart.
-COARSE, FINE = 10, 32
+#: Bits of a key, and those of them that the first and second histogram tell apart.
+BITS, COARSE, FINE = 60, 10, 32
 
 
 def words(text: Column) -> Column:
@@ -23,7 +23,8 @@ def words(text: Column) -> Column:
 
 
 def key_of(ident: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(ident.cast("string"), F.lit("mix")), 1)
+    """A hash of BITS bits that any engine has: the first digits of MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":mix"))), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -31,6 +32,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 
     Targets share `share` of all words by weight; a target stops at `most` times its source's size and what is over is shared
     anew. That fixed point is a water level: sources ordered by the level at which they are full, those full below it stop.
+    Sources are names that a corpus is made up of, thousands at most: one task orders their rows.
     """
     num, den = share
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -58,7 +60,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     by_source = save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     goal = by_source.withColumn("copies", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     goal = goal.withColumn("room", F.col("target") - F.col("copies") * F.col("source_size"))
-    coarse, fine = F.shiftright("key", 63 - COARSE), F.shiftright("key", 63 - FINE)
+    coarse, fine = F.shiftright("key", BITS - COARSE), F.shiftright("key", BITS - FINE)
 
     def sums(rows: DataFrame, at: str, how: Column) -> DataFrame:
         return rows.groupBy("source", how.alias(at)).agg(F.sum("size").alias("s"))
@@ -79,7 +81,9 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     cut = F.col("key") + F.when(F.col("s") - F.col("room") < F.col("room"), 1).otherwise(0)
     last = last.select(F.col("source").alias("es"), cut.alias("cut"))
     found = goal.join(last, F.col("source").eqNullSafe(F.col("es")), "left")
-    return save(found.select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(0)).cast("long").alias("cut")), "cuts")
+    cuts = save(found.select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(0)).cast("long").alias("cut")), "cuts")
+    drop(by_source, one, inside, two)
+    return cuts
 
 
 def _applied(rows: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blobs, column, longs, mix, powers, runs, save, ship, windows
+from .common import Words, blobs, column, drop, longs, mix, powers, runs, save, ship, windows
 from .components import components
 
 SHINGLE = 5
@@ -276,6 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = more.select("key", "i", "j", "cls", "comp", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         more = save(more.mapInArrow(_decide(num, den), "u long, v long"), "links")
         labels = components(links.union(more))
+        drop(more)
+    drop(members, sets, tried, links, undecided)
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "cls")
     found = signed.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")) & F.col("id").isNotNull(), "left")
     found = found.select("id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left")

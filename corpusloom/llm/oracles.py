@@ -23,6 +23,16 @@ nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN found ON doc_id = id""",
     "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html), b AS (SELECT page_id, first, strlen(html) AS payload_bytes, {_BITS} AS bits FROM p JOIN f USING (html))
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
+    "op5_mixing": f"""WITH w AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, 2 * sum(size)::BIGINT AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS wt FROM w GROUP BY source),
+q AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS caps, sum(wt) OVER () - coalesce(sum(wt) OVER before, 0) AS open_w, sum(ss) OVER () AS total FROM s WINDOW before AS (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 2 * (caps * wt + cap * open_w) <= 3 * total * wt AS filled FROM q),
+l AS (SELECT *, (total::DOUBLE * 1.5::DOUBLE - (sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ())::DOUBLE) / (sum(CASE WHEN filled THEN 0 ELSE wt END) OVER ())::DOUBLE AS level FROM f),
+t AS (SELECT source, ss, CASE WHEN filled THEN cap::DOUBLE ELSE wt::DOUBLE * level END AS target FROM l),
+g AS (SELECT *, coalesce(floor(target / nullif(ss, 0)), 0)::BIGINT AS copies FROM t),
+k AS (SELECT source, key, s, sum(s) OVER (PARTITION BY source ORDER BY key) AS cum FROM (SELECT source, key, sum(size)::BIGINT AS s FROM w GROUP BY source, key)),
+b AS (SELECT g.source, key + CASE WHEN s - (target - copies * ss - cum + s) < target - copies * ss - cum + s THEN 1 ELSE 0 END AS cut FROM g JOIN k ON k.source IS NOT DISTINCT FROM g.source WHERE cum > target - copies * ss AND cum - s <= target - copies * ss AND s > 0)
+SELECT doc_id, size, ss AS source_size, target, (copies + CASE WHEN key < coalesce(cut, 0) THEN 1 ELSE 0 END) * size AS taken FROM w JOIN g ON g.source IS NOT DISTINCT FROM w.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM w.source""",
     "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
 h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS low FROM g) WHERE low < doc_id),

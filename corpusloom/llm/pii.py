@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, save
+from .common import column, drop, save
 from .spans import SPANS, digits, let, matches, ordered, overlapping, replaced, spans
 
 ROUNDS, MIN_SURE, MIN_SEEDS = 3, 0.5, 5
@@ -121,18 +121,22 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
         # Few contexts filter the words where they are read; else words are counted first, so that none is shuffled row by row.
         small = size <= SMALL
         counted = (every.join(F.broadcast(contexts), "word") if small else every).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-        return save(counted if small else counted.join(contexts, "word"), "totals")
+        counted = save(counted if small else counted.join(contexts, "word"), "totals")
+        done.append(counted)
+        return counted
 
     seeds = graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score"))
-    scored, totals = seeds, None
-    for _ in range(ROUNDS):
+    scored, totals, done = seeds, None, []
+    for n in range(1, ROUNDS + 1):
         # Ties go to the later kind, and scores are rounded, so that reruns agree whatever the order of rows.
         weight = F.round(F.col("n") * F.col("score"), 9)
         met = graph.join(scored, "value").groupBy("side", "word").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("values"), surest("vkind", weight).alias("pkind"))
         met = save(met.where(F.col("values") >= MIN_SEEDS), "met")
         # Contexts that may get sure enough in this round; those new to it are counted.
         words = met.select("word").distinct()
-        more = totals_of(save(words if totals is None else words.join(totals, "word", "left_anti"), "contexts"))
+        contexts = save(words if totals is None else words.join(totals, "word", "left_anti"), "contexts")
+        done += [met, contexts]
+        more = totals_of(contexts)
         if more is not None:
             totals = more if totals is None else totals.unionByName(more)
         if totals is None:
@@ -141,12 +145,18 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
         rules = save(rules.where(F.col("sure") >= MIN_SURE).select("side", "word", "sure", "values", "pkind"), "patterns")
         if rules.isEmpty():
             return none
+        done.append(rules)
+        if n == ROUNDS:
+            break
         new = graph.join(rules, ["side", "word"]).groupBy("value").agg(surest("pkind", F.col("sure")).alias("vkind"), F.max(F.least("sure", F.lit(1.0))).alias("score"))
         scored = save(seeds.unionByName(new).groupBy("value").agg(surest("vkind", F.col("score")).alias("vkind"), F.max("score").alias("score")), "scores")
+        done.append(scored)
     by = lambda side: each.where("kind is null").join(rules.where(F.col("side") == side).select(F.col("word").alias(side), "pkind", "sure"), side)
     fresh = by("l").unionByName(by("r")).groupBy("id", "h", "start", "end").agg(surest("pkind", F.col("sure")).alias("kind"))
     fresh = fresh.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).cast(SPANS).alias("more"))
-    return save(fresh, "learned")
+    out = save(fresh, "learned")
+    drop(graph, *done)
+    return out
 
 
 def _with_more(rows: DataFrame, more: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ _ANY = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    at = offsets.tolist()
+    return np.fromiter((np.count_nonzero(flags[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64, len(at) - 1)
 
 
 def n_words(w: Words) -> dict[str, np.ndarray]:

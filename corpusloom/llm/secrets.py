@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, save
+from .common import column, drop, save
 from .spans import SPANS, let, matches, ordered, overlapping, spans
 
 SCOPE = 256
@@ -91,6 +91,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sure = linked.where("kind = 'weak_secret'").unionByName(near(keys.where("kind <> 'weak_secret'"), ids))
     more = linked.unionByName(near(parts.where("kind = 'endpoint'"), sure))
     more = save(more.groupBy(F.col("id").alias("mid"), F.col("h").alias("mh")).agg(F.collect_list(F.struct("kind", "start", "end")).cast(SPANS).alias("more")), "more")
+    drop(parts, linked)
     out = found.join(more, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")), "left")
     return out.select(F.col("id").alias(id_col), "base", ordered(F.concat("base", F.coalesce("more", F.array().cast(SPANS))), KINDS + WEAK_KINDS, False).alias("spans"))
 

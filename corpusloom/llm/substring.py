@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blobs, column, longs, mix, powers, runs, save, ship, windows
+from .common import Words, blobs, column, drop, longs, mix, powers, runs, save, ship, windows
 
 WINDOW = 13
 #: Words of the runs that anchors are picked from.
@@ -269,6 +269,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = suspects.join(hits, ["id", "h"]).select("id", "h", "text", "starts").mapInArrow(_result(digest), shape)
     # A repeated row of one id and text is cut each; its copies are alike, so one stands for all of them.
     cut = save(cut.groupBy("id", "h").agg(F.first("n_removed").alias("cut_n"), F.first("kept").alias("cut_kept")), "cut")
+    drop(shared, suspects, lows)
     whole = rows.select("id", "h", "text", F.array().cast("array<long>").alias("starts")).mapInArrow(_result(digest), shape)
     c = cut.withColumnsRenamed({"id": "cid", "h": "ch"})
     out = whole.join(c, (F.col("id") == F.col("cid")) & (F.col("h") == F.col("ch")), "left")

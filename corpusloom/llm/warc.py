@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, new_path, save, ship
+from .common import column, drop, new_path, save, ship
 
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Ranges less than GAP bytes apart are fetched at once, up to RANGE bytes a fetch. An archive ends at the first record past ARCHIVE
@@ -168,7 +168,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     again = save(again.select(F.col("page_id").alias("rid"), F.col("key").alias("rkey"), "first").distinct(), "revisits")
     keyed = rows.withColumn("key", key).join(again, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")), "left")
     keyed = keyed.select("page_id", "url", "html", "first")
-    return save(keyed.mapInArrow(_write(new_path(spark, "warc")), INDEX), "index")
+    index = save(keyed.mapInArrow(_write(new_path(spark, "warc")), INDEX), "index")
+    drop(many, again)
+    return index
 
 
 def read_records(index: DataFrame) -> DataFrame:

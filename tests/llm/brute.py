@@ -170,3 +170,110 @@ def op9(docs):
         bad = bad or (len(w) >= 20 and 10 * max(Counter(w).values()) > 4 * len(w))
         out.append((i, len(w), chars, symbols, dup, len(hit), failed, not bad))
     return sorted(out)
+
+
+def op5(docs):
+    """docs: (id, text, source), ids unique."""
+    size, total = {}, 0
+    for _, text, source in docs:
+        size[source] = size.get(source, 0) + len(words(text))
+    total = sum(size.values())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    full: set = set()
+    while True:
+        left = 1.5 * total - sum(2 * size[s] for s in full)
+        level = left / max(1, sum(w for s, w in weight.items() if s not in full))
+        over = {s for s in order if s not in full and weight[s] * level >= 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 2.0 * size[s] if s in full else weight[s] * level for s in order}
+    key = lambda i: int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:15], 16)
+    times = {}
+    for s in order:
+        whole = int(target[s] // size[s]) if size[s] else 0
+        room, upto = target[s] - whole * size[s], 0
+        for i, n in sorted(((i, len(words(t))) for i, t, src in docs if src == s), key=lambda x: key(x[0])):
+            inside = upto + n <= room or (upto <= room and n - (room - upto) < room - upto)
+            times[i] = whole + (n > 0 and inside and upto <= room)
+            upto += n
+    return sorted((i, len(words(t)), size[s], target[s], times[i] * len(words(t))) for i, t, s in docs)
+
+
+def mixed(s):
+    return bool(re.search("[0-9]", s) and re.search("[A-Z]", s) and re.search("[a-z]", s) and s[0] != "/")
+
+
+def op10_spans(docs, kinds, weak, mixed, scope):
+    """All spans by pairs of parts: weak (kind, pattern), mixed(secret)."""
+    out = []
+    for i, text in docs:
+        text = text or ""
+        base = [(m.start(), m.end(), kind) for kind, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m)]
+        parts = [(m.start(), m.end(), kind) for kind, p in weak for m in re.finditer(p, text) if kind != "weak_secret" or mixed(m[0])]
+        parts = [w for w in parts if not any(b[0] < w[1] and b[1] > w[0] for b in base)]
+        named = [w for w in parts if w[2] == "weak_id"]
+        parts = [w for w in parts if w[2] != "weak_secret" or not any(n[0] <= w[0] and n[1] >= w[1] for n in named)]
+        near = lambda a, b: 0 <= b[0] - a[1] <= scope or 0 <= a[0] - b[1] <= scope
+        ids = [p for p in base + parts if p[2] in ("access", "weak_id")]
+        keys = [p for p in base + parts if p[2] in ("assign", "hex", "weak_secret")]
+        found = [p for p in parts if p[2] == "weak_secret" and any(near(p, q) for q in ids) or p[2] == "weak_id" and any(near(p, q) for q in keys)]
+        sure = [p for p in keys if any(near(p, q) for q in ids)]
+        found += [p for p in parts if p[2] == "endpoint" and any(near(p, q) for q in sure)]
+        place = [*kinds, *(k for k, _ in weak)]
+        out.append((i, ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + found, key=lambda s: (s[0], place.index(s[2]))))))
+    return sorted(out)
+
+
+def op8_spans(docs, kinds, rounds, sure_at, seeds_at):
+    """All spans by the bootstrap over plain dictionaries."""
+    tokens, base, counts = [], {}, Counter()
+    for i, text in docs:
+        text = text or ""
+        base[i] = [(k, m.start(), m.end(), kind) for k, (kind, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m)]
+        every = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+        counts.update(w.lower() for _, _, w in every)
+        for n, (a, b, w) in enumerate(every):
+            hit = sorted(s for s in base[i] if s[1] < b and s[2] > a)
+            value = re.sub(r"[^0-9A-Za-z)]+\Z", "", re.sub(r"^[^0-9A-Za-z@+(]+", "", w))
+            if (re.search("[0-9@]", w)) and (hit or len(digits(value)) >= 4 or "@" in value):
+                # The word on the right may be a token itself; a gap without a word has none.
+                last, then = every[n - 1] if n else None, every[n + 1] if n + 1 < len(every) else None
+                plain = lambda t: t[2].lower() if t and not re.search("[0-9@]", t[2]) else ""
+                tokens.append((i, a, b, {"l": plain(last), "r": plain(then)}, value, hit[0][3] if hit else None))
+    graph, kind_of = Counter(), {}
+    for _, _, _, sides, value, kind in tokens:
+        for side, word in sides.items():
+            if len(word) > 1:
+                graph[side, word, value] += 1
+                if kind:
+                    kind_of[value] = max(kind, kind_of.get(value, ""))
+    best = lambda options: max(options) if options else None
+    seeds = {v: (1.0, k) for v, k in kind_of.items()}
+    scored, rules = dict(seeds), {}
+    for _ in range(rounds):
+        met: dict = {}
+        for (side, word, value), n in graph.items():
+            if value in scored:
+                met.setdefault((side, word), []).append((round(n * scored[value][0], 9), scored[value][1]))
+        rules = {}
+        for (side, word), found in met.items():
+            share = round(sum(w for w, _ in found) / counts[word], 9) if counts[word] else 0
+            if len(found) >= seeds_at and share >= sure_at:
+                rules[side, word] = (share, max(found)[1])
+        new: dict = {}
+        for side, word, value in graph:
+            if (side, word) in rules:
+                share, kind = rules[side, word]
+                new.setdefault(value, []).append((share, kind))
+        scored = dict(seeds)
+        for value, found in new.items():
+            options = [(min(1.0, max(found)[0]), max(found)[1])] + ([seeds[value]] if value in seeds else [])
+            scored[value] = best(options)
+    learned: dict = {}
+    for i, a, b, sides, _, kind in tokens:
+        found = [rules[s, w] for s, w in sides.items() if (s, w) in rules]
+        if kind is None and found:
+            learned.setdefault(i, []).append((list(kinds).index(max(found)[1]), a, b, max(found)[1]))
+    return sorted((i, ",".join(f"{s[3]}:{s[1]}:{s[2]}" for s in sorted(base[i] + learned.get(i, []), key=lambda s: (s[0], s[1], s[2])))) for i, _ in docs)

@@ -1,10 +1,11 @@
 """Each query of the folder against a plain version, on the small tables."""
 
 import brute
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 
-from corpusloom.llm import queries
+from corpusloom.llm import pii, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,30 +51,21 @@ def test_html_text(spark):
             assert squeezed(text) == squeezed(unescape(re.sub("<[^>]*>", "", body[1])))
 
 
-def test_mixing(spark, docs):
-    first = queries.op5_mixing(spark, SF).collect()
-    assert sorted(map(tuple, first)) == run(spark, "op5_mixing")
-    source = dict(rows("documents", "doc_id", "source"))
-    total = sum(len(brute.words(t)) for _, t in docs)
-    by = {}
-    for r in first:
-        s = by.setdefault(source[r.doc_id], {"size": 0, "taken": 0, "target": r.target, "largest": 0})
-        s["size"] += r.size
-        s["taken"] += r.taken
-        s["largest"] = max(s["largest"], r.size)
-        assert r.taken <= 2 * r.size
-    assert sum(s["target"] for s in by.values()) == pytest.approx(1.5 * total)
-    level = None
-    for k, name in enumerate(sorted(by)):
-        s, weight = by[name], (5, 2, 1)[k % 3]
-        assert abs(s["taken"] - s["target"]) <= s["largest"]
-        assert s["target"] <= 2 * s["size"]
-        if s["target"] < 2 * s["size"]:
-            level = level or s["target"] / weight
-            assert s["target"] == pytest.approx(level * weight)
-    for k, name in enumerate(sorted(by)):
-        if by[name]["target"] == 2 * by[name]["size"]:
-            assert level is None or level * (5, 2, 1)[k % 3] >= by[name]["target"] - 1e-6
+def test_mixing(spark):
+    want = brute.op5(rows("documents", "doc_id", "text", "source"))
+    assert run(spark, "op5_mixing") == want == run(spark, "op5_mixing")
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    asked = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in asked.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(asked.fetchall(), key=repr)
 
 
 def test_substring(spark, docs):
@@ -84,13 +76,14 @@ def test_embeddings(spark):
     assert run(spark, "op7_embedding_near_dedup") == brute.op7(rows("embeddings", "vec_id", "embedding"))
 
 
-@pytest.mark.parametrize(("name", "kinds", "by_kind"), [("op8_pii", brute.PII, True), ("op10_secret_scan", brute.SECRETS, False)])
-def test_spans(spark, docs, name, kinds, by_kind):
-    want = brute.base(docs, kinds, by_kind)
-    got = run(spark, name)
-    assert [r[:-1] for r in got] == [r[:-1] for r in want]
-    for g, w in zip(got, want, strict=True):
-        assert set(filter(None, w[-1].split(","))) <= set(g[-1].split(","))
+def test_personal_data(spark, docs):
+    spans = dict(brute.op8_spans(docs, brute.PII, pii.ROUNDS, pii.MIN_SURE, pii.MIN_SEEDS))
+    assert run(spark, "op8_pii") == [(*r[:-1], spans[r[0]]) for r in brute.base(docs, brute.PII, True)]
+
+
+def test_secrets(spark, docs):
+    spans = dict(brute.op10_spans(docs, brute.SECRETS, [(k, getattr(secrets, k.upper())) for k in secrets.WEAK_KINDS], brute.mixed, secrets.SCOPE))
+    assert run(spark, "op10_secret_scan") == [(*r[:-1], spans[r[0]]) for r in brute.base(docs, brute.SECRETS, False)]
 
 
 def test_quality(spark, docs):
@@ -118,9 +111,10 @@ def test_pipeline(spark, docs):
             assert r.text == texts[r.doc_id]
         else:
             assert "<" in r.text and r.text != texts[r.doc_id]
-    mixed = stage["mixing"](spark, clean, SF)
+    mixed = stage["mixing"](spark, clean, SF).cache()
     assert mixed.columns == rows_.columns
-    assert {r.doc_id for r in mixed.select("doc_id").collect()} <= want
+    times = {r[0]: r[4] // r[1] for r in brute.op5([(r.doc_id, r.text, r.source) for r in clean.collect()]) if r[1]}
+    assert sorted(r.doc_id for r in mixed.select("doc_id").collect()) == sorted(i for i, n in times.items() for _ in range(n))
     done = corpus_pipeline.run(spark, SF)
-    assert done.count() == mixed.count()
     assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, done.collect())) == brute.op3([(r.doc_id, r.text) for r in mixed.collect()], queries.tokenizer_path())

@@ -316,6 +316,40 @@ def test_long_secrets_and_lone_identifiers(spark):
     assert got == {0: [("access", 20), ("weak_secret", 180)], 1: [], 2: [], 3: [*both, ("endpoint", 26)], 4: both[::-1], 5: []}
 
 
+def test_linked_parts_against_pairs(spark):
+    r = random.Random(4)
+    secret = lambda: "".join(r.choices("abcdefghijkABCDEFGHIJK0123456789+/", k=r.randrange(18, 60)))
+    part = [lambda: "AKIA" + "Q" * 16, lambda: f"client_id={secret()[:12]}", lambda: f"Account-ID: '{secret()[:30]}'", secret, secret, lambda: f"token = {secret()}", lambda: secret().lower() and "0af" * 9, lambda: f"https://x.org/{secret()}", lambda: "ASIA" + "Z" * 16]
+    docs = [(i, r.choice([" ", ", "]).join(r.choice(part)() if r.random() < 0.15 else "x" * r.randrange(1, 12) for _ in range(r.randrange(1, 150)))) for i in range(60)]
+    want = brute.op10_spans(docs, brute.SECRETS, [(k, getattr(secrets, k.upper())) for k in secrets.WEAK_KINDS], brute.mixed, secrets.SCOPE)
+    got = {x.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in x.spans) for x in secrets.secrets(frame(spark, [(i, t, "en", "s", 1) for i, t in docs], False)).collect()}
+    assert got == dict(want) and sum("weak_secret" in s for s in got.values()) > 10 and sum("endpoint" in s for s in got.values()) > 5
+
+
+def test_bootstrap_against_dictionaries(spark):
+    r = random.Random(12)
+    number = lambda: f"{r.randrange(100):03}-{r.randrange(400)}-{r.randrange(10**3):04}"
+    known = [number() for _ in range(40)]
+    texts = []
+    for i in range(250):
+        seed = r.choice([f"a{r.randrange(60)}@b.org", f"10.0.{r.randrange(9)}.{r.randrange(9)}", f"+1 555 010 {1000 + r.randrange(90)}"])
+        pairs = [(r.choice(["callme", "mail", "host"]), seed), (r.choice(["callme", "reachphone", "reachphone", "reachphone"]), r.choice(known)), (r.choice(["reachphone", "word"]), number()), ("the", "2024"), ("mail", "plain")]
+        texts.append(" ".join(f"{w} {x} {r.choice(['now', 'thanks', 'ok,', 'or'])}" for w, x in pairs if r.random() < (0.9 if x == seed else 0.25)))
+    docs = list(enumerate(texts)) + [(900, None), (901, "")]
+    want = dict(brute.op8_spans(docs, brute.PII, pii.ROUNDS, pii.MIN_SURE, pii.MIN_SEEDS))
+    got = {x.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in x.spans) for x in pii.personal_data(frame(spark, [(i, t, "en", "s", 1) for i, t in docs], False)).collect()}
+    assert got == want
+    assert sum(len(got[b[0]]) > len(b[-1]) for b in brute.base(docs, brute.PII, True)) > 10
+
+
+@pytest.mark.parametrize("sources", [["s"], [None], [None, "b", "a", "é"], list("abcdefg")])
+def test_mixing_of_odd_sources(spark, sources):
+    r = random.Random(len(sources))
+    docs = [(i, r.choice([None, "", words(r.randrange(1, 60), i), " "]), r.choice(sources)) for i in range(80)] + [(100, None, "nothing"), (101, "", "nothing")]
+    got = sorted(tuple(x) for x in mixing.mixture(frame(spark, [(i, t, "en", s, 1) for i, t, s in docs])).collect())
+    assert got == [pytest.approx(w) for w in brute.op5(docs)]
+
+
 def test_near_against_pairs(spark):
     r = random.Random(8)
     some = lambda n: sorted({(d, a, a + r.randrange(1, 60)) for d, a in ((r.randrange(3), r.randrange(900)) for _ in range(n))})
