@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, mixing, near_dedup, pii, quality
-from corpusloom.llm.common import save
+from corpusloom.llm.common import drop, save
 from corpusloom.llm.queries import tokenizer_path
 
 
@@ -43,13 +43,16 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup_stage), ("pii", personal_data), ("mixing", mixing_stage), ("bpe", encoding)]
-#: SQL can express neither the learned patterns nor the encoding; tests/llm holds the first two stages against brute-force
-#: versions and the others to properties; of run() it compares the row count and column names only.
+#: SQL can express neither the learned patterns nor the encoding; tests/llm holds the stages and run()'s rows to brute-force
+#: versions, the redacted texts to their spans.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         rows = save(stage(spark, rows, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = rows
     return rows
