@@ -74,8 +74,7 @@ def pack(parts: Column, max_tokens: int) -> Column:
 
 def _once(text: Column, max_tokens: int) -> Column:
     """The parts of a text that is too large: by paragraphs, else by lines, else by sentences, else by words."""
-    by = [F.split(text, p, -1) for p in (r"\n\n+", r"\n", r"(?U)(?<=[.!?])\s+")]
-    parts = F.when(F.size(by[0]) > 1, by[0]).when(F.size(by[1]) > 1, by[1]).when(F.size(by[2]) > 1, by[2])
+    parts = F.when(text.contains("\n\n"), F.split(text, r"\n\n+", -1)).when(text.contains("\n"), F.split(text, "\n", -1)).otherwise(F.split(text, r"(?U)(?<=[.!?])\s+", -1))
     cut = F.transform(word_windows(text, max_words(max_tokens)), lambda t: F.struct(t.alias("text"), F.lit(False).alias("big"))).cast(_PARTS)
     splits = text.contains("\n") | text.rlike(r"(?U)[.!?]\s")
     return F.when(splits, pack(parts, max_tokens)).otherwise(cut)
@@ -83,9 +82,10 @@ def _once(text: Column, max_tokens: int) -> Column:
 
 def split_paragraphs(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """array<string>: text in pieces of at most max_tokens. Each of the four splitters can find work once, so four rounds do."""
-    found = F.array(F.struct(text.alias("text"), F.lit(True).alias("big"))).cast(_PARTS)
-    for _ in range(4):
-        found = F.flatten(F.transform(found, lambda p: F.when(p["big"], _once(p["text"], max_tokens)).otherwise(F.array(p))))
+    again = lambda found: F.flatten(F.transform(found, lambda p: F.when(p["big"], _once(p["text"], max_tokens)).otherwise(F.array(p))))
+    found = _once(text, max_tokens)
+    for _ in range(3):
+        found = let(found, lambda f: F.when(F.exists(f, lambda p: p["big"]), again(f)).otherwise(f))
     pieces = F.transform(found, lambda p: p["text"])
     small = F.when(strip(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(estimate_tokens(text) <= max_tokens, small).otherwise(pieces)
@@ -131,7 +131,8 @@ def merge_tiny(sections: Column, min_tokens: int = MIN_TOKENS, max_tokens: int =
     full = F.filter(F.transform(sections, lambda s: F.struct(s["heading"].alias("heading"), strip(s["content"]).alias("content"))), lambda s: s["content"] != "")
     items = F.transform(full, lambda s: F.struct(s["heading"].alias("heading"), s["content"].alias("content"), n_words(s["content"]).alias("n"))).cast(f"array<{_ITEM}>")
     for _ in range(passes):
-        items = _merge_pass(items, min_tokens, max_tokens)
+        tiny = lambda x: F.exists(x, lambda i: tokens_of(i["n"]) < min_tokens)
+        items = let(items, lambda x: F.when(tiny(x), _merge_pass(x, min_tokens, max_tokens)).otherwise(x))
     return F.transform(items, lambda s: F.struct(s["heading"].alias("heading"), s["content"].alias("content"))).cast(SECTIONS)
 
 

@@ -137,7 +137,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = K_DENSE, where: Colum
     squared = lambda df: staged(df, v=F.col("embedding").cast("array<double>"), vv=dot(F.col("embedding"), F.col("embedding"))).drop("embedding")
     rows = squared(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     q = squared(q).select("query_id", F.col("v").alias("q"), F.col("vv").alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    cosine = dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))
+    cosine = F.try_divide(dot(F.col("v"), F.col("q")), F.sqrt(F.col("vv") * F.col("qq")))
     scored = rows.join(q, (rows["part"] == q["part"]) & (F.size("v") == F.size("q"))).select("query_id", "id", "seq", F.round(cosine, DIGITS).alias("score"))
     return top_k(scored.where("score is not null"), "score", k, "seq")
 

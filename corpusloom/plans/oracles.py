@@ -203,5 +203,6 @@ ORACLES = {
     "conv_delete": f"WITH {LOG} SELECT * FROM log WHERE conversation_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0)",
     "feedback_stats": f"WITH {RATED}, a AS (SELECT count(*) AS total, count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down FROM rated) SELECT total, up, down, CAST(floor(up * 100 / total + 0.5) AS BIGINT) AS up_percent FROM a",
     "feedback_recent": f"WITH {RATED} SELECT * FROM rated ORDER BY seq DESC LIMIT 20",
+    "length_batches": f"WITH {CHUNKS} SELECT id, (row_number() OVER (ORDER BY length(content) DESC, id) - 1) // 64 AS batch FROM c",
     "embed_resume": "SELECT 'chunk_' || doc_id AS id, length(coalesce(text, '')) AS n_chars, doc_id % 4 AS chunk_index FROM documents",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, logs, retrieval
+from ..sources import files
 from ..sources.files import pending, upsert_vectors, vector_records
 from .oracles import ORACLES
 from .tables import MIXED, QUERY, chunks, derived, markdown, questions, table, vectors, wiki
@@ -356,6 +357,11 @@ def feedback_recent(spark, d):
     return logs.recent(rated(spark, d))
 
 
+@query
+def length_batches(spark, d):
+    return files.length_batches(chunks(spark, d)).select("id", "batch")
+
+
 @query
 def embed_resume(spark, d):
     c = chunks(spark, d).withColumns({"embedding": F.array(F.lit(0.5)), "total_chunks": F.lit(4), "content_type": F.lit("technical"), "char_count": F.length("content"), "estimated_tokens": estimate_tokens(F.col("content"))})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import numbered
+
 _METADATA = (("source_file", "string"), ("page_title", "string"), ("section_heading", "string"), ("chunk_index", "long"), ("total_chunks", "long"), ("author", "string"), ("date", "string"), ("content_type", "string"), ("char_count", "long"), ("estimated_tokens", "long"))
 CHUNK_SCHEMA = "content string, " + ", ".join(f"{name} {kind}" for name, kind in _METADATA)
 VECTOR_SCHEMA = f"id string, embedding array<float>, document string, metadata struct<{', '.join(f'{name}:{kind}' for name, kind in _METADATA)}>"
@@ -39,8 +41,24 @@ def write_texts(docs: DataFrame, path: str, key: str = "path", text_col: str = "
     docs.select(key, text_col).write.mode("overwrite").parquet(path)
 
 
+def _paths(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    here, new, old = (jvm(path.rstrip("/") + end) for end in ("", "__new", "__old"))
+    return here.getFileSystem(spark._jsc.hadoopConfiguration()), jvm(path.rstrip("/") + "__new/_SUCCESS"), here, new, old
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Ends a rewrite that was stopped: where the table is missing, the new one, complete, takes its place; leftovers go."""
+    fs, done, here, new, old = _paths(spark, path)
+    if not fs.exists(here) and fs.exists(done):
+        fs.rename(new, here)
+    if fs.exists(here) and fs.exists(old):
+        fs.delete(old, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
     """One object a line with a fixed schema, so nothing is read twice to infer it; blank lines are skipped."""
+    settle(spark, path)
     return spark.read.schema(schema).json(path)
 
 
@@ -49,14 +67,22 @@ def write_jsonl(df: DataFrame, path: str, *, append: bool = False) -> None:
 
 
 def rewrite_jsonl(df: DataFrame, path: str) -> None:
-    """Replaces a table that df itself may be read from: the new one is written beside it, then takes its place."""
+    """Replaces a table that df itself may be read from: the new one is written beside it, the old one steps aside, the new one
+    takes its place. Whenever this is stopped, a complete table is there; settle() finds it."""
     spark = df.sparkSession
-    new = path.rstrip("/") + "__new"
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(new)
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm(path), True)
-    fs.rename(jvm(new), jvm(path))
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path.rstrip("/") + "__new")
+    fs, _, here, new, old = _paths(spark, path)
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(new, here)
+    fs.delete(old, True)
+
+
+def length_batches(chunks: DataFrame, size: int = 64) -> DataFrame:
+    """chunks with batch: texts of like lengths together, so that a model pads little. The longest come first; ties go by id."""
+    placed = numbered(chunks.withColumn("__length", F.length("content")), [F.desc("__length"), "id"], "__at")
+    return placed.withColumn("batch", F.floor(F.col("__at") / size)).drop("__length", "__at")
 
 
 def vector_records(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:

@@ -50,9 +50,8 @@ def test_mixed_documents_are_whole(duck):
     assert duck.execute(cut).fetchone() == (200, 0)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_without_optional_folder(tmp_path):

@@ -54,11 +54,12 @@ def test_context(spark):
     assert got[1].context == "[1] T - H (last modified 2020)\n" + "x" * 9000 and [s.id for s in got[1].sources] == ["a"]
     assert got[2].context == "" and got[2].sources == []
     assert got[3].context == "[1] T\none\n\n---\n\n[2] U\ntwo"
-    asked = r.prompts(r.build_context(spark.createDataFrame(rows, shape)), spark.createDataFrame([(3, "why?")], "query_id long, query string")).first()
+    asked = r.prompts(r.build_context(spark.createDataFrame(rows, shape)), spark.createDataFrame([(3, "why?")], "query_id long, query string"), "Be brief.").first()
+    assert asked.messages[0].content == "Be brief."
     assert asked.messages[1].content == "Sources:\n\n[1] T\none\n\n---\n\n[2] U\ntwo\n\nQuestion: why?"
     assert r.answer(spark.createDataFrame([asked]), lambda m: F.upper(m[1]["content"])).first().answer.startswith("SOURCES")
     with pytest.raises(ValueError):
-        r.prompts(None, None, temperature=3)
+        r.prompts(None, None, "", temperature=3)
 
 
 def test_hash_embed(spark):
@@ -66,6 +67,30 @@ def test_hash_embed(spark):
     assert v[0].v == v[2].v and sum(x * x for x in v[0].v) == pytest.approx(1) and set(v[1].v) == {0.0}
 
 
+def test_dense_of_few_and_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(r, "ROWS", 7)
+    rows = [(f"v{i}", i, [float((i * k) % 11 - 5) for k in (1, 3, 7)]) for i in range(60)] + [("null", 60, None), ("zero", 61, [0.0] * 3), ("hole", 62, [1.0, None, 2.0]), ("long", 63, [1.0] * 4), ("none", 64, [])]
+    v = spark.createDataFrame(rows, "id string, seq long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, -1.0, 0.5]), (3, [1.0] * 4), (4, None)], "query_id long, embedding array<double>")
+    few, many = (sorted(tuple(x) for x in r.dense(v, q, k=5, is_few=f).collect()) for f in (True, False))
+    assert few == many and {x[0] for x in few} == {1, 2, 3} and [x[1] for x in few if x[0] == 3] == ["long"]
+    assert all(sum(x[0] == n for x in few) == 5 for n in (1, 2))
+
+
+def test_search_follows_a_conversation(spark, chunks):
+    q = spark.createDataFrame([(1, "more", [("user", "gamma")]), (2, "more", None)], "query_id long, query string, history array<struct<role:string,content:string>>")
+    asked = r.with_history(q)
+    assert {x.query_id: x.query for x in asked.collect()} == {1: "[Previous conversation]\nUser: gamma\n\n[Current question]\nmore", 2: "more"}
+    found = {x.query_id: x.id for x in r.bm25(chunks, asked).where("rank = 0").collect()}
+    assert found[1] in ("chunk_1", "chunk_2") and 2 not in found
+
+
+def test_postings(spark, chunks):
+    got = {(x.id, x.term): (x.tf, x.len) for x in r.postings(chunks).collect()}
+    assert got["chunk_5", "alpha"] == (3, 3) and got["chunk_3", "alpha_beta"] == (1, 4) and ("chunk_0", "gamma") not in got
+    assert r.postings(chunks.withColumn("content", F.lit(""))).count() == 0
+
+
 def test_contextual_query(spark):
     df = spark.createDataFrame([(1, [("user", "a" * 301), ("bot", "b")] * 4), (2, []), (3, None)], "k long, h array<struct<role:string,content:string>>")
     got = {x.k: x.q for x in df.select("k", logs.contextual_query(F.lit("now"), F.col("h")).alias("q")).collect()}
@@ -104,6 +129,9 @@ def test_files(spark, tmp_path):
     assert any(json.loads(line) == {"k": "ä", "v": None} for p in (tmp_path / "log").glob("part*") for line in p.read_text().splitlines())
     files.rewrite_jsonl(back.where("k = 'b'"), out)
     assert files.read_jsonl(spark, out, "k string, v string").count() == 1
+    # Stopped after the old table went aside, and before the new one took its place: reading settles it.
+    (tmp_path / "log").rename(tmp_path / "log__new")
+    assert files.read_jsonl(spark, out, "k string, v string").count() == 1 and not (tmp_path / "log__new").exists()
 
 
 def test_ingest(spark, tmp_path):
