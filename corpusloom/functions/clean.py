@@ -27,7 +27,7 @@ def without_signatures(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Drops HTML and what conversion left behind; keeps the words. The order of the steps shows in the result."""
+    """Drops HTML and what conversion left behind; keeps the words. Fixed: the patterns, and their order, as it shows in the result."""
     text = sub(text, "\r\n?", "\n")
     text = sub(text, "</?sticky>", "")
     text = sub(text, r"""(?U)["\s]*hideimg(?:right|left)=["\s]*["}%]*""", "")

@@ -29,6 +29,7 @@ COLOURS = {
 VARIABLES = ("WEB", "TOPIC", "USERSWEB", "DATE", "WIKINAME", "WIKITOOLNAME", "MAINWEB", "SYSTEMWEB", "HOMETOPIC")
 WEBS = ("Main", "TWiki", "Sandbox", "CMS", "CMSPublic", "System", "Trash")
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#124;", "\\|"), ("&#94;", "^"))
+#: Fixed: the markup that phases look for, here and in each of them, follows from the wiki's language.
 _COLOUR = "|".join(COLOURS)
 _ICON = r"""%ICON\{["']?([\w-]+)["']?\}%"""
 _BLOCK = r"""(?s)((?:%ICON\{["']?[\w-]+["']?\}%\s*)?)%(""" + _COLOUR + r""")%\s*(.*?)\s*%ENDCOLOR%"""
@@ -257,27 +258,37 @@ def status(validation: Column) -> Column:
     return F.when(validation.isNull(), "Exception").when(bad, "Error").when(doubtful, "Warning").otherwise("Success")
 
 
+_SPACED = r"(\S.*?\S|\S)"
+#: Fixed: a rule's name, what of the source shows that it was needed, and what of the result must hold, "not " before what must not.
+RULES = (
+    ("META stripped", "(?md)^%META:", "not (?md)^%META:"),
+    ("Headings converted", r"(?md)^-{3,}\s*\++", r"(?md)^#{1,6}\s"),
+    ("Verbatim → code blocks", "<verbatim", "```"),
+    ("Links converted", r"(?d)\[\[.*?\]\]", ""),
+    ("Tables converted", r"(?md)^\s*\|.*\|\s*$", r"\|[-:]+\|"),
+    ("Bullet lists converted", r"(?md)^\s{3,}\*\s", r"(?md)^(\s*)- "),
+    ("Numbered lists converted", r"(?md)^\s{3,}\d+\.\s", ""),
+    ("Colors stripped", f"%({_COLOUR})%", ""),
+    ("Variables processed", r"%[A-Z_]+(\{[^}]*\})?%", ""),
+    ("Bold converted", r"(?d)(?<!\*)\*(?!\*)" + _SPACED + r"\*(?!\*)", r"\*\*"),
+    ("Italic converted", r"(?d)(?<!_)_(?!_)" + _SPACED + "_(?!_)", ""),
+    ("Code spans converted", r"(?d)(?<!=)=(?!=)" + _SPACED + "=(?!=)", ""),
+    ("BR tags normalized", r"<br\s*/?>", ""),
+    ("Nop tags stripped", "<nop>", ""),
+    ("Noautolink stripped", "<noautolink>", ""),
+    ("Signatures converted", r"-- (Main\.|TWiki\.)", ""),
+    ("WikiWord escapes stripped", r"!\w+[A-Z]\w+", ""),
+)
+
+
 def applied_rules(original: Column, markdown: Column) -> Column:
     """Names of the conversion rules that a document seems to have needed."""
-    o, c = original, markdown
-    spaced = r"(\S.*?\S|\S)"
-    checks = (
-        (o.rlike("(?md)^%META:") & ~c.rlike("(?md)^%META:"), "META stripped"),
-        (o.rlike(r"(?md)^-{3,}\s*\++") & c.rlike(r"(?md)^#{1,6}\s"), "Headings converted"),
-        (o.contains("<verbatim") & c.contains("```"), "Verbatim → code blocks"),
-        (o.rlike(r"(?d)\[\[.*?\]\]"), "Links converted"),
-        (o.rlike(r"(?md)^\s*\|.*\|\s*$") & c.rlike(r"\|[-:]+\|"), "Tables converted"),
-        (o.rlike(r"(?md)^\s{3,}\*\s") & c.rlike(r"(?md)^(\s*)- "), "Bullet lists converted"),
-        (o.rlike(r"(?md)^\s{3,}\d+\.\s"), "Numbered lists converted"),
-        (o.rlike(f"%({_COLOUR})%"), "Colors stripped"),
-        (o.rlike(r"%[A-Z_]+(\{[^}]*\})?%"), "Variables processed"),
-        (o.rlike(r"(?d)(?<!\*)\*(?!\*)" + spaced + r"\*(?!\*)") & c.contains("**"), "Bold converted"),
-        (o.rlike(r"(?d)(?<!_)_(?!_)" + spaced + "_(?!_)"), "Italic converted"),
-        (o.rlike(r"(?d)(?<!=)=(?!=)" + spaced + "=(?!=)"), "Code spans converted"),
-        (o.rlike(r"<br\s*/?>"), "BR tags normalized"),
-        (o.contains("<nop>"), "Nop tags stripped"),
-        (o.contains("<noautolink>"), "Noautolink stripped"),
-        (o.rlike(r"-- (Main\.|TWiki\.)"), "Signatures converted"),
-        (o.rlike(r"!\w+[A-Z]\w+"), "WikiWord escapes stripped"),
-    )
-    return _or(F.array_compact(F.array(*(F.when(hit, F.lit(name)) for hit, name in checks))), "No specific rules matched")
+
+    def name(rule: tuple[str, str, str]) -> Column:
+        said, before, after = rule
+        hit = original.rlike(before)
+        if after:
+            hit &= ~markdown.rlike(after.removeprefix("not ")) if after.startswith("not ") else markdown.rlike(after)
+        return F.when(hit, F.lit(said))
+
+    return _or(F.array_compact(F.array(*map(name, RULES))), "No specific rules matched")

@@ -72,6 +72,11 @@ def file_summary(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
     return prepared.where("reason is null").select("source_file", "size", "author", "date", "content_type").join(n, "source_file")
 
 
+#: Fixed: what the report of issues says.
+NO_HEADINGS, TAGS_LEFT = "File has no markdown headings; chunked by paragraph/fallback", "%d HTML tags remain after cleaning"
+TINY_CHUNK, LARGE_CHUNK = "Chunk %d/%d has only ~%d tokens", "Chunk %d/%d has ~%d tokens (close to 512 limit)"
+
+
 def _issue(hit: Column, kind: str, details: Column) -> Column:
     return F.when(hit, F.struct(F.lit(kind).alias("issue_type"), details.alias("details")))
 
@@ -81,12 +86,12 @@ def issues(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
     tags = clean.residual_html(F.col("checked"))
     numbered = lambda said: F.format_string(said, F.col("chunk_index") + 1, F.col("total_chunks"), F.col("estimated_tokens"))
     of_documents = (
-        _issue(~clean.has_heading(F.col("checked")), "no_headings", F.lit("File has no markdown headings; chunked by paragraph/fallback")),
-        _issue(tags > 0, "residual_html", F.format_string("%d HTML tags remain after cleaning", tags)),
+        _issue(~clean.has_heading(F.col("checked")), "no_headings", F.lit(NO_HEADINGS)),
+        _issue(tags > 0, "residual_html", F.format_string(TAGS_LEFT, tags)),
     )
     of_chunks = (
-        _issue(F.col("estimated_tokens") < TINY, "tiny_chunk", numbered("Chunk %d/%d has only ~%d tokens")),
-        _issue(F.col("estimated_tokens") > LARGE, "large_chunk", numbered("Chunk %d/%d has ~%d tokens (close to 512 limit)")),
+        _issue(F.col("estimated_tokens") < TINY, "tiny_chunk", numbered(TINY_CHUNK)),
+        _issue(F.col("estimated_tokens") > LARGE, "large_chunk", numbered(LARGE_CHUNK)),
     )
     listed = lambda df, found: df.select("source_file", F.inline(F.array_compact(F.array(*found))))
     return listed(prepared.where("reason is null"), of_documents).unionByName(listed(chunks, of_chunks))
