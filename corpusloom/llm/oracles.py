@@ -51,4 +51,20 @@ t AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, x, count(*) AS c FROM (S
 k AS (SELECT doc_id, count(*) AS worded, count_if(ltrim(line, {_BLANK})[1] IN ('-', '*')) AS bullets, count_if(rtrim(line, {_BLANK}) LIKE '%...') AS dots FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws) AS n, length(array_to_string(ws, '')) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS sym, CAST(coalesce(dup, 0) AS BIGINT) AS dup, coalesce(lines, 0) AS lines, coalesce(rep, 0) AS rep, len(regexp_extract_all(text, '[0-9]')) AS digits, coalesce(top, 0) AS top, coalesce(worded, 0) AS worded, coalesce(bullets, 0) AS bullets, coalesce(dots, 0) AS dots FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id))
 SELECT doc_id, n AS n_words, chars AS word_chars, sym AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, n < 10 OR 100 * rep > 20 * n AS base_failed, NOT (n < 10 OR 100 * rep > 20 * n OR 4 * sym > n OR 2 * dup > lines OR 2 * chars < 3 * n OR chars > 40 * n OR 10 * digits > 3 * chars OR worded >= 5 AND (10 * bullets > 9 * worded OR 10 * dots > 3 * worded) OR n >= 20 AND 10 * top > 4 * n) AS kept FROM m""",
+    "op12_fill_in_middle": f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS us, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(us) AS n, {", ".join(f"('0x' || substring(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))} FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:n], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p),
+s AS (SELECT *, string_split_regex(output, '<[PSM]>') AS parts FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN parts[2] || parts[4] || parts[3] ELSE parts[3] || parts[4] || parts[2] END) AS restored_sha256 FROM s""",
+    "op13_filter_audit": f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, doc_id, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+g AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || letter FROM o, v WHERE NOT contains(filter_order, letter)),
+s AS (SELECT filter_order, step::INT AS step, bit, (SELECT coalesce(sum(b.bit), 0)::INT FROM v b WHERE contains(filter_order[1:step - 1], b.letter)) AS gone FROM o, range(1, 6) r(step), v WHERE length(filter_order) = 5 AND letter = filter_order[step:step]),
+e AS (SELECT part, bit, gone, sum(CASE WHEN bits & (gone | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN bits & gone = 0 AND bits & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN bits & gone > 0 AND bits & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN bits & gone = 0 AND bits & bit > 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN bits & gone = 0 AND bits & bit > 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM g, (SELECT DISTINCT bit, gone FROM s) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM s JOIN e USING (bit, gone)""",
 }

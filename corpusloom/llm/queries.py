@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, html_text, mixing, near_dedup, pii, quality, secrets, substring, warc
+from . import audit, bpe, embedding, fim, html_text, mixing, near_dedup, pieces, pii, quality, secrets, substring, warc
 from .common import sha_spans
 from .oracles import ORACLES
 from .spans import count
@@ -68,6 +68,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sha_spans(F.col("base")), 256).alias("base_sha256"), sha_spans(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_bpe, op4_html_text, op5_mixing, op6_substring_dedup, op7_embedding_near_dedup, op8_pii, op9_quality_rules, op10_secret_scan)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_bpe, op4_html_text, op5_mixing, op6_substring_dedup, op7_embedding_near_dedup, op8_pii, op9_quality_rules, op10_secret_scan, op11_sentencepiece, op12_fill_in_middle, op13_filter_audit)}
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]

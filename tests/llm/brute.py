@@ -277,3 +277,69 @@ def op8_spans(docs, kinds, rounds, sure_at, seeds_at):
         if kind is None and found:
             learned.setdefault(i, []).append((list(kinds).index(max(found)[1]), a, b, max(found)[1]))
     return sorted((i, ",".join(f"{s[3]}:{s[1]}:{s[2]}" for s in sorted(base[i] + learned.get(i, []), key=lambda s: (s[0], s[1], s[2])))) for i, _ in docs)
+
+
+def op11(docs, path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i, t in docs:
+        ids = library.encode(t or "", add_bos=False, add_eos=True)
+        out.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), True))
+    return out
+
+
+def op12(docs):
+    """With the output itself, before its digests."""
+    out = []
+    for i, t in docs:
+        t = t or ""
+        units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+        h = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+        n = len(units)
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+            out.append((i, n, "plain", None, None, t, t))
+        elif h4 % 100 < 80:
+            out.append((i, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", t))
+        else:
+            out.append((i, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", t))
+    return out
+
+
+def op13(docs, labels):
+    """docs: (id, text, source); labels: (id, quality, toxic). Every order applied to every part's documents, one by one."""
+    from itertools import permutations
+
+    told = {}
+    for i, q, x in labels:
+        old = told.get(i, (False, False))
+        told[i] = (old[0] or q == 1, old[1] or x == 1)
+    first = {}
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    parts = {}
+    for i, t, s in docs:
+        t = t or ""
+        w = words(t)
+        fails = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and i > first[t])
+        parts.setdefault(s or "", []).append((fails, *told.get(i, (False, False))))
+    out = []
+    for part, rows in parts.items():
+        steps = []
+        for order in permutations(range(5)):
+            left = rows
+            for step, k in enumerate(order, 1):
+                gone = [r for r in left if r[0][k]]
+                left = [r for r in left if not r[0][k]]
+                failing = [r for r in rows if r[0][k]]
+                steps.append((k, (part, "".join("ABCDE"[j] for j in order), step, len(left), len(gone), len(failing) - len(gone), sum(sum(r[0]) == 1 for r in failing), sum(r[1] for r in gone), sum(r[2] for r in gone))))
+        share = Counter()
+        for k, r in steps:
+            share[k] += r[4]
+        out += [(*r, share[k]) for k, r in steps]
+    return sorted(out)

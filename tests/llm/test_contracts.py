@@ -1,5 +1,7 @@
 """Each query of the folder against a plain version, on the small tables."""
 
+import hashlib
+
 import brute
 import duckdb
 import pyarrow.parquet as pq
@@ -59,7 +61,7 @@ def test_mixing(spark):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     asked = con.execute(queries.ORACLES[name])
@@ -90,6 +92,18 @@ def test_quality(spark, docs):
     assert run(spark, "op9_quality_rules") == brute.op9(docs)
 
 
+def test_sentencepiece(spark, docs):
+    assert run(spark, "op11_sentencepiece") == brute.op11(docs, queries.tokenizer_path("piece_bpe_32k.model"))
+
+
+def test_fill_in_middle(spark, docs):
+    assert run(spark, "op12_fill_in_middle") == [(*r[:5], *(hashlib.sha256(t.encode()).hexdigest() for t in r[5:])) for r in brute.op12(docs)]
+
+
+def test_filter_audit(spark):
+    assert run(spark, "op13_filter_audit") == brute.op13(rows("documents", "doc_id", "text", "source"), rows("labels", "doc_id", "quality", "toxic"))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
