@@ -6,63 +6,76 @@ from corpusloom.functions import convert as c
 from corpusloom.operators import conversion
 
 CASES = [
-    ("meta", '%META:TOPICINFO{author="user" date="123"}%\nHello', "Hello\n"),
-    ("meta twice", '%META:A{x="x"}%\n%META:B{name="Y"}%\nReal', "Real\n"),
-    ("meta eats blank lines (Q1)", "%META:A{}%\n\n\nText", "Text\n"),
-    *((f"h{n}", f"---{'+' * n} Title", f"{'#' * min(n, 6)} Title\n") for n in range(1, 8)),
-    ("extra dashes", "----++ CADI", "## CADI\n"),
-    ("not in contents", "---++!! Hidden", "## Hidden\n"),
-    ("auto-numbered", "---## Auto", "## Auto\n"),
-    ("rule before heading (Q2)", "---\n\n---++ T", "## T\n"),
-    ("empty heading (Q3)", "---++\nnext", "## next\n"),
-    ("bold", "This is *bold* text", "This is **bold** text\n"),
-    ("italic", "This is _italic_ text", "This is *italic* text\n"),
-    ("bold italic", "This is __both__ text", "This is ***both*** text\n"),
-    ("code", "Use =command= here", "Use `command` here\n"),
-    ("bold code", "Use ==bold code== here", "Use **`bold code`** here\n"),
-    ("not bold", "This is * not bold * text", "This is * not bold * text\n"),
-    ("bold first", "*bold* at start", "**bold** at start\n"),
-    ("bold before a stop", "word *bold*.", "word **bold**.\n"),
-    ("rule", "above\n------\nbelow", "above\n---\nbelow\n"),
-    ("bullet", "   * Item one\n      * Nested\n         * Deep", "- Item one\n  - Nested\n    - Deep\n"),
-    ("numbers", "   1. First\n   A. Alpha\n   I. Roman\n   iv. four", "1. First\n1. Alpha\n1. Roman\n1. four\n"),
-    ("definition", "   $ Term: This is it", "**Term:** This is it\n"),
-    ("table", "| *Name* | *Age* |\n| Alice | 30 |\n| ^ | 2  5 |", "| Name | Age |\n| --- | --- |\n| Alice | 30 |\n|  | 2 5 |\n"),
-    ("table without header", "x\n| a | b |\n| c | d |\ny\n|e|", "x\n| a | b |\n| --- | --- |\n| c | d |\ny\n| e |\n| --- |\n"),
-    ("escaped bar", "| a %VBAR% b | c |", "| a \\| b | c |\n| --- | --- |\n"),
-    ("link", "[[http://example.com][Click here]]", "[Click here](http://example.com)\n"),
-    ("bare link", "[[http://example.com]] [[Topic]] [[#Top]]", "[http://example.com](http://example.com) Topic [#Top](#top)\n"),
-    ("escaped link", "![[Topic]] and ![[B]]", "\\[\\[Topic\\]\\] and \\[\\[B\\]\\]\n"),
-    ("anchor", "[[#MyAnchor][Jump]]", "[Jump](#myanchor)\n"),
-    ("break", "line1 %BR% line2", "line1 <br> line2\n"),
-    ("contents", "%TOC%\n\nContent", "Content\n"),
-    ("icon", '%ICON{"tip"}% Hint %ICON{none}%.', "💡 Hint .\n"),
-    ("attachment", "%ATTACHURL%/diagram.png", "diagram.png\n"),
-    ("public address (Q4)", "%PUBURL%/Web/Topic/f.png", "Topic/f.png\n"),
-    ("vbar caret", "%VBAR% %CARET%", "\\| ^\n"),
-    ("variable", "%SOMEVARIABLE% text %WEB%", " text\n"),
-    ("variable with digits stays", "%A1% x", "%A1% x\n"),
-    ("table directive", '%TABLE{sort="on"}%\nx', "x\n"),
-    ("red", "%ICON{led-red}% %RED%\nQuestion text\n%ENDCOLOR%", "> 🔴 Question text\n"),
-    ("green lines", "%ICON{led-green}% %GREEN%\nLine 1\n\nLine 2\n%ENDCOLOR%", "> 🟢 Line 1\n>\n> Line 2\n"),
-    ("colour alone", "%RED%\ntext %BR% more\n%ENDCOLOR%", "> 🔴 text <br> more\n"),
-    ("unknown icon", "%ICON{zzz}% %BLUE% a %ENDCOLOR%", "> 🔵 a\n"),
-    ("verbatim", "Before\n<verbatim>\ncode here\n</verbatim>\nAfter", "Before\n```\n\ncode here\n\n```\nAfter\n"),
-    ("verbatim language", '<verbatim class="python">print("hi")</verbatim>', '```python\nprint("hi")\n```\n'),
-    ("verbatim stays", "<verbatim>*not bold* ---++ no</verbatim>", "```\n*not bold* ---++ no\n```\n"),
-    ("pre", "<pre>a</pre> <pre>b</pre>", "```\na\n``` ```\nb\n```\n"),
-    ("cleanup inside code (Q6)", "<verbatim>a &amp; b\n------\nc</verbatim>", "```\na & b\n---\nc\n```\n"),
-    ("breaks", "text<br />more<br/>x", "text<br>more<br>x\n"),
-    ("tags", "<b>b</b> <strong>s</strong> <i>i</i> <em>e</em> <strike>o</strike> <del>d</del> <code>c</code>", "**b** **s** *i* *e* ~~o~~ ~~d~~ `c`\n"),
-    ("quote", "<blockquote>a\nb</blockquote>", "> a\n> b\n"),
-    ("nop", "A<nop>B <noautolink>Text</noautolink>", "AB Text\n"),
-    ("signature", "-- Main.JohnDoe - 2012-07-11", "— JohnDoe, 2012-07-11\n"),
-    ("signature without web", "-- JaneDoe - 2023-01-15", "— JaneDoe, 2023-01-15\n"),
-    ("wikiword", "Use !WikiWord at 8 !TeV by Main.UserName", "Use WikiWord at 8 TeV by UserName\n"),
-    ("entities", "A &amp; B &lt; C &gt; D&nbsp;E &#124; &#94;", "A & B < C > D E \\| ^\n"),
-    ("decoded twice (Q7)", "&amp;lt;", "<\n"),
-    ("blank runs", "a\n\n\n\nb   \n \n\n", "a\n\nb\n"),
-    ("empty", "", "\n"),
+    ("page data", '%META:FORM{name="Survey"}%\nrain fell', "rain fell\n"),
+    ("page data, several", '%META:FIELD{a="1"}%\n%META:FIELD{a="2"}%\n%META:FIELD{a="3"}%\nrain', "rain\n"),
+    ("page data takes blank lines along", "%META:FORM{}%\n\n\n\nrain", "rain\n"),
+    ("page data inside a line stays", "see %META:FORM{}% there", "see %META:FORM{}% there\n"),
+    *((f"heading {n}", f"---{'+' * n} Lake {n}", f"{'#' * min(n, 6)} Lake {n}\n") for n in range(1, 9)),
+    ("heading of many dashes", "--------+++ River", "### River\n"),
+    ("heading left out of contents", "---+!! River", "# River\n"),
+    ("heading by hashes", "---### River", "### River\n"),
+    ("a rule joins the heading below", "-----\n\n---+ River", "# River\n"),
+    ("a heading without title takes the next line", "---+++\nshore", "### shore\n"),
+    ("bold", "a *very wide* river", "a **very wide** river\n"),
+    ("italic", "a _very wide_ river", "a *very wide* river\n"),
+    ("bold italic", "a __very wide__ river", "a ***very wide*** river\n"),
+    ("code", "call =flow(x)= twice", "call `flow(x)` twice\n"),
+    ("bold code", "call ==flow(x)== twice", "call **`flow(x)`** twice\n"),
+    ("spaced stars stay", "3 * 4 * 5", "3 * 4 * 5\n"),
+    ("marks inside words stay", "a*b*c snake_case_name x=y=z", "a*b*c snake_case_name x=y=z\n"),
+    ("bold at a line's ends", "*wide*\nand *deep*", "**wide**\nand **deep**\n"),
+    ("bold before stops", "*wide*, *deep*; (*cold*) *wet*)", "**wide**, **deep**; (*cold*) **wet**)\n"),
+    ("nested marks", "*a _b_ c* and _a =b= c_", "**a *b* c** and *a `b` c*\n"),
+    ("rule", "east\n--------\nwest", "east\n---\nwest\n"),
+    ("bullets", "   * oak\n      * twig\n         * leaf\n   * elm", "- oak\n  - twig\n    - leaf\n- elm\n"),
+    ("numbers", "   7. oak\n   B. elm\n   X. ash\n   ii. fir\n      2. cone", "1. oak\n1. elm\n1. ash\n1. fir\n  1. cone\n"),
+    ("terms", "   $ oak: a tree: large\n   $  moss :  green", "**oak:** a tree: large\n**moss:** green\n"),
+    ("too little indent", "  * oak\n * elm", "  * oak\n * elm\n"),
+    ("table", "| *tree* | *height* |\n| oak | 40   m |\n| ^ | 38 m |", "| tree | height |\n| --- | --- |\n| oak | 40 m |\n|  | 38 m |\n"),
+    ("tables of plain rows", "trees\n| oak | elm |\n| ash | fir |\nend\n|moss|", "trees\n| oak | elm |\n| --- | --- |\n| ash | fir |\nend\n| moss |\n| --- |\n"),
+    ("a bar in a cell", "| oak %VBAR% elm | ash |", "| oak \\| elm | ash |\n| --- | --- |\n"),
+    ("a link in a cell", "| [[http://t.org/oak][oak]] | *x* |", "| [oak](http://t.org/oak) | **x** |\n| --- | --- |\n"),
+    ("link", "[[ftp://files.t.org/map][the map]]", "[the map](ftp://files.t.org/map)\n"),
+    ("bare links", "[[mailto:a@t.org]] [[RiverList]] [[#Shore]]", "[mailto:a@t.org](mailto:a@t.org) RiverList [#Shore](#shore)\n"),
+    ("escaped links", "![[River]] then [[Lake]] then ![[Shore]]", "\\[\\[River\\]\\] then Lake then \\[\\[Shore\\]\\]\n"),
+    ("escaped link with a label stays half", "![[River][wide]]", "![wide](River)\n"),
+    ("brackets that do not close", "[[River [[Lake]] ![[Shore", "River [[Lake ![[Shore\n"),
+    ("place in the page", "[[#EastShore][over there]]", "[over there](#eastshore)\n"),
+    ("break", "oak %BR% elm", "oak <br> elm\n"),
+    ("contents", "%TOC{depth=\"3\"}%\n\nOaks", "Oaks\n"),
+    ("icons", '%ICON{warning}% deep %ICON{"star"}%%ICON{nosuch}%!', "⚠️ deep ⭐!\n"),
+    ("attachment", "%ATTACHURL%/oak-map.pdf", "oak-map.pdf\n"),
+    ("public address", "%PUBURL%/Forest/Oaks/map.pdf", "Oaks/map.pdf\n"),
+    ("marks by name", "oak %CARET% elm %VBAR% ash", "oak ^ elm \\| ash\n"),
+    ("unknown variables", "%RIVER_LENGTH% km, %LAKE{deep=\"1\"}%m", " km, m\n"),
+    ("variable with digits stays", "%LAKE2% km", "%LAKE2% km\n"),
+    ("directives", '%TABLE{width="9"}%\n%STARTINCLUDE%\noak', "oak\n"),
+    ("colour with an icon", "%ICON{star}% %TEAL%\nhow deep\n%ENDCOLOR%", "> ⭐ how deep\n"),
+    ("colour over lines", "%ICON{help}% %LIME%\noak\n\nelm\n%ENDCOLOR% ash", "> ❓ oak\n>\n> elm ash\n"),
+    ("colour alone", "%NAVY%\noak %BR% elm\n%ENDCOLOR%", "> 🔵 oak <br> elm\n"),
+    ("colour with an unknown icon", "%ICON{nosuch}% %PINK% oak %ENDCOLOR%", "> 🩷 oak\n"),
+    ("colour in colour", "%RED% oak %BLUE% elm %ENDCOLOR% ash %ENDCOLOR% fir", "> 🔴 oak  elm ash  fir\n"),
+    ("colour that does not end", "%RED% oak %BLUE% elm", " oak  elm\n"),
+    ("empty colour", "a %RED%%ENDCOLOR% b", "a > b\n"),
+    ("verbatim", "oak\n<verbatim>\nelm *x*\n</verbatim>\nash", "oak\n```\n\nelm *x*\n\n```\nash\n"),
+    ("verbatim of a language", '<verbatim class="sql">SELECT 1</verbatim>', "```sql\nSELECT 1\n```\n"),
+    ("verbatim keeps marks", "<verbatim>[[Oak]] %RED% ---++ _x_</verbatim>", "```\n[[Oak]] %RED% ---++ _x_\n```\n"),
+    ("two of pre", "<pre>oak</pre>-<pre>elm</pre>", "```\noak\n```-```\nelm\n```\n"),
+    ("pre in verbatim", "<verbatim><pre>oak</pre></verbatim> <pre>elm", "```\n<pre>oak</pre>\n``` <pre>elm\n"),
+    ("an empty pre takes all up to the next end", "<pre></pre> oak </pre>", "```\n</pre> oak\n```\n"),
+    ("verbatim is cleaned up too", "<pre>x &lt; y\n-----\nz</pre>", "```\nx < y\n---\nz\n```\n"),
+    ("breaks", "oak<br/>elm<br  />ash<br>", "oak<br>elm<br>ash<br>\n"),
+    ("tags", "<strong>oak</strong> <em>elm</em> <del>ash</del> <b>fir\nyew</b> <i>box</i> <strike>bay</strike> <code>f(x)</code>", "**oak** *elm* ~~ash~~ **fir\nyew** *box* ~~bay~~ `f(x)`\n"),
+    ("tags that do not end", "<b>oak <b>elm</b> <i>ash", "**oak <b>elm** <i>ash\n"),
+    ("quote", "<blockquote>\noak\n  elm</blockquote>", "> oak\n> elm\n"),
+    ("no-op marks", "Oak<nop/>Tree <literal>x</literal><sticky>y</sticky><noautolink>Elm Tree</noautolink>", "OakTree xyElm Tree\n"),
+    ("signature", "-- CMS.OakFriend - 3 Feb 2015", "— OakFriend, 3 Feb 2015\n"),
+    ("signature without a web", "--  ElmFriend  -  2015-02-03  ", "— ElmFriend, 2015-02-03\n"),
+    ("escaped names", "!OakTree of 7 !GeV in Sandbox.ElmTree", "OakTree of 7 GeV in ElmTree\n"),
+    ("entities", "oak &lt; elm&nbsp;&amp; ash &gt; &#94; &#124;", "oak < elm & ash > ^ \\|\n"),
+    ("decoded twice", "&amp;gt;", ">\n"),
+    ("blank runs", "\n\noak\n\n\n\n\nelm \t\n\n", "oak\n\nelm\n"),
+    ("nothing", "", "\n"),
 ]
 
 
@@ -78,8 +91,8 @@ def test_case(converted, name, source, want):
 
 
 def test_page(spark):
-    page = "\n".join(['%META:TOPICINFO{author="d"}%', "---+ Measurement at 8 !TeV", "", "---++ Contact People", "", "   * Ann Botta", "", "----++ Questions", "", "%ICON{led-red}% %RED%  ", "Are they?", "%ENDCOLOR%", "", "%ICON{led-green}% %GREEN%  ", "They are", "%ENDCOLOR%", "", "-- Main.GianDoe - 11-Jul-2012", ""])
-    want = "# Measurement at 8 TeV\n\n## Contact People\n\n- Ann Botta\n\n## Questions\n\n> 🔴 Are they?\n\n> 🟢 They are\n\n— GianDoe, 11-Jul-2012\n"
+    page = "\n".join(['%META:TOPICPARENT{name="Forests"}%', "---++ Oaks above 30 !Metre", "", "   * tall", "   * old", "", "---+++!! Care", "%ICON{help}% %AQUA%", "How much water?", "%ENDCOLOR%", "", "%TEAL% Little. %ENDCOLOR%", "", "-- Main.ElmFriend - 3-Feb-2015", ""])
+    want = "## Oaks above 30 Metre\n\n- tall\n- old\n\n### Care\n> ❓ How much water?\n\n> 🟢 Little.\n\n— ElmFriend, 3-Feb-2015\n"
     rows = spark.createDataFrame([(1, page), (2, None), (3, "%A1% <nop x"), (4, "x %A_B{%")], "doc_id long, text string")
     got = {r.doc_id: r for r in conversion.convert_all(rows).collect()}
     assert got[1].markdown == want and got[1].status == "Success" and got[1].validation == [c.PASSED]
