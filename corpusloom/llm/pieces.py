@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding for merge-type vocabularies with byte fallback, checked against the library.
 
 A text's spaces become U+2581, one more stands before it, and it is cut where no piece of the vocabulary can reach across: before
-a run of U+2581, and around control characters that no piece holds. Each part that a task has not met is encoded by an agenda:
+a run of U+2581, around control characters that no piece holds, and between letters and other characters. Each part that a task has not met is encoded by an agenda:
 adjacent symbols whose union is a piece wait in a heap, the best score first, of equal scores the leftmost; a merge offers its new
-neighbours. Symbols that are no piece become bytes. The library encodes the same Arrow batches where a check is asked for.
+neighbours. Symbols that are no piece become bytes. In the digests, the library encodes the new parts of each Arrow batch too, and
+each text says whether it agreed on all of its parts.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import _file, _ints, _two, ragged
 from .common import runs, ship
 
-#: Distinct parts that a task remembers, and their ids; beyond either it starts anew.
-REMEMBERED, REMEMBERED_IDS = 200_000, 4_000_000
+#: Distinct parts that a task remembers, and their ids; beyond either it keeps those met more than once, if that is half at most.
+REMEMBERED, REMEMBERED_IDS = 300_000, 4_000_000
 #: Fixed: what stands for a space.
 SPACE = "▁"
 
@@ -81,16 +84,37 @@ class Pieces:
         if any(sp.is_unused(i) for i in own):
             raise ValueError("unused pieces are not supported")
         self.ids = {names[i]: i for i in own}
-        self.scores = {names[i]: sp.get_score(i) for i in own}
+        # Symbols are ids; characters that are no piece, but part of one, get numbers after the ids, all others the last one.
+        self.symbols = {c: i for c, i in self.ids.items() if len(c) == 1}
+        for c in sorted({c for n in self.ids for c in n} - self.symbols.keys()):
+            self.symbols[c] = len(names) + len(self.symbols)
+        self.stranger = len(names) + len(self.symbols) + 1
+        order = {x: k for k, x in enumerate(sorted({sp.get_score(i) for i in own}, reverse=True))}
+        scored = set(own)
+        #: The place of each piece's score among all, above 32 bits for a symbol's place in its part.
+        self.place = [order[sp.get_score(i)] << 32 if i in scored else 0 for i in every]
+        #: The union of each pair of symbols that has one.
+        self.unions: dict[int, int] = {}
+        symbol = lambda t: self.symbols.get(t) if len(t) == 1 else self.ids.get(t)
+        for i in own:
+            for cut in range(1, len(names[i])):
+                left, right = symbol(names[i][:cut]), symbol(names[i][cut:])
+                if left is not None and right is not None:
+                    self.unions[left << 32 | right] = i
         self.byte_ids = {int(names[i][3:5], 16): i for i in every if sp.is_byte(i)}
         self.eos, self.decimal = sp.eos_id(), [str(i) for i in every]
         joined = "\n".join(names[i] for i in own)
         if re.search(f"[^{SPACE}\n]{SPACE}", joined):  # a piece that reaches over a space: texts stay whole
-            self.split = re.compile(".+", re.S)
+            alone, self.split = "", re.compile(".+", re.S)
         else:
-            held = set("".join(self.ids))
-            alone = "".join(c for c in "\t\n\v\f\r" if c not in held)
-            self.split = re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+            alone = "".join(c for c in "\t\n\v\f\r" if c not in self.symbols)
+            # Nor across the border of letters and others, unless a piece does.
+            odd = "".join(c for c in self.symbols if not c.isalpha() and re.match(r"[^\W\d_]", c))  # like a raised digit
+            letter, other = rf"[^\W\d_{odd}]", rf"(?:(?![{SPACE}{alone}])[\W\d_{odd}])"
+            crossing = re.search(f"{letter}{other}|{other}{letter}", joined) if alone else True
+            rest = rf"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+" if not crossing else f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+"
+            self.split = re.compile(f"[{alone}]|{rest}" if alone else rest)
+        self.alone = alone
         texts = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -98,49 +122,67 @@ class Pieces:
         self.spaced = np.array([n.startswith(SPACE) and not sp.is_byte(i) for i, n in enumerate(names)], bool)
         self.forget()
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.off = np.empty(0, np.int64), np.zeros(1, np.int64)
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Keeps these of the remembered parts, by their numbers, or none."""
+        keep = np.empty(0, np.int64) if keep is None else keep
+        if len(keep):
+            names = list(self.index)
+            self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+            self.flat, sizes = ragged(self.flat, self.off, keep)
+            self.off, self.same = np.concatenate([[0], np.cumsum(sizes)]), self.same[keep]
+        else:
+            self.index = {}
+            self.flat, self.off, self.same = np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, bool)
+        self.met = np.zeros(len(keep), np.int64)
 
     def merge(self, part: str) -> list[int]:
-        """The ids of one part, by the agenda."""
-        symbols, score = list(part), self.scores.get
+        """The ids of one part, by the agenda: numbers that hold a score's place above the left symbol's."""
+        known, union, place, stranger = self.symbols.get, self.unions.get, self.place, self.stranger
+        symbols = [known(c, stranger) for c in part]
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-
-        def offer(a: int, b: int, put=heappush) -> None:
-            both = symbols[a] + symbols[b]
-            s = score(both)
-            if s is not None:
-                put(agenda, (-s, a, b, len(both)))
-
-        for a in range(n - 1):
-            offer(a, a + 1, list.append)
-        heapify(agenda)
-        while agenda:
-            _, a, b, size = heappop(agenda)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != size:
-                continue  # one of them has merged with another since
-            symbols[a], symbols[b] = symbols[a] + symbols[b], ""
-            p, q = before[a], after[b]
-            after[a] = q
-            if q >= 0:
-                before[q] = a
-                offer(a, q)
-            if p >= 0:
-                offer(p, a)
+        waits = [union(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        agenda = [place[u] | a for a, u in enumerate(waits) if u >= 0]
+        if agenda:
+            waits.append(-1)
+            before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+            heapify(agenda)
+            while agenda:
+                top = heappop(agenda)
+                a = top & 0xFFFFFFFF
+                u = waits[a]
+                if u < 0 or place[u] | a != top:
+                    continue  # the pair is no more
+                b = after[a]
+                q = after[a] = after[b]
+                symbols[a], symbols[b], waits[b] = u, -1, -1
+                if q < n:
+                    before[q] = a
+                    waits[a] = v = union(u << 32 | symbols[q], -1)
+                    if v >= 0:
+                        heappush(agenda, place[v] | a)
+                else:
+                    waits[a] = -1
+                p = before[a]
+                if p >= 0:
+                    waits[p] = v = union(symbols[p] << 32 | u, -1)
+                    if v >= 0:
+                        heappush(agenda, place[v] | p)
+        if max(symbols) < len(self.decimal):
+            return [s for s in symbols if s >= 0]
         out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out += [self.byte_ids[x] for x in s.encode()] if i is None else [i]
+        for s, c in zip(symbols, part, strict=True):
+            if s >= len(self.decimal):
+                out += [self.byte_ids[x] for x in c.encode()]
+            elif s >= 0:
+                out.append(s)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, joined, each text's with the end id after them, and the number of ids of each."""
+    def encode(self, texts: list[str], check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts, joined, each text's with the end id after them; the number of ids of each; whether the library has
+        the same ids for all parts of each, if that is checked."""
         if len(self.index) > REMEMBERED or self.off[-1] > REMEMBERED_IDS:
-            self.forget()
+            often = np.flatnonzero(self.met > 1)
+            self.forget(often if 2 * len(often) < REMEMBERED and 2 * int(np.diff(self.off)[often].sum()) < REMEMBERED_IDS else None)
         parts: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -151,15 +193,28 @@ class Pieces:
         missed = np.flatnonzero(picks < 0).tolist()
         if missed:
             new = list(dict.fromkeys(map(parts.__getitem__, missed)))
-            made = [self.merge(p) for p in new]
+            made = list(map(self.merge, new))
             base = len(self.off) - 1
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(m) for m in made])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), np.int64, sum(map(len, made)))])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(list(map(len, made)))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.int64, int(self.off[-1]) - len(self.flat))])
+            self.same = np.append(self.same, np.array(self.agree(new, made), bool) if check else np.ones(len(new), bool))
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            picks[missed] = [self.index[parts[i]] for i in missed]
+            picks[missed] = np.fromiter((self.index[parts[i]] for i in missed), np.int64, len(missed))
+        self.met += np.bincount(picks, minlength=len(self.met))
         ids, sizes = ragged(self.flat, self.off, picks)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return np.insert(ids, ends[1:], self.eos), np.diff(ends) + 1
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        odd = np.concatenate([[0], np.cumsum(~self.same[picks])])[bounds]
+        return np.insert(ids, ends[1:], self.eos), np.diff(ends) + 1, np.diff(odd) == 0
+
+    def agree(self, parts: list[str], made: list[list[int]]) -> list[bool]:
+        """Whether the library has these ids for each part. A line break before it, where no piece holds one, keeps the part apart
+        from the space that the library puts before a text."""
+        lead = "\n" if "\n" in self.alone else ""
+        theirs = self.library.encode([lead + p if lead else p.removeprefix(SPACE) for p in parts], add_bos=False, add_eos=False, num_threads=1)
+        skip = len(self.library.encode(lead, add_bos=False, add_eos=False)) if lead else 0
+        return [x[skip:] == y for x, y in zip(theirs, made, strict=True)]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The texts of runs of ids. The space that begins a text's first piece goes; ids that the model doesn't know stand for
@@ -183,12 +238,22 @@ class Pieces:
         return out
 
 
+def _model(file: bytes) -> Pieces:
+    """The model of this worker process: it keeps what it remembers from task to task."""
+    kept = sys.modules.setdefault("_corpusloom_pieces", types.ModuleType("_corpusloom_pieces")).__dict__
+    key = hashlib.sha256(file).hexdigest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Pieces(file)
+    return kept[key]
+
+
 def _encode(file: bytes):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(file)
+        model = _model(file)
         for batch in batches:
             for a, b in runs(batch.column(1)):
-                ids, sizes = model.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                ids, sizes, _ = model.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _ints(ids, sizes)], ["id", "ids"])
 
     return apply
@@ -196,7 +261,7 @@ def _encode(file: bytes):
 
 def _decode(file: bytes):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(file)
+        model = _model(file)
         for batch in batches:
             lists = batch.column(1)
             sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), np.int64)
@@ -207,21 +272,19 @@ def _decode(file: bytes):
 
 
 def _digests(file: bytes):
-    """From (id, text) to the number of ids, digests of the ids and of the decoded text, and whether the library agrees on both."""
+    """From (id, text) to the number of ids, digests of the ids and of the decoded text, and whether the library agrees."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(file)
+        model = _model(file)
         hashed = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for a, b in runs(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                flat, sizes = model.encode(texts)
+                flat, sizes, same = model.encode(texts, check=True)
                 decoded = model.decode(flat, sizes)
-                every, ends = flat.tolist(), np.cumsum(sizes).tolist()
-                own = [every[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
-                theirs = model.library.encode(texts, add_bos=False, add_eos=True, num_threads=1)
-                agrees = [x == y and d == t for x, y, d, t in zip(own, theirs, decoded, model.library.decode(theirs, num_threads=1), strict=True)]
-                ids = [hashed(" ".join(map(model.decimal.__getitem__, x))) for x in own]
+                shown, ends = list(map(model.decimal.__getitem__, flat.tolist())), np.cumsum(sizes).tolist()
+                ids = [hashed(" ".join(shown[e - n : e])) for e, n in zip(ends, sizes.tolist(), strict=True)]
+                agrees = [x and d == t.replace(SPACE, " ") for x, d, t in zip(same.tolist(), decoded, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array([hashed(t) for t in decoded], pa.string()), pa.array(agrees, pa.bool_())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 
     return apply
@@ -242,7 +305,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256, agrees: encode(), then decode(), in one pass that hands no ids to the JVM.
-    agrees: the library has the same ids and text. Odd rows are as in encode()."""
+    agrees: the library has the same ids for every part, and the decoded text is the text. Odd rows are as in encode()."""
     df, kind = _two(docs, id_col, text_col, "string")
     shape = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
     return df.mapInArrow(_digests(_file(path)), shape).select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", "agrees")

@@ -62,7 +62,7 @@ def test_null_ids_decode(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from(" ▁ab\n\t\x00é日😀<s>0x​eTh"), max_size=60), max_size=8))
 def test_pieces_are_the_librarys(model, texts):
-    ids, sizes = model.encode(texts)
+    ids, sizes, same = model.encode(texts, check=True)
     each = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
     assert each == [model.library.encode(t, add_eos=True) for t in texts]
     assert model.decode(ids, sizes) == [model.library.decode(x) for x in each]
@@ -80,7 +80,7 @@ def test_one_long_part_and_a_full_memory(model, monkeypatch):
     texts = ["".join(r.choice("abcdefg") for _ in range(30_000)), "x" * 20_000, " " * 3_000 + "y"]
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     for _ in range(3):
-        ids, sizes = model.encode(texts)
+        ids, sizes, same = model.encode(texts, check=True)
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == model.library.encode(texts, add_eos=True)
 
 
