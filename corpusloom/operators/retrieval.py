@@ -19,11 +19,10 @@ from pyspark.sql.types import StructField, StructType
 from ..functions.text import let, lexical_tokens, staged
 from ..sources.scratch import ship, written
 from .logs import contextual_query
+from .tiles import DIGITS, by_length, exact_best, matrix, tiled
 
 K_DENSE, K_LEXICAL, K_RERANK, K_FINAL = 30, 30, 40, 6
 RRF_K = 60
-#: Decimals of scores, so that equal scores tie whatever the order in which their parts were added.
-DIGITS = 10
 CONTEXT_CHARS = 14_000
 #: BM25 (Okapi): saturation, length normalisation, and the share of the mean idf that replaces a negative one.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -31,8 +30,6 @@ BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 100_000
 #: Parts that a term or the queries are dealt into where they are not few, so that no term and no task has all of them.
 SALTS = 16
-#: Vectors that are multiplied with the queries at once, about.
-ROWS = 4096
 #: Fixed: what is put before a query, not before documents, when it is embedded; what stands between the blocks of a context.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BLOCK_RULE = "\n\n---\n\n"
@@ -120,56 +117,52 @@ def dot(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = K_DENSE, where: Column | None = None, is_few: bool = False) -> DataFrame:
     """query_id, id, seq, score, rank: the k vectors (id, seq, embedding) nearest to each query (query_id, embedding) by cosine.
 
-    Every vector is scored. If few() says so, the queries are one matrix that each batch of vectors is multiplied with, and a
-    task passes on what may be among a query's k best. Else vectors are dealt into parts, which all queries meet.
+    Every vector is scored, in matrix products. If few() says so, the queries are one matrix that each batch of vectors is
+    multiplied with, and a batch passes on a query's k best. Else vectors and queries meet in tiles, as many as they ask for.
     """
     rows = (vectors if where is None else vectors.where(where)).select("id", "seq", "embedding")
     q = queries.select("query_id", "embedding")
     if is_few:
         shape = StructType([q.schema["query_id"], *(StructField(f.name, f.dataType) for f in rows.schema.fields[:2])]).add("score", "double")
-        scored = rows.mapInArrow(_multiplied(q.toArrow(), k), shape)
-        return top_k(scored.withColumn("score", F.round("score", DIGITS)), "score", k, "seq")
-    # Squared lengths are taken once a vector, not once a pair.
-    squared = lambda df: staged(df, v=F.col("embedding").cast("array<double>"), vv=dot(F.col("embedding"), F.col("embedding"))).drop("embedding")
-    rows = squared(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    q = squared(q).select("query_id", F.col("v").alias("q"), F.col("vv").alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    cosine = F.try_divide(dot(F.col("v"), F.col("q")), F.sqrt(F.col("vv") * F.col("qq")))
-    scored = rows.join(q, (rows["part"] == q["part"]) & (F.size("v") == F.size("q"))).select("query_id", "id", "seq", F.round(cosine, DIGITS).alias("score"))
-    return top_k(scored.where("score is not null"), "score", k, "seq")
+        return top_k(rows.mapInArrow(_multiplied(q.toArrow(), k), shape), "score", k, "seq")
+    # All rows and queries are one cell, whose tiles share the work out.
+    (dim,) = rows.agg(F.max(F.size("embedding"))).first()
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *rows.schema.fields]}
+    one = F.lit(0).alias("cell")
+    scored = tiled(rows.select(one, "*"), q.select(one, "*"), _tile(k), f"query_id {kinds['query_id']}, id {kinds['id']}, seq {kinds['seq']}, score double", 8 * (dim or 1), 8 * (dim or 1))
+    return top_k(scored, "score", k, "seq")
 
 
-def matrix(lists: pa.Array) -> np.ndarray:
-    """Vectors of one length in double precision at length one; those that are zero or hold nulls are not numbers."""
-    x = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan"))).reshape(len(lists), -1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
-def _by_length(lists: pa.Array) -> dict[int, np.ndarray]:
-    """Places of the vectors of each length."""
-    size = np.asarray(pc.list_value_length(lists).fill_null(0))
-    return {int(n): np.flatnonzero(size == n) for n in np.unique(size[size > 0])}
+def _asked(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {n: (at, matrix(vectors.take(pa.array(at)))) for n, at in by_length(vectors).items()}
 
 
 def _multiplied(queries: pa.Table, k: int):
-    """From batches of (id, seq, embedding): (query_id, id, seq, score) of what may be among the k best of a query so far."""
-    ids, vectors = queries.column(0).combine_chunks(), queries.column(1).combine_chunks()
-    asked = {n: (at, matrix(vectors.take(pa.array(at)))) for n, at in _by_length(vectors).items()}
+    """From batches of (id, seq, embedding): (query_id, id, seq, score) of the k best of each query in each batch."""
+    ids, asked = queries.column(0).combine_chunks(), _asked(queries.column(1).combine_chunks())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = {n: np.full(len(at), -np.inf) for n, (at, _) in asked.items()}
         for batch in batches:
-            for n, rows in _by_length(batch.column(2)).items():
-                for a in range(0, len(rows) if n in asked else 0, ROWS):
-                    own = rows[a : a + ROWS]
-                    at, q = asked[n]
-                    score = q @ matrix(batch.column(2).take(pa.array(own))).T
-                    score[np.isnan(score)] = -np.inf
-                    if score.shape[1] >= k:
-                        least[n] = np.maximum(least[n], np.partition(score, -k, axis=1)[:, -k])
-                    hit, row = np.nonzero((score >= least[n][:, None] - 1e-9) & (score > -np.inf))  # a margin for rounding
-                    found = batch.take(pa.array(own[row]))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[hit])), found.column(0), found.column(1), pa.array(score[hit, row])], ["query_id", "id", "seq", "score"])
+            yield from exact_best(ids, asked, batch, k)
+
+    return apply
+
+
+def _tile(k: int):
+    """The k best of each query of a tile."""
+
+    def apply(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        shape = pa.schema([("query_id", queries.schema.field("query_id").type), ("id", rows.schema.field("id").type), ("seq", rows.schema.field("seq").type), ("score", pa.float64())])
+        asked = _asked(queries.column("embedding").combine_chunks()) if len(queries) else {}
+        found = exact_best(queries.column("query_id").combine_chunks(), asked, rows.select(["id", "seq", "embedding"]), k) if asked and len(rows) else []
+        made = pa.Table.from_batches(found, shape) if found else shape.empty_table()
+        if len(found) < 2:
+            return made
+        # Of several batches' best, those of the tile.
+        order = pc.sort_indices(made, [("query_id", "ascending"), ("score", "descending"), ("seq", "ascending")])
+        made = made.take(order)
+        same = made.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        return made.filter(pa.array(np.arange(len(same)) - np.searchsorted(same, same) < k))
 
     return apply
 

@@ -191,6 +191,8 @@ ORACLES = {
     "prompt": f"{FULL} SELECT query_id, 'Sources:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM contexts JOIN q USING (query_id)",
     "bm25_large": f"{BASE} SELECT query_id, id, rank, round(score, 5) AS score FROM lexical",
     "dense_large": f"WITH {QUESTIONS}, {dense('dense')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
+    "ann_all_cells": f"WITH {QUESTIONS}, {dense('dense')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
+    "ann_filtered": f"WITH {QUESTIONS}, {dense('dense', 'v.label = 3')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
     "hash_embedding": f"SELECT item_id, {embedded(PREFIX + ' || text')} AS embedding FROM benchmark",
     "search_with_history": HISTORY,
     "last_messages": f"SELECT conv_id, turn, CASE WHEN {_AGO} < 60 THEN 'Just now' WHEN {_AGO} // 60 < 60 THEN {_AGO} // 60 || ' min ago' WHEN {_AGO} // 3600 < 24 THEN {_AGO} // 3600 || 'h ago' ELSE strftime(make_timestamp((1700000000 - {_AGO}) * 1000000), '%Y-%m-%d') END AS shown FROM conversations",

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
-from ..operators import chunking, conversion, logs, retrieval
+from ..operators import chunking, conversion, logs, retrieval, vector_index
 from ..sources import files
 from ..sources.files import pending, upsert_vectors, vector_records
+from ..sources.scratch import new_path
 from .oracles import ORACLES
 from .tables import MIXED, QUERY, chunks, derived, markdown, questions, table, vectors, wiki
 
@@ -225,6 +226,34 @@ def dense_large(spark, d):
     return ranking(retrieval.dense(vectors(spark, d), questions(spark, d)))
 
 
+def indexed(spark, d, **how) -> str:
+    """The path of an index of the vectors, in the shared folder."""
+    path = new_path(spark, "vector-index")
+    vector_index.build(vectors(spark, d), path, **how)
+    return path
+
+
+@query
+def ann_topk(spark, d):
+    """By the index, with as many cells probed as it says."""
+    q = questions(spark, d)
+    return ranking(vector_index.nearest(spark, indexed(spark, d), q, is_few=retrieval.few(q)))
+
+
+@query
+def ann_all_cells(spark, d):
+    """By the index with all cells probed: what the bounds of the codes leave out is not among the best."""
+    q = questions(spark, d)
+    return ranking(vector_index.nearest(spark, indexed(spark, d), q, probes=vector_index.MOST_CELLS, is_few=retrieval.few(q)))
+
+
+@query
+def ann_filtered(spark, d):
+    """As all cells, for queries that are not few, with a filter by a column that the index keeps."""
+    path = indexed(spark, d, cells=5, keep=("label",))
+    return ranking(vector_index.nearest(spark, path, questions(spark, d), probes=5, where=F.col("label") == 3, is_few=False))
+
+
 @query
 def dense_filtered(spark, d):
     q = questions(spark, d)

@@ -51,7 +51,8 @@ def test_mixed_documents_are_whole(duck):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # The index's own choice of cells is held to brute force in test_vector_index.
+    assert set(QUERIES) == set(ORACLES) | {"ann_topk"}
 
 
 def test_without_optional_folder(tmp_path):
