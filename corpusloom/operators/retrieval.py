@@ -28,6 +28,8 @@ CONTEXT_CHARS = 14_000
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 #: What comes of the queries is broadcast only if it has at most so many rows; beyond that joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Tokens that are counted at once, about.
+TOKENS = 500_000
 #: Parts that a term or the queries are dealt into where they are not few, so that no term and no task has all of them.
 SALTS = 16
 #: Fixed: what is put before a query, not before documents, when it is embedded; what stands between the blocks of a context.
@@ -52,10 +54,27 @@ def small(df: DataFrame, is_few: bool) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """id, seq, term, tf, len: a row for each term of each chunk. A chunk's tokens are counted before they move."""
+    """id, seq, term, tf, len: a row for each term of each chunk. A chunk's tokens are counted where they are."""
     tokens = chunks.select("id", "seq", lexical_tokens(F.col("content")).alias("t"))
-    each = tokens.select("id", "seq", F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
-    return each.groupBy("id", "seq", "len", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", "seq", "term", "tf", "len")
+    kinds = dict(tokens.dtypes)
+    return tokens.mapInArrow(_counted, f"id {kinds['id']}, seq {kinds['seq']}, term string, tf long, len long")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, seq, tokens) to the terms of each row with their counts, TOKENS tokens at a time and a row at least."""
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch.column(2)).fill_null(0), np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + TOKENS, "right")) - 1)
+            part, own = batch.slice(a, b - a), sizes[a:b]
+            coded = part.column(2).flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            seen, tf = np.unique(np.repeat(np.arange(len(own)), own) * n + np.asarray(coded.indices, np.int64), return_counts=True)
+            row = pa.array(seen // n)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), coded.dictionary.take(pa.array(seen % n)), pa.array(tf, pa.int64()), pa.array(own[seen // n], pa.int64())], ["id", "seq", "term", "tf", "len"])
+            a = b
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
@@ -184,7 +203,10 @@ def rrf(*rankings: DataFrame, k: int = RRF_K, top: int | None = None) -> DataFra
     """query_id, id, score, rank of rankings fused by reciprocal ranks; ties in the order in which the rankings, first to last,
     first name them."""
     named = [r.select("query_id", "id", (F.lit(1.0) / (F.lit(k) + F.col("rank") + 1)).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rank").alias("at")).alias("first")) for i, r in enumerate(rankings)]
-    fused = reduce(DataFrame.unionByName, named).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min("first").alias("first"))
+    # Rankings may each be dealt by query_id, and Spark 4.1 then takes their union as dealt so too, though AQE may have coalesced each
+    # in its own way: a chunk that two rankings name would come out twice. An exchange by other keys, which is not taken for one that
+    # is there already, keeps groups whole.
+    fused = reduce(DataFrame.unionByName, named).repartition("id", "query_id").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min("first").alias("first"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
     out = fused.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).drop("first")
     return out if top is None else out.where(F.col("rank") < top)
@@ -235,12 +257,14 @@ def expand(chunks: DataFrame, hits: DataFrame, is_few: bool = False) -> DataFram
     return both.select("query_id", "rank", "id", "score", text.alias("text"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("page_title", "section_heading", "source_file", "date", "author")))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K_FINAL, *, where: Column | None = None, expanded: bool = True, scorer: Callable[[Column, Column], Column] = overlap_score, index: DataFrame | None = None) -> DataFrame:
-    """The hits of each query (query_id, query, embedding), best first by rank. where filters the dense side alone."""
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K_FINAL, *, where: Column | None = None, expanded: bool = True, scorer: Callable[[Column, Column], Column] = overlap_score, index: DataFrame | None = None, rankings: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The hits of each query (query_id, query, embedding), best first by rank. where filters the dense side alone. rankings, if
+    there are any, stand for those of dense() and bm25(): vector_index.nearest() and lexical_index.search() make them from what is
+    kept."""
     if not 1 <= k <= 20:
         raise ValueError("k is from 1 to 20")
     is_few = few(queries)
-    fused = rrf(dense(vectors, queries, where=where, is_few=is_few), bm25(chunks, queries, index=index, is_few=is_few), top=K_RERANK)
+    fused = rrf(*(rankings or (dense(vectors, queries, where=where, is_few=is_few), bm25(chunks, queries, index=index, is_few=is_few))), top=K_RERANK)
     hits = rerank(fused, chunks, queries, k, scorer, is_few)
     if expanded:
         return expand(chunks, hits, is_few)

@@ -181,12 +181,14 @@ ORACLES = {
     "status_counts": f"{STATUS} SELECT status, count(*) AS n FROM st GROUP BY status",
     "bm25_stats": f"WITH {CHUNKS}, {POSTINGS}, {WEIGHTS} SELECT term, df, round(idf, 6) AS idf FROM i",
     "bm25_topk": f"{BASE} SELECT query_id, id, rank, round(score, 5) AS score FROM lexical",
+    "bm25_blocks": f"{BASE} SELECT query_id, id, rank, round(score, 5) AS score FROM lexical",
     "dense_topk": f"WITH {QUESTIONS}, {dense('dense')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
     "dense_filtered": f"WITH {QUESTIONS}, {dense('dense', 'v.label = 3')} SELECT query_id, id, rank, round(score, 5) AS score FROM dense",
     "rrf": f"{BASE} SELECT query_id, id, rank, round(score, 8) AS score FROM fused",
     "rerank_topk": f"{FULL} SELECT query_id, id, rank, round(score, 8) AS score FROM ranked",
     "neighbours": f"{FULL} SELECT query_id, rank, side, id FROM m",
     "hybrid_search": f"{FULL} SELECT query_id, rank, id, round(score, 8) AS score, text, page_title, section_heading, source_file, date, author FROM hits",
+    "hybrid_indexed": f"{FULL} SELECT query_id, rank, id, round(score, 8) AS score, text, page_title, section_heading, source_file, date, author FROM hits",
     "context": f"{FULL} SELECT query_id, context, n_sources FROM contexts",
     "prompt": f"{FULL} SELECT query_id, 'Sources:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM contexts JOIN q USING (query_id)",
     "bm25_large": f"{BASE} SELECT query_id, id, rank, round(score, 5) AS score FROM lexical",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
-from ..operators import chunking, conversion, logs, retrieval, vector_index
+from ..operators import chunking, conversion, lexical_index, logs, retrieval, vector_index
 from ..sources import files
 from ..sources.files import pending, upsert_vectors, vector_records
 from ..sources.scratch import new_path
@@ -207,6 +207,14 @@ def bm25_topk(spark, d):
     return ranking(retrieval.bm25(chunks(spark, d), q, is_few=retrieval.few(q)))
 
 
+@query
+def bm25_blocks(spark, d):
+    """By the kept index with block maxima."""
+    path = new_path(spark, "lexical-index")
+    lexical_index.build(chunks(spark, d), path)
+    return ranking(lexical_index.search(spark, path, questions(spark, d)))
+
+
 @query
 def bm25_large(spark, d):
     """As for a set of queries that is not few: terms are dealt into parts instead of broadcast."""
@@ -295,6 +303,17 @@ def hybrid_search(spark, d):
     return hits(spark, d).withColumn("score", F.round("score", 8))
 
 
+@query
+def hybrid_indexed(spark, d):
+    """The hybrid search by the two kept indexes, all cells probed."""
+    path, q = new_path(spark, "lexical-index"), questions(spark, d)
+    lexical_index.build(chunks(spark, d), path)
+    is_few = retrieval.few(q)
+    near = vector_index.nearest(spark, indexed(spark, d), q, probes=vector_index.MOST_CELLS, is_few=is_few)
+    found = retrieval.search(chunks(spark, d), vectors(spark, d), q, rankings=(near, lexical_index.search(spark, path, q, is_few=is_few)))
+    return found.withColumn("score", F.round("score", 8))
+
+
 @query
 def context(spark, d):
     return retrieval.build_context(hits(spark, d)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
