@@ -2,14 +2,19 @@
 
 The standard library's parser feeds events to a small state machine that cuts the page into lines: a line is the text between
 two block-level tags, with the number of tags met since the last one. Each line's text-to-tag ratio is smoothed with a
-Gaussian and compared with the ratios' standard deviation; lines above it form clusters. Regions of the page (its article and
-main elements, and outside them the runs of lines between boilerplate elements) that hold a cluster are content, and a
-content region is kept whole, so short paragraphs and headings inside it stay. Article and main elements bound the regions and
-the smoothing, no more: each needs a cluster of its own. An article inside main is a region apart, and what main holds around
-its articles goes with any of them. A page's only article or main element is kept besides if it has no cluster.
-
-Elements of boilerplate tags are never content. Names (class, id, role) that hint at boilerplate are evidence, no verdict: lines
-in such elements wait until no other region of the page has text, and a main element inside lifts the hint.
+Gaussian and compared with the ratios' standard deviation; lines above it form clusters. Regions of the page that hold a cluster are
+content, and a content region is kept whole, so short paragraphs and headings inside it stay.
+
+Regions are the page's article and main elements, and outside them the runs of lines between boilerplate elements. What is
+left out between two lines of one parent, a button or an aside in the text, does not part them. Article and main elements
+bound the regions and the smoothing, no more: each needs a cluster of its own. An article inside main is a region apart, and what main
+holds around its articles goes with any of them. An article inside an article is a comment on it, unless it has more text. A page's
+only article or main element is kept besides if it has no cluster.
+
+Elements of boilerplate tags are never content. Names (class, id, role) that hint at boilerplate are evidence: lines in such an
+element are a region of their own with a lower ratio, and less is made of their length, the more such elements are around them. Those
+regions are content whose level of hints has most text by that measure, of hinted ones the largest, and those with fewer hints; a
+main element lifts hints.
 """
 
 from __future__ import annotations
@@ -30,36 +35,55 @@ BOILERPLATE = frozenset("head nav header footer aside form script style noscript
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed: words of class, id and role values that hint at menus, adverts, notices, sidebars, teasers and comments.
-MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar widget complementary contentinfo search".split())
+MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar widget complementary contentinfo search".split())
 MAIN = ("article", "main")
 RADIUS, SIGMA = 2, 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
 _WORD = re.compile(r"[a-z]+")
+#: How far out one parent of two lines may be, seen from the line that is deeper.
+_NEAR = 4
 
 
 #: Fixed: elements whose start ends an open one of the same name, and those that keep it from looking further out.
 ENDED = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: How sure it is that an element is no content.
-CONTENT, HINT, NEVER = range(3)
+#: How sure it is that an element is no content: not at all, by so many hints, or for certain.
+CONTENT, NEVER = 0, 1 << 30
+#: What a hint leaves of a line's ratio, and of its length where levels of hints are compared.
+RATIO, LENGTH = 0.3, 0.1
+#: Fixed: blocks that hold a paragraph's text, not other blocks' texts.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption figure caption td th summary address".split())
 
 
 class Lines(HTMLParser):
-    """Feeds on a page and gathers lines: (text, tags, main element or 0, run, whether names hint at boilerplate).
+    """Feeds on a page and gathers lines: (text, tags, main element or 0, hints, run).
 
     Open elements are a stack, and for each tag the places where it is open, so that an end tag finds its start without a walk."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, int, int]] = []  # tag, how sure it is no content from here on, main element
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, how sure it is no content from here on, main element, number
         self.open: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # where elements are open that end a line, paragraphs left out
         self.parts: list[str] = []
-        self.tags = self.mains = self.run = 0
-        self.around: dict[int, int] = {}  # of an article: the main element around it, or 0
+        self.tags = self.mains = self.run = self.number = 0
+        self.around: dict[int, int] = {}  # of an article: the article or main element around it, or 0
+        self.base = {0: CONTENT}  # hints around an article or main element
+        self.nested: set[int] = set()  # articles inside articles
+        self.runs = 0
+        self.last_lines: dict[tuple[int, int], tuple[int, list[int]]] = {}  # run and parents of the last line, by main element and hints
 
     def state(self) -> tuple[int, int]:
-        return self.stack[-1][1:] if self.stack else (CONTENT, 0)
+        return self.stack[-1][1:3] if self.stack else (CONTENT, 0)
+
+    def cut(self) -> None:
+        self.runs += 1
+        self.run = self.runs
+
+    def parents(self) -> list[int]:
+        """Numbers of the innermost open elements around the line's own block, the page's among them."""
+        open_ = [0] * (len(self.stack) <= _NEAR + 1) + [x[3] for x in self.stack[-_NEAR - 1 :]]
+        return open_[:-1] if self.stack and self.stack[-1][0] in TEXTS else open_
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -67,9 +91,14 @@ class Lines(HTMLParser):
         if text:
             sure, main = self.state()
             if sure == NEVER:
-                self.run += 1
+                self.cut()
             else:
-                self.lines.append((text, self.tags, main, self.run, sure == HINT))
+                around = self.parents()
+                run, before = self.last_lines.get((main, sure), (self.run, around))
+                if run != self.run and (around[-1] in before[-_NEAR:] or before[-1] in around[-_NEAR:]):
+                    self.run = run  # something was left out, but either line stands right in what is around the other
+                self.lines.append((text, self.tags, main, sure, self.run))
+                self.last_lines[main, sure] = (self.run, around)
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -89,24 +118,28 @@ class Lines(HTMLParser):
         sure = before
         if tag in BOILERPLATE or (attrs and self.hidden(attrs)):
             sure = NEVER
-        elif before == CONTENT and attrs and tag not in ("html", "body", "main") and self.hinted(attrs):
-            sure = HINT
-        elif before == HINT and tag == "main":
+        elif before != NEVER and tag == "main":
             sure = CONTENT
-        if sure != NEVER and (tag == "article" and main not in self.around or tag == "main" and not main):
+        elif before != NEVER and attrs and tag not in ("html", "body") and self.hinted(attrs):
+            sure = before + 1
+        if sure != NEVER and (tag == "article" or tag == "main" and not main):
             self.mains += 1
             if tag == "article":
+                if main in self.around:
+                    self.nested.add(self.mains)
                 self.around[self.mains] = main
             main = self.mains
+            self.base[main] = sure
         if parts or sure != before:
             if not parts:
                 self.flush()
             if sure != before:
-                self.run += 1
+                self.cut()
             self.open.setdefault(tag, []).append(len(self.stack))
             if tag in BLOCKS and tag != "p":
                 self.blocks.append(len(self.stack))
-            self.stack.append((tag, sure, main))
+            self.number += 1
+            self.stack.append((tag, sure, main, self.number))
 
     @staticmethod
     def hinted(attrs: list[tuple[str, str | None]]) -> bool:
@@ -133,7 +166,8 @@ class Lines(HTMLParser):
             self.open[name].pop()
             if self.blocks and self.blocks[-1] == len(self.stack):
                 self.blocks.pop()
-        self.run += changed
+        if changed:
+            self.cut()
         return True
 
     def handle_endtag(self, tag: str) -> None:
@@ -160,18 +194,41 @@ def smoothed(ratios: list[float], areas: list) -> list[float]:
     return out
 
 
-def chosen_lines(lines: list[tuple[str, int, int, int, bool]], around: dict[int, int]) -> list[bool]:
-    """Which lines are content: those of the regions with a cluster."""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines], [(main, run if not main else 0) for _, _, main, run, _ in lines])
+def chosen_lines(page: Lines) -> list[bool]:
+    """Which lines are content: those of the regions with a cluster, at the levels of hints that hold the text."""
+    lines = page.lines
+    # In an article or main element without further hints, all lines are one region.
+    regions = [(main, sure, run if not main or sure > page.base[main] else 0) for _, _, main, sure, run in lines]
+    ratios = smoothed([len(text) / max(1, tags) * RATIO ** min(sure, 9) for text, tags, _, sure, _ in lines], regions)
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    regions = [("main", main) if main else ("run", run) for _, _, main, run, _ in lines]
     chosen = {g for g, r in zip(regions, ratios, strict=True) if r >= threshold}
-    mains = {g for g in regions if g[0] == "main"}
-    if len(mains) == 1:
-        chosen |= mains
-    chosen |= {("main", around.get(k, 0)) for kind, k in chosen if kind == "main"}
-    return [g in chosen for g in regions]
+    size = dict.fromkeys(regions, 0)
+    for g, x in zip(regions, lines, strict=True):
+        size[g] += len(x[0])
+    own: dict[int, int] = {}  # what article and main elements hold apart from others in them
+    for (main, *_), n in size.items():
+        own[main] = own.get(main, 0) + n
+    comments: set[int] = set()
+    outer: dict[int, int] = {}  # the most that one of the articles around an article holds
+    for m in sorted(page.nested):
+        around = page.around[m]
+        outer[m] = max(outer.get(around, 0), own.get(around, 0))
+        if around in comments or outer[m] and own.get(m, 0) <= outer[m]:
+            comments.add(m)
+    chosen = {g for g in chosen if g[0] not in comments}
+    whole = {g for g in regions if g[0] and not g[2] and g[0] not in comments}
+    if len(whole) == 1:
+        chosen |= whole
+    chosen |= {(around, page.base[around], 0) for around in (page.around.get(g[0]) for g in chosen) if around}
+    if not chosen:
+        return [False] * len(lines)
+    levels = sorted({g[1] for g in chosen})
+    best = max(levels, key=lambda s: (sum(n for g, n in size.items() if g in chosen and g[1] == s) * LENGTH ** min(s, 9), -s))
+    if best:  # what hints speak against is the page's text in one region only
+        largest = max((g for g in chosen if g[1] == best), key=lambda g: size[g])
+        chosen = {g for g in chosen if g[1] < best or g == largest}
+    return [g in chosen and g[1] <= best for g in regions]
 
 
 def main_text(html: str) -> str:
@@ -179,10 +236,9 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[4]] or parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    return "\n".join(x[0] for x, keep in zip(lines, chosen_lines(lines, parser.around), strict=True) if keep)
+    return "\n".join(x[0] for x, keep in zip(parser.lines, chosen_lines(parser), strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

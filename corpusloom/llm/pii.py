@@ -125,8 +125,9 @@ def learned_spans(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame
         done.append(counted)
         return counted
 
-    seeds = graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score"))
-    scored, totals, done = seeds, None, []
+    # A table: a union of two aggregations by value would pass for one that is dealt by value, though AQE may coalesce each otherwise.
+    seeds = save(graph.where("kind is not null").groupBy("value").agg(F.max("kind").alias("vkind"), F.lit(1.0).alias("score")), "seeds")
+    scored, totals, done = seeds, None, [seeds]
     for n in range(1, ROUNDS + 1):
         # Ties go to the later kind, and scores are rounded, so that reruns agree whatever the order of rows.
         weight = F.round(F.col("n") * F.col("score"), 9)
