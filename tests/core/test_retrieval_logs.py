@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import logs, retrieval as r
+from corpusloom.operators import logs, retrieval as r, tiles
 from corpusloom.sources import files
 from corpusloom.streaming import ingest
 
@@ -68,7 +68,7 @@ def test_hash_embed(spark):
 
 
 def test_dense_of_few_and_of_many_queries(spark, monkeypatch):
-    monkeypatch.setattr(r, "ROWS", 7)
+    monkeypatch.setattr(tiles, "ROWS", 7)
     rows = [(f"v{i}", i, [float((i * k) % 11 - 5) for k in (1, 3, 7)]) for i in range(60)] + [("null", 60, None), ("zero", 61, [0.0] * 3), ("hole", 62, [1.0, None, 2.0]), ("long", 63, [1.0] * 4), ("none", 64, [])]
     v = spark.createDataFrame(rows, "id string, seq long, embedding array<double>").repartition(3)
     q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, -1.0, 0.5]), (3, [1.0] * 4), (4, None)], "query_id long, embedding array<double>")
