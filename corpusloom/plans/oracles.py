@@ -209,4 +209,5 @@ ORACLES = {
     "feedback_recent": f"WITH {RATED} SELECT * FROM rated ORDER BY seq DESC LIMIT 20",
     "length_batches": f"WITH {CHUNKS} SELECT id, (row_number() OVER (ORDER BY length(content) DESC, id) - 1) // 64 AS batch FROM c",
     "embed_resume": "SELECT 'chunk_' || doc_id AS id, length(coalesce(text, '')) AS n_chars, doc_id % 4 AS chunk_index FROM documents",
+    "vector_upserts": "SELECT CAST(doc_id - doc_id % 4 AS VARCHAR) || '#' || CAST(doc_id % 4 AS VARCHAR) AS id, max(v) AS version, 2 + length(coalesce(any_value(text), '')) AS n_chars, any_value(doc_id) % 4 AS chunk_index FROM (SELECT doc_id, text, unnest([1, 3, 2]) AS v, unnest([doc_id % 3 = 0, doc_id % 3 <> 1, doc_id % 2 = 0]) AS named FROM documents) WHERE named GROUP BY doc_id",
 }

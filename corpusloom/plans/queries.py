@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, lexical_index, logs, retrieval, vector_index
-from ..sources import files
+from ..sources import files, vector_store
 from ..sources.files import pending, upsert_vectors, vector_records
 from ..sources.scratch import new_path
 from .oracles import ORACLES
@@ -418,4 +418,15 @@ def embed_resume(spark, d):
     return done.select("id", F.length("document").cast("long").alias("n_chars"), F.col("metadata.chunk_index").alias("chunk_index"))
 
 
+@query
+def vector_upserts(spark, d):
+    """A store of the chunks after three upserts: some chunks, all with other texts, and, late, an older version of some."""
+    c = chunks(spark, d).withColumns({"id": F.concat_ws("#", "source_file", F.col("chunk_index").cast("string")), "embedding": F.array(F.lit(0.5)), "total_chunks": F.lit(4), "content_type": F.lit("technical"), "char_count": F.length("content"), "estimated_tokens": estimate_tokens(F.col("content"))})
+    path = new_path(spark, "vector-store")
+    for some, version in (("seq % 3 = 0", 1), ("seq % 3 <> 1", 3), ("seq % 2 = 0", 2)):
+        rows = c.where(some).withColumn("content", F.concat(F.lit(f"{version} "), F.col("content")))
+        vector_store.upsert(vector_records(rows), path, version, buckets=64)
+    return vector_store.read(spark, path).select("id", "version", F.length("document").cast("long").alias("n_chars"), F.col("metadata.chunk_index").alias("chunk_index"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

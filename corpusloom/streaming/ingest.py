@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import chunks_of
 from ..operators.retrieval import hash_embed
+from ..sources import vector_store
 from ..sources.files import vector_records
 
 
@@ -25,12 +26,12 @@ def embedded(docs: DataFrame, embed: Callable[[Column], Column] = hash_embed, **
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, *, embed: Callable[[Column], Column] = hash_embed, **how) -> None:
     """Takes all documents in source (parquet, schema) that earlier calls have not taken and stores their vectors in target.
 
-    The checkpoint knows which files are done. A batch is written below its own number, so one that is replayed after a loss
-    replaces itself: a record is there once, and stored() needs no search for doubles but those of changed documents.
+    The checkpoint knows which files are done. A batch's number is its records' version, so one that is replayed after a loss
+    replaces itself, and of a changed document the latest batch's records stay. Only the buckets of its documents are rewritten.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        embedded(batch, embed, **how).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        vector_store.upsert(embedded(batch, embed, **how), target, number)
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -39,5 +40,4 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
 
 def stored(spark: SparkSession, target: str) -> DataFrame:
     """The latest record of each id."""
-    rows = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
-    return rows.groupBy("id").agg(F.max_by(F.struct("embedding", "document", "metadata"), "batch").alias("r")).select("id", "r.*")
+    return vector_store.read(spark, target).drop("created_at", "updated_at", "version")
