@@ -6,12 +6,13 @@ keeps them in a column of their own. Line ends are \\n only, as (?d) and explici
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, lines, per_line, replace_each, staged, strip, sub
+from .text import FEW, enclosed, let, lines, per_line, replace_each, replace_tokens, staged, strip, sub
 
 #: Fixed: the emoji of icon names.
 ICONS = {
@@ -32,8 +33,10 @@ ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#1
 #: Fixed: the markup that phases look for, here and in each of them, follows from the wiki's language.
 _COLOUR = "|".join(COLOURS)
 _ICON = r"""%ICON\{["']?([\w-]+)["']?\}%"""
-_BLOCK = r"""(?s)((?:%ICON\{["']?[\w-]+["']?\}%\s*)?)%(""" + _COLOUR + r""")%\s*(.*?)\s*%ENDCOLOR%"""
+_OPENING = r"""(?:%ICON\{["']?[\w-]+["']?\}%\s*)?%(?:""" + _COLOUR + ")%"
 VERBATIM = r"(?s)<(verbatim|pre)(\s[^>]*)?>(.+?)</\1>"
+#: Stands in a tag that nothing closes any more while blocks are looked for, and for links while they are numbered.
+_OPEN = "\ue0f7"
 BLOCKS = "array<struct<content:string,lang:string>>"
 
 
@@ -41,14 +44,39 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for x in chain(*table.items())))[key], F.lit(""))
 
 
+def _closable(text: Column) -> Column:
+    """text with a mark in the tags of protected blocks that no end tag follows, so that none is looked for from each of them."""
+    for tag in ("verbatim", "pre"):
+        rest = lambda t: F.substring_index(t, f"</{tag}>", -1)  # noqa: B023, E731
+        marked = lambda t: let(rest(t), lambda r: F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(r)), F.replace(r, F.lit(f"<{tag}"), F.lit(f"<{_OPEN}{tag}"))))  # noqa: B023, E731
+        text = let(text, lambda t: F.when(t.contains(f"<{tag}"), marked(t)).otherwise(t))  # noqa: B023
+    return text
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(f"<{_OPEN}"), F.lit("<"))
+
+
 def verbatim_blocks(text: Column) -> Column:
     """BLOCKS of the protected blocks, in order."""
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(VERBATIM), F.lit(2)).alias("a"), F.regexp_extract_all(text, F.lit(VERBATIM), F.lit(3)).alias("c"))
-    return F.transform(both, lambda b: F.struct(b["c"].alias("content"), F.regexp_extract(F.coalesce(b["a"], F.lit("")), r'(?U)class="(\w+)"', 1).alias("lang"))).cast(BLOCKS)
+
+    def found(t: Column) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(t, F.lit(VERBATIM), F.lit(2)).alias("a"), F.regexp_extract_all(t, F.lit(VERBATIM), F.lit(3)).alias("c"))
+        return F.transform(both, lambda b: F.struct(_unmarked(b["c"]).alias("content"), F.regexp_extract(F.coalesce(b["a"], F.lit("")), r'(?U)class="(\w+)"', 1).alias("lang"))).cast(BLOCKS)
+
+    return let(_closable(text), found)
 
 
 def extract_verbatim(text: Column) -> Column:
-    return replace_each(text, VERBATIM, lambda i, _: F.concat(F.lit("%%VERBATIM_"), i.cast("string"), F.lit("%%")), (3,))
+    taken = replace_each(_closable(text), VERBATIM, lambda i, _: F.concat(F.lit("%%VERBATIM_"), i.cast("string"), F.lit("%%")), (3,))
+    return F.when(text.contains("<verbatim") | text.contains("<pre"), _unmarked(taken)).otherwise(text)
+
+
+def _restored(text: Column, name: str, blocks: Column, how: Callable[[Column], Column]) -> Column:
+    """The placeholders %%name_i%% as how of the i-th block, found in one pass; others stay as they are."""
+    known = lambda i, x: F.when((i >= 0) & (i < F.size(blocks)) & (i.cast("string") == x), how(F.get(blocks, i)))
+    found = lambda x: F.coalesce(let(x.try_cast("int"), lambda i: known(i, x)), F.concat(F.lit(f"%%{name}_"), x, F.lit("%%")))
+    return F.when(text.contains(f"%%{name}_"), replace_each(text, rf"%%{name}_(\d+)%%", lambda _, x: found(x))).otherwise(text)
 
 
 def strip_meta(text: Column) -> Column:
@@ -56,24 +84,32 @@ def strip_meta(text: Column) -> Column:
 
 
 def colour_blocks(text: Column) -> Column:
-    """Colour blocks as quotes; the first line that is not blank starts with the icon's emoji, or else the colour's."""
+    """Colour blocks as quotes; the first line that is not blank starts with the icon's emoji, or else the colour's. A block
+    begins at the first colour since the last end mark, so the text is parted at these."""
+
+    def quote(mark: Column, body: Column) -> Column:
+        own = _lookup(ICONS, F.regexp_extract(mark, _ICON, 1))
+        emoji = F.when(own != "", own).otherwise(_lookup(COLOURS, F.regexp_extract(mark, "%([A-Z]+)%$", 1)))
+        shown = F.array_join(F.transform(lines(F.replace(strip(body), F.lit("%BR%"), F.lit("<br>"))), lambda x: F.rtrim(F.concat(F.lit("> "), strip(x)))), "\n")
+        lead = lambda x: F.regexp_extract(x, r"^(?:>\n)*+> ", 0)
+        led = lambda x, start: F.when(start != "", F.concat(start, emoji, F.lit(" "), F.substring(x, F.length(start) + 1, F.length(x)))).otherwise(x)
+        return let(shown, lambda x: let(lead(x), lambda start: led(x, start)))
 
-    def quote(_: Column, icon: Column, colour: Column, body: Column) -> Column:
-        own = _lookup(ICONS, F.regexp_extract(icon, _ICON, 1))
-        emoji = F.when(own != "", own).otherwise(_lookup(COLOURS, colour))
-        shown = F.array_join(F.transform(lines(sub(strip(body), "%BR%", "<br>")), lambda x: F.rtrim(F.concat(F.lit("> "), strip(x)))), "\n")
-        lead = lambda x: F.regexp_extract(x, r"^(?:>\n)*> ", 0)
-        return let(shown, lambda x: F.when(lead(x) != "", F.concat(lead(x), emoji, F.lit(" "), F.substring(x, F.length(lead(x)) + 1, F.length(x)))).otherwise(x))
+    def segment(part: Column) -> Column:
+        block = lambda mark: let(F.position(mark, part), lambda at: F.concat(F.substring(part, F.lit(1), at - 1), quote(mark, F.substring(part, at + F.length(mark), F.length(part)))))
+        return let(F.regexp_extract(part, _OPENING, 0), lambda mark: F.when(mark != "", block(mark)).otherwise(F.concat(part, F.lit("%ENDCOLOR%"))))
 
-    return replace_each(text, _BLOCK, quote, (1, 2, 3))
+    parts = let(F.split(text, "%ENDCOLOR%", -1), lambda p: F.transform(p, lambda x, i: F.when(i == F.size(p) - 1, x).otherwise(segment(x))))
+    return F.when(text.contains("%ENDCOLOR%"), F.array_join(parts, "")).otherwise(text)
 
 
 def variables(text: Column) -> Column:
-    text = sub(text, "%BR%", "<br>")
-    text = sub(text, "%VBAR%", r"\\|")
-    text = sub(text, "%CARET%", "^")
+    whole, drop = text, lambda t, what, to="": F.replace(t, F.lit(what), F.lit(to))
+    text = drop(text, "%BR%", "<br>")
+    text = drop(text, "%VBAR%", "\\|")
+    text = drop(text, "%CARET%", "^")
     text = replace_each(text, _ICON, lambda _, name: _lookup(ICONS, name))
-    text = sub(text, "%ATTACHURL%/", "")
+    text = drop(text, "%ATTACHURL%/")
     text = sub(text, r"(?U)%PUBURL%(?:/[^\s]*?)?/([^\s/]+)", "$1")
     text = sub(text, r"(?md)^%TOC(\{[^}]*\})?%\s*$\n?", "")
     text = sub(text, r"(?md)^%TABLE\{[^}]*\}%\s*$\n?", "")
@@ -83,9 +119,9 @@ def variables(text: Column) -> Column:
     text = sub(text, r"%INCLUDE\{[^}]*\}%", "")
     text = sub(text, r"%SEARCH\{[^}]*\}%", "")
     for name in VARIABLES:
-        text = sub(text, f"%{name}%", "")
+        text = drop(text, f"%{name}%")
     text = sub(text, f"%({_COLOUR}|ENDCOLOR)%", "")
-    return sub(text, r"%[A-Z_]+(\{[^}]*\})?%", "")
+    return F.when(whole.contains("%"), sub(text, r"%[A-Z_]+(\{[^}]*\})?%", "")).otherwise(whole)
 
 
 def headings(text: Column) -> Column:
@@ -141,16 +177,30 @@ def lists(text: Column) -> Column:
 
 def links(text: Column) -> Column:
     """Bracket links; a link after an exclamation mark stays, with its brackets escaped."""
-    shut = r"!\[\[([^\]]+)\]\]"
-    held = F.regexp_extract_all(text, F.lit(shut), F.lit(1))
-    out = replace_each(text, shut, lambda i, _: F.concat(F.lit("%%ESCAPED_LINK_"), i.cast("string"), F.lit("%%")))
+    shut, dead = r"!\[\[([^\]]+)\]\]", r"\[\[[^\]]*+"
     target = lambda t: F.when(t.startswith("#"), F.lower(t)).otherwise(t)
-    out = replace_each(out, r"\[\[([^\]]+)\]\[([^\]]+)\]\]", lambda _, t, label: F.concat(F.lit("["), label, F.lit("]("), target(t), F.lit(")")), (1, 2))
     addressed = r"^(?:https?://|ftp://|mailto:|#)"
-    out = replace_each(out, r"\[\[([^\]]+)\]\]", lambda _, t: F.when(t.rlike(addressed), F.concat(F.lit("["), t, F.lit("]("), target(t), F.lit(")"))).otherwise(t))
-    named = F.transform(held, lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    back = F.aggregate(named, out, lambda acc, x: F.replace(acc, F.concat(F.lit("%%ESCAPED_LINK_"), x["i"].cast("string"), F.lit("%%")), F.concat(F.lit("\\[\\["), x["t"], F.lit("\\]\\]"))))
-    return F.when(text.contains("[["), back).otherwise(text)
+
+    def linked(t: Column) -> Column:
+        return replace_tokens(t, r"\[\[([^\]]+)\]\[([^\]]+)\]\]", r"\[\[", dead, r"[^\[]++|\[", lambda to, label: F.concat(F.lit("["), label, F.lit("]("), target(to), F.lit(")")), 2)
+
+    def bare(t: Column) -> Column:
+        return replace_tokens(t, r"\[\[([^\]]+)\]\]", r"\[\[", dead, r"[^\[]++|\[", lambda to: F.when(to.rlike(addressed), F.concat(F.lit("["), to, F.lit("]("), target(to), F.lit(")"))).otherwise(to), 1)
+
+    def escaped(t: Column) -> Column:
+        """Numbered placeholders for the escaped links of t, and these back in the end."""
+        found = lambda g: F.regexp_extract_all(t, F.lit(rf"(?s)\G(?:{shut}|!{dead}|[^!]++|!)"), F.lit(g))
+        gaps = lambda all_: F.split(F.array_join(F.transform(F.arrays_zip(found(0).alias("t"), all_.alias("h")), lambda x: F.when(x["h"] != "", F.lit(_OPEN)).otherwise(x["t"])), ""), _OPEN, -1)
+        named = lambda held: F.transform(held, lambda _, i: F.concat(F.lit("%%ESCAPED_LINK_"), i.cast("string"), F.lit("%%")))
+        shown = lambda all_, held: F.array_join(F.zip_with(gaps(all_), named(held), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+        back = lambda x: F.concat(F.lit("\\[\\["), x, F.lit("\\]\\]"))
+        both = lambda held, out: F.struct(held.alias("held"), out.alias("out"))
+        many = let(found(1), lambda all_: let(F.filter(all_, lambda h: h != ""), lambda held: both(held, shown(all_, held))))
+        few = both(F.regexp_extract_all(t, F.lit(shut), F.lit(1)), replace_each(t, shut, lambda i, _: F.concat(F.lit("%%ESCAPED_LINK_"), i.cast("string"), F.lit("%%"))))
+        apart = F.when(F.regexp_count(t, F.lit(r"!\[\[")) <= FEW, few).otherwise(many)
+        return let(apart, lambda x: _restored(let(let(x["out"], linked), bare), "ESCAPED_LINK", x["held"], back))
+
+    return F.when(~text.contains("[["), text).when(text.contains("![["), let(text, escaped)).otherwise(let(let(text, linked), bare))
 
 
 def _marked(line: Column, mark: str, inner: str, opens: str, closes: str) -> Column:
@@ -176,16 +226,17 @@ def wikiwords(text: Column) -> Column:
 
 
 def html_tags(text: Column) -> Column:
-    text = sub(text, r"<br\s*/?>", "<br>")
+    whole, text = text, sub(text, r"<br\s*/?>", "<br>")
     for tag, mark in (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("strike", "~~"), ("del", "~~")):
-        text = sub(text, f"(?s)<{tag}>(.*?)</{tag}>", f"{mark}$1{mark}")
-    text = sub(text, "(?d)<code>(.*?)</code>", "`$1`")
-    quoted = lambda _, body: F.array_join(F.transform(lines(strip(body)), lambda x: F.concat(F.lit("> "), strip(x))), "\n")
-    text = replace_each(text, "(?s)<blockquote>(.*?)</blockquote>", quoted)
+        text = let(text, lambda t: enclosed(t, f"<{tag}>", f"</{tag}>", lambda x: F.concat(F.lit(mark), x, F.lit(mark))))  # noqa: B023
+    code = lambda t: per_line(t, lambda line: enclosed(line, "<code>", "</code>", lambda x: F.concat(F.lit("`"), x, F.lit("`"))))
+    text = let(text, lambda t: F.when(t.contains("</code>"), code(t)).otherwise(t))
+    quoted = lambda body: F.array_join(F.transform(lines(strip(body)), lambda x: F.concat(F.lit("> "), strip(x))), "\n")
+    text = let(text, lambda t: enclosed(t, "<blockquote>", "</blockquote>", quoted))
     text = sub(text, r"<nop\s*/?>", "")
     for tag in ("noautolink", "literal", "sticky"):
-        text = sub(text, f"(?s)<{tag}>(.*?)</{tag}>", "$1")
-    return text
+        text = let(text, lambda t: enclosed(t, f"<{tag}>", f"</{tag}>", lambda x: x))  # noqa: B023
+    return F.when(whole.contains("<"), text).otherwise(whole)
 
 
 def signatures(text: Column) -> Column:
@@ -194,8 +245,7 @@ def signatures(text: Column) -> Column:
 
 def restore_verbatim(text: Column, blocks: Column) -> Column:
     """Each placeholder as a fenced block, in the order of blocks."""
-    named = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), F.concat(F.lit("```"), b["lang"], F.lit("\n"), b["content"], F.lit("\n```")).alias("t")))
-    return F.aggregate(named, text, lambda acc, x: F.replace(acc, F.concat(F.lit("%%VERBATIM_"), x["i"].cast("string"), F.lit("%%")), x["t"]))
+    return _restored(text, "VERBATIM", blocks, lambda b: F.concat(F.lit("```"), b["lang"], F.lit("\n"), b["content"], F.lit("\n```")))
 
 
 def rules(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Tokens per word, as a fraction so that counts stay whole numbers.
 TOKENS_NUM, TOKENS_DEN = 13, 10
+#: Places at which a match might begin, of a pattern that looks far ahead, that are few.
+FEW = 64
 
 
 def sub(text: Column, pattern: str, replacement: str) -> Column:
@@ -44,6 +47,33 @@ def replace_each(text: Column, pattern: str, how: Callable[..., Column], groups:
     return let(text, apply)
 
 
+def replace_tokens(text: Column, pattern: str, begin: str, dead: str, other: str, how: Callable[..., Column], groups: int) -> Column:
+    """replace_each() in time linear in the text, for a pattern that looks far ahead from each place where it might begin.
+
+    begin is what each match begins with. The whole text is cut into tokens, one after another: a match; dead, what can hold no match's beginning once the match fails
+    here; other, a run in which no match begins. how gets the captures. Where few matches might begin, replace_each() is linear
+    too, and faster."""
+    token = rf"(?s)\G(?:{pattern}|{dead}|{other})"
+    part = lambda g: F.regexp_extract_all(text, F.lit(token), F.lit(g))
+    tokens = F.arrays_zip(*(part(g).alias(f"g{g}") for g in range(groups + 1)))
+    # A match has all its captures; they are never empty.
+    made = F.transform(tokens, lambda t: F.when(t["g1"] != "", how(*(t[f"g{g}"] for g in range(1, groups + 1)))).otherwise(t["g0"]))
+    plain = replace_each(text, pattern, lambda _, *found: how(*found), tuple(range(1, groups + 1)))
+    return F.when(F.regexp_count(text, F.lit(begin)) <= FEW, plain).otherwise(F.array_join(made, ""))
+
+
+def enclosed(text: Column, opening: str, closing: str, how: Callable[[Column], Column]) -> Column:
+    """Each closing mark with the first opening one since the closing before it, and what they enclose, replaced by how of that.
+    The text is parted at closing marks, so marks that do not close cost nothing."""
+
+    def segment(part: Column, last: Column) -> Column:
+        found = lambda at: F.when(at > 0, F.concat(F.substring(part, F.lit(1), at - 1), how(F.substring(part, at + len(opening), F.length(part))))).otherwise(F.concat(part, F.lit(closing)))
+        return F.when(last, part).otherwise(let(F.locate(opening, part), found))
+
+    parts = let(F.split(text, re.escape(closing), -1), lambda p: F.transform(p, lambda x, i: segment(x, i == F.size(p) - 1)))
+    return F.when(text.contains(opening) & text.contains(closing), F.array_join(parts, "")).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     """Drops white space, Unicode's too, from both ends."""
     return sub(sub(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")

@@ -1,8 +1,11 @@
 """The converter, case by case: whole outputs, worked out by hand."""
 
+import random
+import time
+
 import pytest
 
-from corpusloom.functions import convert as c
+from corpusloom.functions import convert as c, text
 from corpusloom.operators import conversion
 
 CASES = [
@@ -90,6 +93,34 @@ def test_case(converted, name, source, want):
     assert converted[name] == want
 
 
+HOSTILE = {"open colours": "%RED% a ", "colours": "%RED% a %ENDCOLOR% ", "escaped links": "![[x]] ", "links": "[[a][b]] [[c]] ", "open links": "[[x ", "open escaped links": "![[x ", "open pre": "<pre>", "pre": "<pre>x</pre> ", "open bold": "<b>a ", "open quotes": "<blockquote>", "ends": "%ENDCOLOR%</b></pre>]]"}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_long_texts_take_linear_time(spark, name):
+    """A megabyte of marks; what closes is converted, what doesn't stays."""
+    times = 1_000_000 // len(HOSTILE[name])
+    df = spark.createDataFrame([(1, HOSTILE[name] * times)], "k long, text string")
+    began = time.perf_counter()
+    got = c.convert(df).first().markdown
+    assert time.perf_counter() - began < 12
+    made = {"colours": "> 🔴 a ", "escaped links": "\\[\\[x\\]\\] ", "links": "[b](a) c ", "pre": "```\nx\n``` ", "open bold": "<b>a ", "open links": "[[x ", "open escaped links": "![[x ", "open pre": "<pre>"}
+    if name in made:
+        assert got == (made[name] * times).rstrip() + "\n"
+
+
+def test_few_and_many_links_agree(spark, monkeypatch):
+    """Both ways of finding links give the same texts."""
+    r = random.Random(4)
+    bits = ["[[", "]]", "][", "![[", "]", "[", "!", "#", "a", "http://t.org", " ", "%%ESCAPED_LINK_0%%", "\n"]
+    df = spark.createDataFrame([(i, "".join(r.choice(bits) for _ in range(r.randrange(30)))) for i in range(2000)], "k long, text string")
+    shown = lambda: {x.k: x.t for x in df.select("k", c.links(df.text).alias("t")).collect()}
+    few = shown()
+    for module in (c, text):
+        monkeypatch.setattr(module, "FEW", -1)
+    assert shown() == few
+
+
 def test_page(spark):
     page = "\n".join(['%META:TOPICPARENT{name="Forests"}%', "---++ Oaks above 30 !Metre", "", "   * tall", "   * old", "", "---+++!! Care", "%ICON{help}% %AQUA%", "How much water?", "%ENDCOLOR%", "", "%TEAL% Little. %ENDCOLOR%", "", "-- Main.ElmFriend - 3-Feb-2015", ""])
     want = "## Oaks above 30 Metre\n\n- tall\n- old\n\n### Care\n> ❓ How much water?\n\n> 🟢 Little.\n\n— ElmFriend, 3-Feb-2015\n"
@@ -106,7 +137,7 @@ def test_page(spark):
     assert conversion.rule_counts(conversion.convert_all(rows), 1).count() == 1
 
 
-@pytest.mark.parametrize(("text", "want"), [("# Hello", [c.PASSED]), ("%META:X{bad}%\nx", [c.META]), ("a <nop> b", [c.NOP]), ("`<nop>` ```\n%AB%\n```", [c.PASSED]), ("%AB{x}% <br />", [c.VARIABLE, c.BREAK]), ("<noautolink> <verbatim>", [c.NOAUTOLINK, c.LEFT_VERBATIM])])
-def test_validate(spark, text, want):
-    df = spark.createDataFrame([(text,)], "t string")
+@pytest.mark.parametrize(("shown", "want"), [("# Hello", [c.PASSED]), ("%META:X{bad}%\nx", [c.META]), ("a <nop> b", [c.NOP]), ("`<nop>` ```\n%AB%\n```", [c.PASSED]), ("%AB{x}% <br />", [c.VARIABLE, c.BREAK]), ("<noautolink> <verbatim>", [c.NOAUTOLINK, c.LEFT_VERBATIM])])
+def test_validate(spark, shown, want):
+    df = spark.createDataFrame([(shown,)], "t string")
     assert df.select(c.validate(df.t)).collect()[0][0] == want
