@@ -18,6 +18,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import let, lexical_tokens, staged
 from ..sources.scratch import ship, written
+from .inference import BATCH, Model, predict
 from .logs import contextual_query
 from .tiles import DIGITS, by_length, exact_best, matrix, tiled
 
@@ -227,6 +228,13 @@ def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int
     return top_k(scored, "score", k, "was").select("query_id", "id", "score", "rank")
 
 
+def rerank_with(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, make: Callable[[], Model], k: int = K_FINAL, *, key: str, is_few: bool = False, batch: int = BATCH) -> DataFrame:
+    """rerank() by a model that scores (query, content) pairs in batches, loaded once a worker; see inference.predict()."""
+    pairs = chunks.select("id", "content").join(small(candidates.select("query_id", "id", F.col("rank").alias("was")), is_few), "id").join(small(queries.select("query_id", "query"), is_few), "query_id")
+    scored = predict(pairs, make, ["query", "content"], "score", "double", key=key, batch=batch).select("query_id", "id", "was", "score")
+    return top_k(scored, "score", k, "was").select("query_id", "id", "score", "rank")
+
+
 def neighbours(chunks: DataFrame, hits: DataFrame, is_few: bool = False) -> DataFrame:
     """query_id, rank, side (-1 or 1), id, content of the chunks next to each hit: one place away in seq and in chunk_index, in
     the same document."""

@@ -177,6 +177,9 @@ ORACLES = {
     "convert_full": phase("full", "markdown"),
     "applied_rules": RULES,
     "conversion_summary": SUMMARY,
+    "conversion_observed": SUMMARY,
+    "page_files": f"SELECT 'web' || CAST(doc_id % 7 AS VARCHAR) AS folder, 'page' || CAST(doc_id AS VARCHAR) AS stem, markdown FROM ({phase('full', 'markdown')})",
+    "conv_streamed": f"WITH {LOG} " + _LAST.replace("FROM log", "FROM log WHERE conversation_id % 5 <> 0"),
     "validate_status": f"{STATUS} SELECT doc_id, status FROM st",
     "status_counts": f"{STATUS} SELECT status, count(*) AS n FROM st GROUP BY status",
     "bm25_stats": f"WITH {CHUNKS}, {POSTINGS}, {WEIGHTS} SELECT term, df, round(idf, 6) AS idf FROM i",

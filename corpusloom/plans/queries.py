@@ -11,8 +11,10 @@ from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, lexical_index, logs, retrieval, vector_index
 from ..sources import files, vector_store
+from ..sources.page_files import write_pages
 from ..sources.files import pending, upsert_vectors, vector_records
 from ..sources.scratch import new_path
+from ..streaming import conversations
 from .oracles import ORACLES
 from .tables import MIXED, QUERY, chunks, derived, markdown, questions, table, vectors, wiki
 
@@ -429,4 +431,40 @@ def vector_upserts(spark, d):
     return vector_store.read(spark, path).select("id", "version", F.length("document").cast("long").alias("n_chars"), F.col("metadata.chunk_index").alias("chunk_index"))
 
 
+@query
+def conv_streamed(spark, d):
+    """The latest entries after a stream of the log in three batches, with deletions in the last: of every fifth conversation."""
+    rows, source = log(spark, d), new_path(spark, "log")
+    (top,) = rows.agg(F.max("seq")).first()
+    no = F.lit(False)
+    for part in range(3):
+        some = rows.where(F.least(F.floor(F.col("seq") * 3 / (top + 1)), F.lit(2)) == part).withColumn("deleted", no)
+        if part == 2:
+            gone = rows.where("conversation_id % 5 = 0").groupBy("conversation_id").agg(F.first("title").alias("title"), F.first("value").alias("value"))
+            some = some.unionByName(gone.withColumns({"seq": F.lit(top + 1).cast("long"), "deleted": F.lit(True)}))
+        some.coalesce(1).write.mode("append").parquet(source)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    target = new_path(spark, "conversations")
+    conversations.keep_latest(spark, source, target, new_path(spark, "marks"), shape, "conversation_id", files=1)
+    return conversations.latest(spark, target, shape)
+
+
+@query
+def conversion_observed(spark, d):
+    """The summary of a conversion, from the job that writes it."""
+    got = conversion.write_observed(wiki(spark, d), new_path(spark, "converted"))
+    kinds = "total long, success long, warning long, error long, exception long, success_rate double"
+    return spark.createDataFrame([tuple(got[k.split()[0]] for k in kinds.split(", "))], kinds)
+
+
+@query
+def page_files(spark, d):
+    """Converted pages as text files in folders, read back."""
+    path = new_path(spark, "pages")
+    named = convert_full(spark, d).select(F.concat(F.lit("web"), (F.col("doc_id") % 7).cast("string"), F.lit("/page"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "markdown")
+    write_pages(named, path)
+    back = files.read_texts(spark, path, ("md",), recursive=True)
+    return back.select(F.regexp_extract("path", "/(web[0-9]+)/[^/]*$", 1).alias("folder"), "stem", F.col("text").alias("markdown"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,7 +13,8 @@ VECTOR_SCHEMA = f"id string, embedding array<float>, document string, metadata s
 
 
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "twiki"), recursive: bool = False) -> DataFrame:
-    """path, folder, name, stem, ext, size, text: a row for each file. Bytes that are not UTF-8 become U+FFFD. Rows have no
+    """path, folder, name, stem, ext, size, text: a row for each file. Bytes that are not UTF-8 become U+FFFD. Spark does not see
+    files without a byte. Rows have no
     order; page_order() gives the one of a listing."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
     files = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path)

@@ -8,6 +8,7 @@ repeated and may come late. Whenever one is stopped, settle() ends or undoes it:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
@@ -82,6 +83,14 @@ def upsert(new: DataFrame, path: str, version: Column | int = 0, schema: str = V
     names = StructType.fromDDL(schema).fieldNames()
     at = F.current_timestamp() if at is None else at
     stamped = new.select(*names, at.alias("created_at"), at.alias("updated_at"), F.lit(version).cast("long").alias("version"), _bucket(F.col("id"), buckets).alias("bucket"))
+    stamped = stamped.persist(StorageLevel.MEMORY_AND_DISK)  # new may come of a model or of a stream's state: it is made once
+    try:
+        _upsert(spark, stamped, path, schema, names)
+    finally:
+        stamped.unpersist()
+
+
+def _upsert(spark: SparkSession, stamped: DataFrame, path: str, schema: str, names: list[str]) -> None:
     changed = [r.bucket for r in stamped.select("bucket").distinct().collect()]  # buckets numbers at most
     if not changed:
         return

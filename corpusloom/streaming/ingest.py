@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunks_of
+from ..operators.inference import Model, predict
 from ..operators.retrieval import hash_embed
 from ..sources import vector_store
 from ..sources.files import vector_records
@@ -18,9 +19,13 @@ def record_id() -> Column:
     return F.concat_ws("#", "source_file", F.col("chunk_index").cast("string"))
 
 
-def embedded(docs: DataFrame, embed: Callable[[Column], Column] = hash_embed, **how) -> DataFrame:
+def embedded(docs: DataFrame, embed: Callable[[Column], Column] = hash_embed, model: Callable[[], Model] | None = None, key: str = "embedding", **how) -> DataFrame:
+    """The records of the documents' chunks, with embeddings by embed, a Column function, or by model: what loads a model, once
+    a worker, that takes texts in batches of like lengths (inference.predict())."""
     chunks = chunks_of(docs, **how).withColumn("id", record_id())
-    return vector_records(chunks.withColumn("embedding", embed(F.col("content"))))
+    if model is None:
+        return vector_records(chunks.withColumn("embedding", embed(F.col("content"))))
+    return vector_records(predict(chunks, model, ["content"], "embedding", "array<float>", key=key))
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, *, embed: Callable[[Column], Column] = hash_embed, **how) -> None:
