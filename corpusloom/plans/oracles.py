@@ -178,6 +178,11 @@ ORACLES = {
     "applied_rules": RULES,
     "conversion_summary": SUMMARY,
     "conversion_observed": SUMMARY,
+    "failed_documents": STATUS + " SELECT doc_id, status FROM st WHERE status <> 'Success'",
+    "conversion_sheet": STATUS + f", i AS (SELECT doc_id, strlen({wiki_sql()}) AS n FROM documents), o AS ({phase('full', 'markdown')}) SELECT doc_id, status, round_even(i.n / 1024, 1) AS input_kb, round_even(strlen(markdown) / 1024, 1) AS output_kb FROM st JOIN i USING (doc_id) JOIN o USING (doc_id)",
+    "largest_file": f"{CHUNKED} SELECT source_file, count(*) AS n FROM chunks GROUP BY source_file ORDER BY n DESC, source_file LIMIT 1",
+    "chunk_previews": f"{CHUNKED} SELECT source_file, chunk_index, regexp_replace(replace(substring(content, 1, 200), chr(10), ' '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS preview FROM chunks",
+    "service_health": "SELECT count(*) AS chunks, false AS llm_reachable FROM documents",
     "page_files": f"SELECT 'web' || CAST(doc_id % 7 AS VARCHAR) AS folder, 'page' || CAST(doc_id AS VARCHAR) AS stem, markdown FROM ({phase('full', 'markdown')})",
     "conv_streamed": f"WITH {LOG} " + _LAST.replace("FROM log", "FROM log WHERE conversation_id % 5 <> 0"),
     "validate_status": f"{STATUS} SELECT doc_id, status FROM st",

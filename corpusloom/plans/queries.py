@@ -467,4 +467,30 @@ def page_files(spark, d):
     return back.select(F.regexp_extract("path", "/(web[0-9]+)/[^/]*$", 1).alias("folder"), "stem", F.col("text").alias("markdown"))
 
 
+@query
+def failed_documents(spark, d):
+    return conversion.not_successful(validate_status(spark, d))
+
+
+@query
+def conversion_sheet(spark, d):
+    return conversion.file_report(conversion.convert_all(wiki(spark, d))).select("doc_id", "status", "input_kb", "output_kb")
+
+
+@query
+def largest_file(spark, d):
+    """The document with most chunks."""
+    return chunking.largest_document(chunk_documents(spark, d))
+
+
+@query
+def chunk_previews(spark, d):
+    return chunking.chunk_report(chunk_documents(spark, d)).select("source_file", "chunk_index", "preview")
+
+
+@query
+def service_health(spark, d):
+    return retrieval.health(chunks(spark, d))
+
+
 __all__ = ["ORACLES", "QUERIES"]
