@@ -31,8 +31,9 @@ BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 100_000
 #: Tokens that are counted at once, about.
 TOKENS = 500_000
-#: Parts that a term or the queries are dealt into where they are not few, so that no term and no task has all of them.
-SALTS = 16
+#: Where queries are not few, a term with more postings than this, and than one in HEAVY of all, is dealt into parts of so many: at
+#: most HEAVY terms are, so what is known of them may be broadcast.
+PART, HEAVY = 100_000, 10_000
 #: Fixed: what is put before a query, not before documents, when it is embedded; what stands between the blocks of a context.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BLOCK_RULE = "\n\n---\n\n"
@@ -115,11 +116,15 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = K_LEXICAL, *, k1: float
     stats = corpus_stats(chunks, post)
     weights = idf(term_stats(post), stats, epsilon)
     # Only what queries ask for is looked up, so postings are cut to these terms before they move.
-    wanted = asked.join(weights, "term").select("query_id", "term", "times", "idf")
+    wanted = lambda: asked.join(weights, "term").select("query_id", "term", "times", "idf")
     if is_few:
-        hits = post.join(F.broadcast(wanted), "term")
+        hits = post.join(F.broadcast(wanted()), "term")
     else:  # a frequent term's postings are dealt into parts
-        hits = post.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+        weights, _ = written(weights, "weights")
+        size = max(PART, (weights.agg(F.sum("df")).first()[0] or 0) // HEAVY)
+        heavy = F.broadcast(weights.where(F.col("df") > size).select("term", F.ceil(F.col("df") / size).cast("int").alias("parts")))
+        dealt = lambda df, salt: df.join(heavy, "term", "left").withColumn("salt", salt(F.coalesce("parts", F.lit(1)))).drop("parts")
+        hits = dealt(post, lambda n: F.pmod(F.xxhash64("id"), n).cast("int")).join(dealt(wanted(), lambda n: F.explode(F.sequence(F.lit(0), n - 1))), ["term", "salt"])
     hits = hits.crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
@@ -238,6 +243,11 @@ def rerank_with(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, ma
 def neighbours(chunks: DataFrame, hits: DataFrame, is_few: bool = False) -> DataFrame:
     """query_id, rank, side (-1 or 1), id, content of the chunks next to each hit: one place away in seq and in chunk_index, in
     the same document."""
+    if {"prev_id", "next_id"} <= {*chunks.columns}:  # kept with the chunks: two lookups by id
+        own = chunks.select("id", "prev_id", "next_id").join(small(hits.select("query_id", "id", "rank"), is_few), "id")
+        sides = own.select("query_id", "rank", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("prev_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("next_id").alias("id")))).alias("s"))
+        wanted = sides.select("query_id", "rank", "s.side", "s.id").where("id is not null")
+        return chunks.select("id", "content").join(small(wanted, is_few), "id").select("query_id", "rank", "side", "id", "content")
     meta = chunks.select("id", "seq", "source_file", "chunk_index")
     at = meta.join(small(hits.select("query_id", "id", "rank"), is_few), "id")
     sides = at.select("query_id", "rank", "source_file", "chunk_index", "seq", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))

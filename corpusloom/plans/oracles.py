@@ -195,6 +195,7 @@ ORACLES = {
     "rrf": f"{BASE} SELECT query_id, id, rank, round(score, 8) AS score FROM fused",
     "rerank_topk": f"{FULL} SELECT query_id, id, rank, round(score, 8) AS score FROM ranked",
     "neighbours": f"{FULL} SELECT query_id, rank, side, id FROM m",
+    "neighbours_table": f"{FULL} SELECT query_id, rank, side, id FROM m",
     "hybrid_search": f"{FULL} SELECT query_id, rank, id, round(score, 8) AS score, text, page_title, section_heading, source_file, date, author FROM hits",
     "hybrid_indexed": f"{FULL} SELECT query_id, rank, id, round(score, 8) AS score, text, page_title, section_heading, source_file, date, author FROM hits",
     "context": f"{FULL} SELECT query_id, context, n_sources FROM contexts",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, lexical_index, logs, retrieval, vector_index
-from ..sources import files, vector_store
+from ..sources import chunk_table, files, vector_store
 from ..sources.page_files import write_pages
 from ..sources.files import pending, upsert_vectors, vector_records
 from ..sources.scratch import new_path
@@ -296,6 +296,20 @@ def neighbours(spark, d):
     return retrieval.neighbours(chunks(spark, d), reranked(spark, d)).select("query_id", "rank", F.col("side").cast("long").alias("side"), "id")
 
 
+def kept_chunks(spark, d) -> DataFrame:
+    """The chunks as a table in buckets."""
+    path = new_path(spark, "chunks")
+    name = "chunks_" + path.rpartition("-")[2]
+    chunk_table.write(chunks(spark, d), name, path, 16)
+    return chunk_table.read(spark, name)
+
+
+@query
+def neighbours_table(spark, d):
+    """As neighbours, by the ids that the table keeps, for queries that are not few."""
+    return retrieval.neighbours(kept_chunks(spark, d), reranked(spark, d)).select("query_id", "rank", F.col("side").cast("long").alias("side"), "id")
+
+
 def hits(spark, d) -> DataFrame:
     return retrieval.search(chunks(spark, d), vectors(spark, d), questions(spark, d))
 

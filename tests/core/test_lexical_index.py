@@ -99,3 +99,10 @@ def test_counts_in_the_row(spark, monkeypatch):
     df = spark.createDataFrame([(1, 1, "a b a a_b"), (2, 2, "x " * 40), (3, 3, None), (4, 4, "")], "id long, seq long, content string")
     got = {(r.id, r.term): (r.tf, r.len) for r in retrieval.postings(df).collect()}
     assert got == {(1, "a"): (3, 6), (1, "b"): (2, 6), (1, "a_b"): (1, 6), (2, "x"): (40, 40)}
+
+
+def test_frequent_terms_are_dealt_into_parts(spark, chunks, queries, monkeypatch):
+    few = rows(retrieval.bm25(chunks, queries, 9, is_few=True))
+    assert rows(retrieval.bm25(chunks, queries, 9)) == few
+    monkeypatch.setattr(retrieval, "PART", 20)
+    assert rows(retrieval.bm25(chunks, queries, 9)) == few
