@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import convert as c
@@ -34,9 +34,11 @@ def summary(results: DataFrame) -> DataFrame:
 
 def rule_counts(results: DataFrame, top: int | None = None) -> DataFrame:
     """rule, n, percent of all documents; most frequent first, then by name."""
-    total = results.agg(F.count(F.lit(1)).alias("total"))
-    n = results.select(F.explode("applied_rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    out = n.crossJoin(F.broadcast(total)).select("rule", "n", F.round(F.col("n") * 100 / F.col("total"), 1).alias("percent")).orderBy(F.desc("n"), "rule")  # total is one row
+    # What stands first in each row's list counts the row itself, so results are computed once.
+    listed = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("applied_rules", F.array().cast("array<string>")))
+    n = results.select(F.posexplode(listed).alias("at", "rule")).groupBy((F.col("at") == 0).alias("whole"), "rule").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("whole"), F.col("n"))).over(Window.partitionBy())  # a row for each rule
+    out = n.withColumn("total", total).where(~F.col("whole")).select("rule", "n", F.round(F.col("n") * 100 / F.col("total"), 1).alias("percent")).orderBy(F.desc("n"), "rule")
     return out if top is None else out.limit(top)
 
 
