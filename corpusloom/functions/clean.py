@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import estimate_tokens, full_lines, let, lines, per_line, rstrip, strip, sub
+from .text import estimate_tokens, full_lines, let, lines, per_line, rstrip, strip, sub, where
 
 #: Fixed: entities in decoding order.
 ENTITIES = (("&rarr;", "->"), ("&larr;", "<-"), ("&radic;", "sqrt"), ("&mu;", "mu"), ("&ge;", ">="), ("&le;", "<="), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&"), ("&nbsp;", " "))
@@ -28,33 +28,42 @@ def without_signatures(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Drops HTML and what conversion left behind; keeps the words. Fixed: the patterns, and their order, as it shows in the result."""
-    text = sub(text, "\r\n?", "\n")
-    text = sub(text, "</?sticky>", "")
-    text = sub(text, r"""(?U)["\s]*hideimg(?:right|left)=["\s]*["}%]*""", "")
-    text = sub(text, r"""(?U)["\s]*start="hide\s*"["\s}%]*""", "")
-    text = sub(text, r"""(?mdU)^["\s]*\}%\s*$""", "")
+    # Each step looks only at texts that have what it begins or ends with.
+    text = where(text, "\r", lambda t: sub(t, "\r\n?", "\n"))
+    text = where(text, "sticky>", lambda t: sub(t, "</?sticky>", ""))
+    text = where(text, "hideimg", lambda t: sub(t, r"""(?U)["\s]*hideimg(?:right|left)=["\s]*["}%]*""", ""))
+    text = where(text, 'start="hide', lambda t: sub(t, r"""(?U)["\s]*start="hide\s*"["\s}%]*""", ""))
+    text = where(text, "}%", lambda t: sub(t, r"""(?mdU)^["\s]*\}%\s*$""", ""))
+    text = where(text, "<", _without_tags)
+    text = where(text, "&", _decoded)
+    text = where(text, '" role="presentation">', lambda t: sub(t, '" role="presentation">[^<]*', ""))
+    text = where(text, "\n\n\n", lambda t: sub(t, r"\n{3,}", "\n\n"))
+    return strip(per_line(text, rstrip))
+
+
+def _without_tags(text: Column) -> Column:
     text = sub(text, "(?s)<!--.*?-->", "")
     text = sub(text, r"(?iU)<br\s*/?>", "\n")
     text = sub(text, "(?i)</?center>", "")
     for tag in ("p", "span", "a"):
         text = sub(text, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", "$1")
     text = sub(text, r"(?i)<img[^>]*/?\s*>", "")
-    text = sub(text, "<[^>]+>", "")
+    return sub(text, "<[^>]+>", "")
+
+
+def _decoded(text: Column) -> Column:
     for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    text = sub(text, "&#x?[0-9a-fA-F]+;", "")
-    text = sub(text, '" role="presentation">[^<]*', "")
-    text = sub(text, r"\n{3,}", "\n\n")
-    return strip(per_line(text, rstrip))
+    return sub(text, "&#x?[0-9a-fA-F]+;", "")
 
 
 def plain_text(cleaned: Column) -> Column:
     """What is left of a cleaned text without marks, addresses and status signs, on one line."""
-    text = sub(cleaned, r"(?mdU)^#+\s*", "")
+    text = where(cleaned, "#", lambda t: sub(t, r"(?mdU)^#+\s*", ""))
     text = sub(text, r"[*_`~\[\](){}|#>!]", "")
-    text = sub(text, URL, "")
+    text = where(text, "://", lambda t: sub(t, URL, ""))
     text = sub(text, r"[\x{1F534}\x{1F7E2}\x{1F535}\x{2139}\x{FE0F}\x{2705}\x{2714}\x{274C}]", "")
-    return strip(sub(text, r"(?U)\s+", " "))
+    return strip(sub(text, r"(?U) \s+|[^\S ]\s*", " "))  # single blanks stay as they are
 
 
 def filter_reason(raw: Column, plain: Column, min_chars: int = MIN_CHARS) -> Column:

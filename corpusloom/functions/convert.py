@@ -7,12 +7,13 @@ keeps them in a column of their own. Line ends are \\n only, as (?d) and explici
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import FEW, enclosed, let, lines, per_line, replace_each, replace_tokens, staged, strip, sub
+from .text import FEW, enclosed, let, lines, per_line, replace_each, replace_tokens, staged, strip, sub, upto, where
 
 #: Fixed: the emoji of icon names.
 ICONS = {
@@ -68,8 +69,8 @@ def verbatim_blocks(text: Column) -> Column:
 
 
 def extract_verbatim(text: Column) -> Column:
-    taken = replace_each(_closable(text), VERBATIM, lambda i, _: F.concat(F.lit("%%VERBATIM_"), i.cast("string"), F.lit("%%")), (3,))
-    return F.when(text.contains("<verbatim") | text.contains("<pre"), _unmarked(taken)).otherwise(text)
+    taken = lambda t: _unmarked(replace_each(_closable(t), VERBATIM, lambda i, _: F.concat(F.lit("%%VERBATIM_"), i.cast("string"), F.lit("%%")), (3,)))
+    return F.when(text.contains("<verbatim") | text.contains("<pre"), upto(text, ">", taken)).otherwise(text)
 
 
 def _restored(text: Column, name: str, blocks: Column, how: Callable[[Column], Column]) -> Column:
@@ -104,7 +105,12 @@ def colour_blocks(text: Column) -> Column:
 
 
 def variables(text: Column) -> Column:
-    whole, drop = text, lambda t, what, to="": F.replace(t, F.lit(what), F.lit(to))
+    # After the last percent sign a match may go on through what is not space, and spaces; whether a line ends there shows in what follows.
+    return upto(text, "%", _variables, r"(?s)^\S*+\s*+.?")
+
+
+def _variables(text: Column) -> Column:
+    drop = lambda t, what, to="": F.replace(t, F.lit(what), F.lit(to))
     text = drop(text, "%BR%", "<br>")
     text = drop(text, "%VBAR%", "\\|")
     text = drop(text, "%CARET%", "^")
@@ -121,7 +127,7 @@ def variables(text: Column) -> Column:
     for name in VARIABLES:
         text = drop(text, f"%{name}%")
     text = sub(text, f"%({_COLOUR}|ENDCOLOR)%", "")
-    return F.when(whole.contains("%"), sub(text, r"%[A-Z_]+(\{[^}]*\})?%", "")).otherwise(whole)
+    return sub(text, r"%[A-Z_]+(\{[^}]*\})?%", "")
 
 
 def headings(text: Column) -> Column:
@@ -133,8 +139,7 @@ def headings(text: Column) -> Column:
 
 
 def is_table_line(line: Column) -> Column:
-    bare = strip(line)
-    return bare.startswith("|") & bare.endswith("|") & (F.length(bare) > 1)
+    return line.contains("|") & let(strip(line), lambda bare: bare.startswith("|") & bare.endswith("|") & (F.length(bare) > 1))
 
 
 def table_cells(line: Column) -> Column:
@@ -144,8 +149,6 @@ def table_cells(line: Column) -> Column:
 def tables(text: Column) -> Column:
     """Table rows with trimmed cells; the first row of a block loses its bold marks if all its cells are bold, and a separator
     follows it."""
-    flags = lambda: F.transform(lines(text), is_table_line)
-    rows = F.arrays_zip(lines(text).alias("x"), flags().alias("t"), F.concat(F.array(F.lit(False)), flags()).alias("after"))
 
     def render(row: Column) -> Column:
         first = ~row["after"]
@@ -159,7 +162,10 @@ def tables(text: Column) -> Column:
         rule = F.concat(F.lit("|"), F.array_join(F.transform(shown, lambda _: F.lit(" --- ")), "|"), F.lit("|"))
         return F.when(~row["t"], row["x"]).when(first, F.concat(line, F.lit("\n"), rule)).otherwise(line)
 
-    return F.when(text.contains("|"), F.array_join(F.transform(F.filter(rows, lambda r: r["x"].isNotNull()), render), "\n")).otherwise(text)
+    rows = lambda every, flags: F.arrays_zip(every.alias("x"), flags.alias("t"), F.concat(F.array(F.lit(False)), flags).alias("after"))
+    shown = lambda every: let(F.transform(every, is_table_line), lambda flags: F.array_join(F.transform(F.filter(rows(every, flags), lambda r: r["x"].isNotNull()), render), "\n"))
+    # The last line with a bar is the last that may be a row.
+    return upto(text, "|", lambda t: let(lines(t), shown), r"^[^\n]++")
 
 
 def list_line(line: Column) -> Column:
@@ -198,13 +204,16 @@ def links(text: Column) -> Column:
         many = let(found(1), lambda all_: let(F.filter(all_, lambda h: h != ""), lambda held: both(held, shown(all_, held))))
         few = both(F.regexp_extract_all(t, F.lit(shut), F.lit(1)), replace_each(t, shut, lambda i, _: F.concat(F.lit("%%ESCAPED_LINK_"), i.cast("string"), F.lit("%%"))))
         apart = F.when(F.regexp_count(t, F.lit(r"!\[\[")) <= FEW, few).otherwise(many)
-        return let(apart, lambda x: _restored(let(let(x["out"], linked), bare), "ESCAPED_LINK", x["held"], back))
+        return let(apart, lambda x: let(let(let(x["out"], linked), bare), lambda out: _restored(out, "ESCAPED_LINK", x["held"], back)))
 
-    return F.when(~text.contains("[["), text).when(text.contains("![["), let(text, escaped)).otherwise(let(let(text, linked), bare))
+    plain = lambda t: let(linked(t), bare)
+    # A name of a placeholder may stand anywhere.
+    return F.when(~text.contains("[["), text).when(text.contains("%%ESCAPED_LINK_"), F.when(text.contains("![["), let(text, escaped)).otherwise(let(text, plain))).otherwise(upto(text, "]]", lambda t: let(t, lambda x: F.when(x.contains("![["), escaped(x)).otherwise(plain(x)))))
 
 
 def _marked(line: Column, mark: str, inner: str, opens: str, closes: str) -> Column:
-    return sub(line, rf"(?U)(^|\s){mark}({inner}){mark}(?=[\s.,;:!?\)\]}}>]|$)", f"$1{opens}$2{closes}")
+    """The mark is looked for before what must precede it: a line's start or white space."""
+    return where(line, mark.removeprefix("\\"), lambda x: sub(x, rf"(?U){mark}(?<!\S{mark})({inner}){mark}(?=[\s.,;:!?\)\]}}>]|$)", f"{opens}$1{closes}"))
 
 
 def inline_line(line: Column) -> Column:
@@ -216,17 +225,22 @@ def inline_line(line: Column) -> Column:
 
 
 def inline(text: Column) -> Column:
-    return F.when(text.rlike("[=_*]"), per_line(text, inline_line)).otherwise(text)
+    some = text.contains("=") | text.contains("_") | text.contains("*")
+    return F.when(some, per_line(text, inline_line)).otherwise(text)
 
 
 def wikiwords(text: Column) -> Column:
-    text = sub(text, r"(?U)!([A-Z][a-z]+[A-Z]\w*)", "$1")
-    text = sub(text, r"(?U)(?<!\w)!([A-Z][a-zA-Z]+)", "$1")
-    return sub(text, r"(?U)\b(?:" + "|".join(WEBS) + r")\.([A-Z]\w+)", "$1")
+    plain = lambda t: sub(sub(t, r"(?U)!([A-Z][a-z]+[A-Z]\w*)", "$1"), r"(?U)!(?<!\w!)([A-Z][a-zA-Z]+)", "$1")
+    first = "".join(sorted({web[0] for web in WEBS}))
+    return sub(where(text, "!", plain), rf"(?U)(?=[{first}])\b(?:" + "|".join(WEBS) + r")\.([A-Z]\w+)", "$1")
 
 
 def html_tags(text: Column) -> Column:
-    whole, text = text, sub(text, r"<br\s*/?>", "<br>")
+    return F.when(text.contains("<"), upto(text, ">", _tags)).otherwise(text)
+
+
+def _tags(text: Column) -> Column:
+    text = sub(text, r"<br\s*/?>", "<br>")
     for tag, mark in (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("strike", "~~"), ("del", "~~")):
         text = let(text, lambda t: enclosed(t, f"<{tag}>", f"</{tag}>", lambda x: F.concat(F.lit(mark), x, F.lit(mark))))  # noqa: B023
     code = lambda t: per_line(t, lambda line: enclosed(line, "<code>", "</code>", lambda x: F.concat(F.lit("`"), x, F.lit("`"))))
@@ -236,7 +250,7 @@ def html_tags(text: Column) -> Column:
     text = sub(text, r"<nop\s*/?>", "")
     for tag in ("noautolink", "literal", "sticky"):
         text = let(text, lambda t: enclosed(t, f"<{tag}>", f"</{tag}>", lambda x: x))  # noqa: B023
-    return F.when(whole.contains("<"), text).otherwise(whole)
+    return text
 
 
 def signatures(text: Column) -> Column:
@@ -253,9 +267,8 @@ def rules(text: Column) -> Column:
 
 
 def cleanup(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    text = sub(text, r"\n{3,}", "\n\n")
+    text = upto(text, ";", lambda t: reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t))
+    text = where(text, "\n\n\n", lambda t: sub(t, r"\n{3,}", "\n\n"))
     text = sub(text, r"(?md)[ \t]+$", "")
     return F.concat(sub(sub(text, r"^\n+", ""), r"\n+\z", ""), F.lit("\n"))
 

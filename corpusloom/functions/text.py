@@ -35,6 +35,23 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one).select(*kept, *(F.col("__staged")[n].alias(n) for n in columns))
 
 
+def upto(text: Column, mark: str, how: Callable[[Column], Column], beyond: str = "") -> Column:
+    """how() of the text up to its last mark and what matches beyond there, then the rest as it is: for what finds nothing without a
+    mark, so that long plain ends are not searched."""
+
+    def apply(t: Column, rest: Column) -> Column:
+        head = lambda tail: F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+        cut = lambda tail: F.concat(how(head(tail)), tail)
+        return F.when(F.length(rest) == F.length(t), t).otherwise(let(sub(rest, beyond, ""), cut) if beyond else cut(rest))
+
+    return let(text, lambda t: let(F.substring_index(t, mark, -1), lambda rest: apply(t, rest)))
+
+
+def where(text: Column, mark: str, how: Callable[[Column], Column]) -> Column:
+    """how() of a text that has the mark, others as they are."""
+    return let(text, lambda t: F.when(t.contains(mark), how(t)).otherwise(t))
+
+
 def replace_each(text: Column, pattern: str, how: Callable[..., Column], groups: tuple[int, ...] = (1,)) -> Column:
     """Replaces every match by how(ordinal, *captures), a computed value; the pattern must never match an empty string."""
 
@@ -80,7 +97,8 @@ def strip(text: Column) -> Column:
 
 
 def rstrip(text: Column) -> Column:
-    return sub(text, r"(?U)\s+\z", "")
+    """Looks for white space only where the last character is some."""
+    return F.when(F.substring(text, -1, 1).rlike(r"(?U)\s"), sub(text, r"(?U)\s+\z", "")).otherwise(text)
 
 
 def lines(text: Column) -> Column:
