@@ -11,7 +11,7 @@ from ..functions import clean, convert, split
 from ..functions.text import estimate_tokens, lexical_tokens, n_words, staged
 from ..operators import chunking, conversion, lexical_index, logs, retrieval, vector_index
 from ..sources import chunk_table, files, vector_store
-from ..sources.page_files import write_pages
+from ..sources.page_files import read_pages, write_pages
 from ..sources.files import pending, upsert_vectors, vector_records
 from ..sources.scratch import new_path
 from ..streaming import conversations
@@ -477,8 +477,8 @@ def page_files(spark, d):
     path = new_path(spark, "pages")
     named = convert_full(spark, d).select(F.concat(F.lit("web"), (F.col("doc_id") % 7).cast("string"), F.lit("/page"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "markdown")
     write_pages(named, path)
-    back = files.read_texts(spark, path, ("md",), recursive=True)
-    return back.select(F.regexp_extract("path", "/(web[0-9]+)/[^/]*$", 1).alias("folder"), "stem", F.col("text").alias("markdown"))
+    back = read_pages(spark, path)
+    return back.select(F.regexp_extract("name", "^(web[0-9]+)/[^/]*$", 1).alias("folder"), F.regexp_extract("name", r"([^/]*)\.md$", 1).alias("stem"), F.col("text").alias("markdown"))
 
 
 @query
