@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ ENTITIES = (("&rarr;", "->"), ("&larr;", "<-"), ("&radic;", "sqrt"), ("&mu;", "m
 SIGNATURE = r"(?mdU)^(?:—|--)\s*([A-Za-z][A-Za-z0-9_ ]*?)(?:\s*[-,]\s*(.+?))?\s*$"
 QUESTION, ANSWER = "\U0001f534", "\U0001f7e2"
 URL = r"(?U)https?://\S+"
+#: Fixed: the status signs that plain_text() drops.
+_SIGNS = "\U0001f534\U0001f7e2\U0001f535\u2139\ufe0f\u2705\u2714\u274c"
 MIN_CHARS = 50
 INSUFFICIENT, MOSTLY_LINKS, EMPTY = "insufficient_content", "mostly_links", "empty_after_cleaning"
 
@@ -62,7 +67,7 @@ def plain_text(cleaned: Column) -> Column:
     text = where(cleaned, "#", lambda t: sub(t, r"(?mdU)^#+\s*", ""))
     text = sub(text, r"[*_`~\[\](){}|#>!]", "")
     text = where(text, "://", lambda t: sub(t, URL, ""))
-    text = sub(text, r"[\x{1F534}\x{1F7E2}\x{1F535}\x{2139}\x{FE0F}\x{2705}\x{2714}\x{274C}]", "")
+    text = let(text, lambda t: F.when(reduce(or_, map(t.contains, _SIGNS)), sub(t, f"[{_SIGNS}]", "")).otherwise(t))
     return strip(sub(text, r"(?U) \s+|[^\S ]\s*", " "))  # single blanks stay as they are
 
 

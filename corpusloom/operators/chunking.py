@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, split
 from ..functions.text import estimate_tokens, staged, strip
-from ..sources.scratch import numbered
+from ..sources.scratch import numbered, written
 
 #: Histogram buckets of chunk sizes: names and half-open bounds.
 BUCKETS = ((0, 50), (50, 100), (100, 200), (200, 300), (300, 400), (400, 512), (512, None))
@@ -31,6 +31,11 @@ def prepare(docs: DataFrame, id_col: str = "source_file", text_col: str = "text"
     return step.select("source_file", "page_title", F.octet_length("raw").cast("long").alias("size"), "reason", F.col("sig.author").alias("author"), F.col("sig.date").alias("date"), "cleaned", "content_type", "checked")
 
 
+def held(prepared: DataFrame) -> DataFrame:
+    """prepared as a table of its own, for what reads documents and their chunks: no text is cleaned twice."""
+    return written(prepared, "prepared")[0]
+
+
 def chunk(prepared: DataFrame, *, max_tokens: int = split.MAX_TOKENS, overlap: int = split.OVERLAP_TOKENS) -> DataFrame:
     """The chunks of the documents that prepare() keeps: one row each, numbered from 0 within its document."""
     kept = prepared.where("reason is null")

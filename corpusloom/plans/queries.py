@@ -146,19 +146,19 @@ def chunk_ids(spark, d):
 
 @query
 def chunk_issues(spark, d):
-    p = prepared(spark, d)
+    p = chunking.held(prepared(spark, d))
     return chunking.issues(p, chunking.chunk(p))
 
 
 @query
 def file_summary(spark, d):
-    p = prepared(spark, d)
+    p = chunking.held(prepared(spark, d))
     return chunking.file_summary(p, chunking.chunk(p))
 
 
 @query
 def corpus_counts(spark, d):
-    p = prepared(spark, d)
+    p = chunking.held(prepared(spark, d))
     return chunking.corpus_counts(p, chunking.chunk(p))
 
 

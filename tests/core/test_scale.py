@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import conversion
+from corpusloom.operators import chunking, conversion
+from corpusloom.plans.queries import QUERIES
 from corpusloom.sources import page_files
 
 
@@ -36,3 +37,9 @@ def test_pages_are_read_in_few_tasks(spark, tmp_path):
     assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     (tmp_path / "none").mkdir()
     assert page_files.read_pages(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_reports_clean_texts_once(spark):
+    """What reads documents and their chunks reads them from a table: no plan cleans a text."""
+    for name in ("chunk_issues", "file_summary", "corpus_counts"):
+        assert "hideimg" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
