@@ -71,14 +71,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while a < len(sizes):
             b = max(a + 1, int(np.searchsorted(total, total[a] + TOKENS, "right")) - 1)
             part, own = batch.slice(a, b - a), sizes[a:b]
-            coded = part.column(2).flatten().dictionary_encode()
-            n = max(1, len(coded.dictionary))
-            seen, tf = np.unique(np.repeat(np.arange(len(own)), own) * n + np.asarray(coded.indices, np.int64), return_counts=True)
-            row = pa.array(seen // n)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), coded.dictionary.take(pa.array(seen % n)), pa.array(tf, pa.int64()), pa.array(own[seen // n], pa.int64())], ["id", "seq", "term", "tf", "len"])
+            row, code, words, tf = counted(part.column(2), own)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), words.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(own[row], pa.int64())], ["id", "seq", "term", "tf", "len"])
             a = b
 
 
+def counted(tokens: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Rows, places of terms, all terms, and how often each term is in each row; rows in order."""
+    coded = tokens.flatten().dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    seen, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + np.asarray(coded.indices, np.int64), return_counts=True)
+    return seen // n, seen % n, coded.dictionary, tf
+
+
 def lexical_index(chunks: DataFrame) -> DataFrame:
     """postings() as a table of its own: a text is parted once, whatever is then asked. bm25() and search() take it as index."""
     return written(postings(chunks), "postings")[0]
