@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Tokens per word, as a fraction so that counts stay whole numbers.
 TOKENS_NUM, TOKENS_DEN = 13, 10
+#: Fixed: all that (?U)\\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Places at which a match might begin, of a pattern that looks far ahead, that are few.
 FEW = 64
 
@@ -92,13 +94,14 @@ def enclosed(text: Column, opening: str, closing: str, how: Callable[[Column], C
 
 
 def strip(text: Column) -> Column:
-    """Drops white space, Unicode's too, from both ends."""
-    return sub(sub(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    """Drops white space, Unicode's too, from both ends: only the ends are looked at, no pattern goes over the text."""
+    return rstrip(F.ltrim(text, F.lit(WHITE)))
 
 
 def rstrip(text: Column) -> Column:
-    """Looks for white space only where the last character is some."""
-    return F.when(F.substring(text, -1, 1).rlike(r"(?U)\s"), sub(text, r"(?U)\s+\z", "")).otherwise(text)
+    """A trim from the right lists all characters, so it is done only where the last byte can end white space."""
+    last = lambda t: F.substring(t.cast("binary"), -1, 1)
+    return let(text, lambda t: F.when(last(t).between(F.lit(b"!"), F.lit(b"\x7f")), t).otherwise(F.rtrim(t, F.lit(WHITE))))
 
 
 def lines(text: Column) -> Column:

@@ -24,8 +24,10 @@ def prepare(docs: DataFrame, id_col: str = "source_file", text_col: str = "text"
     step = docs.select(F.col(id_col).cast("string").alias("source_file"), title.cast("string").alias("page_title"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     step = staged(step, sig=clean.signature(F.col("raw")), checked=clean.clean_text(F.col("raw")), bare=clean.without_signatures(F.col("raw")))
     # Only what signatures change is cleaned and made plain twice.
-    step = staged(step, plain=clean.plain_text(F.col("checked")), cleaned=F.when(F.col("bare") == F.col("raw"), F.col("checked")).otherwise(clean.clean_text(F.col("bare"))))
-    step = staged(step.drop("bare"), cleaned_plain=F.when(F.col("cleaned") == F.col("checked"), F.col("plain")).otherwise(clean.plain_text(F.col("cleaned"))))
+    # Of plain texts only short lengths are asked for.
+    least = max(min_chars, clean.MINIMAL)
+    step = staged(step, plain=clean.plain_start(F.col("checked"), least), cleaned=F.when(F.col("bare") == F.col("raw"), F.col("checked")).otherwise(clean.clean_text(F.col("bare"))))
+    step = staged(step.drop("bare"), cleaned_plain=F.when(F.col("cleaned") == F.col("checked"), F.col("plain")).otherwise(clean.plain_start(F.col("cleaned"), least)))
     reason = F.lit(None).cast("string") if no_filter else clean.filter_reason(F.col("raw"), F.col("plain"), min_chars)
     step = staged(step, reason=F.coalesce(reason, F.when(F.col("cleaned") == "", F.lit(clean.EMPTY))), content_type=clean.content_type(F.col("cleaned"), F.col("cleaned_plain")))
     return step.select("source_file", "page_title", F.octet_length("raw").cast("long").alias("size"), "reason", F.col("sig.author").alias("author"), F.col("sig.date").alias("date"), "cleaned", "content_type", "checked")
