@@ -20,6 +20,7 @@ from ..functions.text import let, lexical_tokens, staged
 from ..sources.scratch import ship, written
 from .inference import BATCH, Model, predict
 from .logs import contextual_query
+from .scoring import Asked, met
 from .tiles import DIGITS, by_length, exact_best, matrix, tiled
 
 K_DENSE, K_LEXICAL, K_RERANK, K_FINAL = 30, 30, 40, 6
@@ -31,9 +32,8 @@ BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 100_000
 #: Tokens that are counted at once, about.
 TOKENS = 500_000
-#: Where queries are not few, a term with more postings than this, and than one in HEAVY of all, is dealt into parts of so many: at
-#: most HEAVY terms are, so what is known of them may be broadcast.
-PART, HEAVY = 100_000, 10_000
+#: Where queries are not few, postings of a tile, about.
+PART = 1_000_000
 #: Fixed: what is put before a query, not before documents, when it is embedded; what stands between the blocks of a context.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BLOCK_RULE = "\n\n---\n\n"
@@ -63,17 +63,22 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, seq, tokens) to the terms of each row with their counts, TOKENS tokens at a time and a row at least."""
+    """From (id, seq, tokens) to the terms of each row with their counts."""
+    for part, own in _pieces(batches):
+        row, code, words, tf = counted(part.column(2), own)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), words.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(own[row], pa.int64())], ["id", "seq", "term", "tf", "len"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(id, seq, tokens) in pieces of TOKENS tokens, and a row at least, with the rows' numbers of tokens."""
     for batch in batches:
         sizes = np.asarray(pc.list_value_length(batch.column(2)).fill_null(0), np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         a = 0
         while a < len(sizes):
             b = max(a + 1, int(np.searchsorted(total, total[a] + TOKENS, "right")) - 1)
-            part, own = batch.slice(a, b - a), sizes[a:b]
-            row, code, words, tf = counted(part.column(2), own)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), words.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(own[row], pa.int64())], ["id", "seq", "term", "tf", "len"])
+            yield batch.slice(a, b - a), sizes[a:b]
             a = b
 
 
@@ -86,19 +91,31 @@ def counted(tokens: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
-    """postings() as a table of its own: a text is parted once, whatever is then asked. bm25() and search() take it as index."""
-    return written(postings(chunks), "postings")[0]
+    """id, seq, len, terms, tfs: the terms of each chunk with their counts in its row, as a table of its own. A text is parted once,
+    whatever is then asked. bm25() and search() take it as index."""
+    tokens = chunks.select("id", "seq", lexical_tokens(F.col("content")).alias("t"))
+    kinds = dict(tokens.dtypes)
+    return written(tokens.mapInArrow(_listed, f"id {kinds['id']}, seq {kinds['seq']}, len long, terms array<string>, tfs array<long>"), "terms-of-chunks")[0]
 
 
-def term_stats(post: DataFrame) -> DataFrame:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _counted, a row for each chunk."""
+    for part, own in _pieces(batches):
+        row, code, words, tf = counted(part.column(2), own)
+        at = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, x) for x in (words.take(pa.array(code)), pa.array(tf, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own), *lists], ["id", "seq", "len", "terms", "tfs"])
+
+
+def term_stats(index: DataFrame) -> DataFrame:
     """term, df: in how many chunks each term is."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
-    """One row: n chunks and avgdl, their mean number of tokens. No text is read: chunks are counted, tokens summed from post."""
+def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: n chunks and avgdl, their mean number of tokens. No text is read: chunks are counted, tokens summed from index."""
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select("n", F.try_divide("tokens", "n").alias("avgdl"))  # two single rows
+    return n.crossJoin(index.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))).select("n", F.try_divide("tokens", "n").alias("avgdl"))  # two single rows
 
 
 def idf(terms: DataFrame, stats: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
@@ -116,26 +133,41 @@ def top_k(scored: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = K_LEXICAL, *, k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, index: DataFrame | None = None, is_few: bool = False) -> DataFrame:
     """query_id, id, seq, score, rank: the k best chunks of each query, those with a positive score. A term that a query
-    repeats counts each time. index: postings() kept as a table, to spare counting anew."""
-    post = lexical_index(chunks) if index is None else index
+    repeats counts each time. index: lexical_index() of the chunks, to spare counting anew.
+
+    A chunk is scored in its row, against all queries. If few() says so, each batch of chunks meets what all queries ask for and passes
+    on a query's k best; else chunks and queries meet in tiles, as many as they ask for."""
+    index = lexical_index(chunks) if index is None else index
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    stats = corpus_stats(chunks, post)
-    weights = idf(term_stats(post), stats, epsilon)
-    # Only what queries ask for is looked up, so postings are cut to these terms before they move.
-    wanted = lambda: asked.join(weights, "term").select("query_id", "term", "times", "idf")
+    stats = corpus_stats(chunks, index)
+    weights = idf(term_stats(index), stats, epsilon)
+    wanted, _ = written(asked.join(weights, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "wanted")
+    kinds = dict([*queries.select("query_id").dtypes, *index.dtypes])
+    shape = f"query_id {kinds['query_id']}, id {kinds['id']}, seq {kinds['seq']}, score double"
+    n_post, avgdl = index.crossJoin(F.broadcast(stats)).agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.max("avgdl")).first()
+    how = _scored(k, avgdl or 1.0, k1, b)
+    rows = index.select("id", "seq", "len", "terms", "tfs")
     if is_few:
-        hits = post.join(F.broadcast(wanted()), "term")
-    else:  # a frequent term's postings are dealt into parts
-        weights, _ = written(weights, "weights")
-        size = max(PART, (weights.agg(F.sum("df")).first()[0] or 0) // HEAVY)
-        heavy = F.broadcast(weights.where(F.col("df") > size).select("term", F.ceil(F.col("df") / size).cast("int").alias("parts")))
-        dealt = lambda df, salt: df.join(heavy, "term", "left").withColumn("salt", salt(F.coalesce("parts", F.lit(1)))).drop("parts")
-        hits = dealt(post, lambda n: F.pmod(F.xxhash64("id"), n).cast("int")).join(dealt(wanted(), lambda n: F.explode(F.sequence(F.lit(0), n - 1))), ["term", "salt"])
-    hits = hits.crossJoin(F.broadcast(stats))  # one row
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "id", "seq").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return top_k(scored, "score", k, "seq").where("score > 0")
+        known = Asked.of(wanted.toArrow())
+        scored = rows.mapInArrow(lambda batches: (found for batch in batches for found in how(batch, known)), shape)
+    else:
+        tiles = max(1, -(-n_post // PART))
+        dealt = rows.withColumn("tile", F.pmod(F.xxhash64("id", "seq"), F.lit(tiles)))
+        scored = met(dealt, wanted, lambda table, q: pa.Table.from_batches(x for batch in table.combine_chunks().to_batches() for x in how(batch, q)), shape, most=BROADCAST_ROWS, is_few=False)
+    return top_k(scored, "score", k, "seq")
+
+
+def _scored(k: int, avgdl: float, k1: float, b: float):
+    """(query_id, id, seq, score) of the k best of some chunks for each query."""
+
+    def apply(rows: pa.RecordBatch, asked: Asked) -> Iterator[pa.RecordBatch]:
+        ids, seqs, length, terms, tfs = (rows.column(c) for c in ("id", "seq", "len", "terms", "tfs"))
+        row = np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(terms)))
+        tf = np.asarray(tfs.flatten(), np.float64)
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.asarray(length)[row] / avgdl))
+        return asked.hits(ids, seqs, row, asked.codes(terms.flatten()), impact, k)
+
+    return apply
 
 
 # Dense side ---------------------------------------------------------------------------------------------------------

@@ -219,7 +219,7 @@ def bm25_blocks(spark, d):
 
 @query
 def bm25_large(spark, d):
-    """As for a set of queries that is not few: terms are dealt into parts instead of broadcast."""
+    """As for a set of queries that is not few: chunks and queries meet in tiles."""
     c = chunks(spark, d)
     return ranking(retrieval.bm25(c, questions(spark, d), index=retrieval.lexical_index(c)))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.operators import lexical_index, scoring
+from corpusloom.operators import lexical_index, retrieval, scoring
 
 WANTED = [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 3.0), (3, "c", -1.0), (3, "a", 0.5)]
 
@@ -32,3 +32,13 @@ def test_blocks_move_not_their_products(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "arrays_zip" not in plan and "keys=[query_id" not in plan
     assert sorted((r.query_id, r.rank, r.id) for r in found.collect()) == [(1, 0, 1), (1, 1, 8), (1, 2, 15), (1, 3, 22), (2, 0, 2), (2, 1, 9), (2, 2, 16), (2, 3, 23)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_chunks_are_scored_in_their_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(retrieval, "TOKENS", 7)
+    chunks = spark.createDataFrame([(i, i, f"all w{i % 7} w{i % 7}" if i % 5 else None) for i in range(60)], "id long, seq long, content string")
+    found = retrieval.bm25(chunks, spark.createDataFrame([(1, "w1 w1"), (2, "w2"), (3, "?"), (4, "none")], "query_id long, query string"), 3, is_few=few)
+    assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.rank, r.id) for r in found.collect()) == [(1, 0, 1), (1, 1, 8), (1, 2, 22), (2, 0, 2), (2, 1, 9), (2, 2, 16)]
