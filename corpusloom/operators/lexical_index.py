@@ -4,7 +4,7 @@ What a posting adds to a score, but for the term's weight, is its impact. A bloc
 RANGE places in seq long. build() deals texts by ranges and makes blocks where a range's texts are; blocks are written by buckets of
 terms, and by slices of ranges, so that no task has a frequent term to itself. search() reads only the buckets of the terms asked for. For each query and range it adds up
 the largest impacts of the query's terms there: more no chunk of the range can have. The ranges that promise most are scored
-first, which gives the query a score that its k-th hit reaches at least; ranges that promise less are left unopened. What is left is
+first, which gives the query a score that its k-th hit reaches at least; ranges that promise less to all queries are left unopened. What is left is
 summed up, so hits and scores are those of bm25().
 """
 
