@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import lexical_tokens
 from ..sources.scratch import discard, ship, written
-from .retrieval import BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_ROWS, K_LEXICAL, TOKENS, counted, few, postings, small, top_k
+from .retrieval import BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_ROWS, K_LEXICAL, TOKENS, counted, exact_mean, few, postings, small, top_k
 from .scoring import Asked, met
 
 #: Places in seq of a range, ranges of a query that are scored first.
@@ -84,7 +84,7 @@ def build(chunks: DataFrame, path: str, *, k1: float = BM25_K1, b: float = BM25_
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, n_post // PER_BUCKET))
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     rated = terms.select(_bucket(buckets).alias("bucket"), "term", "df", raw.alias("raw"))
-    mean = rated.agg(F.avg("raw")).first()[0] or 0.0
+    mean = rated.agg(exact_mean("raw")).first()[0] or 0.0
     shape = chunks.select("id", "seq").schema
     spark.createDataFrame([(buckets, n, epsilon * mean, shape.json())], "buckets int, n long, least_idf double, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{ABOUT}")
     known = rated.select("bucket", "term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))

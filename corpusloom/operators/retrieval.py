@@ -118,10 +118,15 @@ def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return n.crossJoin(index.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))).select("n", F.try_divide("tokens", "n").alias("avgdl"))  # two single rows
 
 
+def exact_mean(c: str) -> Column:
+    """The mean of a double column, null without rows. Decimals are added, so no order of rows changes it."""
+    return F.try_divide(F.sum(F.col(c).cast("decimal(38, 18)")).cast("double"), F.count(c))
+
+
 def idf(terms: DataFrame, stats: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
     """term, df, idf; a negative idf becomes epsilon times the mean of all."""
     raw = terms.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats is one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
+    mean = raw.agg(exact_mean("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 

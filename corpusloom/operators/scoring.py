@@ -16,6 +16,15 @@ from .tiles import DIGITS, best
 
 #: Products of a posting and a query's weight that are held at once, about, and scores.
 AT_ONCE = 2_000_000
+#: Steps of a product that are added up as whole numbers, and of what is left below one; sums are exact up to 2^23 and 2^18 products.
+STEPS, BELOW = 2.0**30, 2.0**36
+
+
+def exact_sums(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of n cells. Whole numbers are added, so equal values have equal sums in whatever order they come."""
+    steps = value * STEPS
+    whole = np.rint(steps)
+    return (np.bincount(cell, whole, n) + np.bincount(cell, np.rint((steps - whole) * BELOW), n) / BELOW) / STEPS
 
 
 @dataclass
@@ -56,7 +65,7 @@ class Asked:
             post = np.repeat(np.arange(lo, hi), own)
             at = np.arange(len(post)) + np.repeat(self.begin[code[lo:hi]] - (np.cumsum(own) - own), own)
             cell = (row[post] - a) * q + self.query[at]
-            yield a, b, np.bincount(cell, np.maximum(self.weight[at] * value[post], least), (b - a) * q).astype(np.float64).reshape(b - a, q), np.bincount(cell, minlength=(b - a) * q).reshape(b - a, q)
+            yield a, b, exact_sums(cell, np.maximum(self.weight[at] * value[post], least), (b - a) * q).reshape(b - a, q), np.bincount(cell, minlength=(b - a) * q).reshape(b - a, q)
             a = b
 
     def hits(self, ids: pa.Array, seqs: pa.Array, row: np.ndarray, code: np.ndarray, impact: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
