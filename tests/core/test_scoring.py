@@ -105,3 +105,19 @@ def test_the_mean_idf_has_no_order(spark):
     assert len(got) == 1 and got.pop() == pytest.approx(0.25 * mean, rel=1e-15)
     none = spark.createDataFrame([], "term string, df long")
     assert retrieval.idf(none, stats).collect() == []
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_neighbours_of_copies_go_by_seq(spark, few, monkeypatch):
+    """Of copies that all score alike the first in seq are hits, whose neighbours are found; unrounded scores show what rounding hides."""
+    monkeypatch.setattr(scoring, "DIGITS", 15)
+    monkeypatch.setattr(retrieval, "TOKENS", 100)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.sample(words, 40)) if i % 3 == 1 else " ".join(["other", *words[i % 40 : i % 40 + i % 7]]) for i in range(120)]
+    shape = "id string, seq long, source_file string, chunk_index long, content string"
+    chunks = spark.createDataFrame([(f"c{i}", i, f"f{i // 3}", i % 3, t) for i, t in enumerate(texts)], shape)
+    asked = spark.createDataFrame([(1, " ".join(words))], "query_id long, query string")
+    found = retrieval.rerank(retrieval.rrf(retrieval.bm25(chunks, asked, 30, is_few=few)), chunks, asked, 6)
+    got = sorted((x.rank, x.side, x.id) for x in retrieval.neighbours(chunks, found).collect())
+    assert got == [(rank, side, f"c{3 * rank + 1 + side}") for rank in range(6) for side in (-1, 1)]
